@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe_codec, exact_dedup, packing, simhash_dedup
+from lodestrata.llm import bpe_codec, exact_dedup, packing, pii, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op6_bpe_codec": bpe_codec.op6_bpe_codec,
         "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
+        "op9_pii": pii.op9_pii,
         "op10_packing": packing.op10_packing,
     }
 
