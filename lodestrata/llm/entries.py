@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe_codec, exact_dedup, packing, pii, simhash_dedup
+from lodestrata.llm import ann, bpe_codec, exact_dedup, html_text, packing, pii, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_html_text": html_text.op2_html_text,
         "op6_bpe_codec": bpe_codec.op6_bpe_codec,
         "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
+        "op8_ann": ann.op8_ann,
         "op9_pii": pii.op9_pii,
         "op10_packing": packing.op10_packing,
     }
