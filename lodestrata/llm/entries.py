@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import ann, bpe_codec, exact_dedup, html_text, line_dedup, packing, pii, sharding, simhash_dedup
+from lodestrata.llm import ann, bpe_codec, exact_dedup, html_text, line_dedup, packing, pii, quality, sharding, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_html_text": html_text.op2_html_text,
+        "op3_quality": quality.op3_quality,
         "op4_sharding": sharding.op4_sharding,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_bpe_codec": bpe_codec.op6_bpe_codec,
