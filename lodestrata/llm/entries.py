@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lodestrata.llm import ann, bpe_codec, exact_dedup, html_text, line_dedup, packing, pii, quality, sharding, simhash_dedup
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann": ann.op8_ann,
         "op9_pii": pii.op9_pii,
         "op10_packing": packing.op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
