@@ -18,6 +18,7 @@ import functools
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -77,7 +78,7 @@ def build_lexicon(docs: DataFrame, vocabulary: str, text_col: str = "text", lexi
     spark = docs.sparkSession
     words = [f" {w}" for w in frequent_words(docs, text_col, lexicon_words)]
     blob = lexicon_file(Vocabulary(vocabulary), words)
-    path = os.path.join(tempfile.mkdtemp(prefix="lodestrata-"), f"{hashlib.sha256(blob).hexdigest()[:24]}.lexicon")
+    path = os.path.join(tempfile.mkdtemp(prefix="lodestrata-"), f"{uuid.uuid4().hex}.lexicon")
     with open(path, "wb") as file:
         file.write(blob)
     return ship(spark, path)
