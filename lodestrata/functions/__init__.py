@@ -1 +1 @@
-
+"""Column functions: text, predicates, dates, hashes and identifiers."""

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestrata.plans import (  # noqa: F401
+    corpus,
+    decisions,
+    extras,
+    facts,
+    history,
+    operations,
+    quality,
+    scalars,
+    search,
+    sources,
+    state,
+    streams,
+)
+from lodestrata.plans._registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
