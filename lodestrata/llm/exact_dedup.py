@@ -68,6 +68,9 @@ def registry(
         "spark.sql.streaming.stateStore.providerClass": ROCKS,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        # Many small stores: no space set aside ahead, changes written instead of whole snapshots.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
     }.items():
@@ -117,23 +120,29 @@ def exact_dedup(
     """One row per row of the Parquet table at ``path``: id, digest, keep_id, group_size, kept."""
     hits = settled(registry(spark, path, id_col, text_col, digest, **stream), "hits")
     rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
-    keepers = hits.join(rows.select(F.col("at").alias("keep_at"), F.col("body").alias("keep_body")), "keep_at")
-    # The many rows of one digest are on the streamed side, where adaptive execution splits them.
-    checked = settled(
-        rows.join(keepers, "digest", "left").select(
-            "id", "digest", "at", "keep_id", "keep_at", "n",
-            F.coalesce(F.col("body") == F.col("keep_body"), F.lit(True)).alias("same"),
-        ),
-        "checked",
-    )
-    plain = checked.select(
+    # Texts move once, and only those of hits are written.  The many rows of one digest are on the
+    # streamed side of a merge join, where adaptive execution splits them.
+    tagged = settled(
+        rows.join(hits.hint("merge"), "digest", "left").withColumn("body", F.when(F.col("n") > 1, F.col("body"))),
+        "tagged",
+    )
+    plain = tagged.select(
         "id",
         "digest",
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).alias("group_size"),
         (F.col("n").isNull() | (F.col("at") == F.col("keep_at"))).alias("kept"),
     )
-    clashing = checked.where(~F.col("same")).select("digest").distinct()
+    again = tagged.where("n > 1")
+    keepers = again.where("at = keep_at").select("digest", F.col("body").alias("keep_body"))
+    clashing = settled(
+        again.where("at <> keep_at")
+        .join(keepers.hint("merge"), "digest")
+        .where("body <> keep_body")
+        .select("digest")
+        .distinct(),
+        "clashing",
+    )
     if clashing.isEmpty():
         return plain
     # A digest with different texts: its rows are grouped by their bytes instead.
