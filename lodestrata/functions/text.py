@@ -116,12 +116,12 @@ def particle(word: Column, with_final: str, without_final: str) -> Column:
 def cell_items(cell: Column) -> Column:
     """Items of a table cell: split at line feeds, then at slashes, never at spaces."""
     parts = F.flatten(F.transform(F.split(cell, r"\n"), lambda line: F.split(line, "/")))
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def comma_parts(label: Column, least: int = 2) -> Column:
     """The parts of a label at commas if at least two are long enough, else the label itself."""
-    parts = F.filter(F.transform(F.split(label, ","), F.trim), lambda p: F.char_length(p) >= least)
+    parts = F.filter(F.transform(F.split(label, ","), lambda p: F.trim(p)), lambda p: F.char_length(p) >= least)
     return F.when(F.size(parts) >= 2, parts).otherwise(F.array(F.trim(label)))
 
 

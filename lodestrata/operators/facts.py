@@ -61,7 +61,7 @@ def contains_only(column: str, short: str, longer: list[str]) -> Column:
 
 def in_list_field(column: str, wanted: str) -> Column:
     """Whether a comma-separated field has an entry."""
-    return F.array_contains(F.transform(F.split(F.col(column), ","), F.trim), wanted)
+    return F.array_contains(F.transform(F.split(F.col(column), ","), lambda p: F.trim(p)), wanted)
 
 
 def latest_per(table: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -136,7 +136,12 @@ def longest_match(texts: DataFrame, key: str, text: str, names: DataFrame, name:
     low = names.withColumn("_low", F.lower(F.trim(name)))
     longest = low.agg(F.max(F.size(F.split("_low", r"\s+")))).first()[0] or 1
     words = F.split(F.lower(F.col(text)), r"\s+")
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice("_w", i, F.lit(n)), " ")) for n in range(1, longest + 1)]
+
+    def runs_of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size("_w") - (n - 1), F.lit(1)))
+        return F.transform(places, lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
+
+    runs = [runs_of(n) for n in range(1, longest + 1)]
     met = texts.select(key, words.alias("_w")).select(key, F.explode(F.array_distinct(F.concat(*runs))).alias("_low"))
     hits = met.join(low, "_low")
     w = Window.partitionBy(key).orderBy(F.desc(F.char_length(name)), name)
