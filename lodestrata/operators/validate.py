@@ -39,7 +39,7 @@ def meal_rules(meals: list[str], states: list[str], most_items: int = 40, shorte
     ]
 
 
-def price_rules(text: str, least: str, most: str) -> list[tuple[str, Column]]:
+def price_rules(text: Column, least: str, most: str) -> list[tuple[str, Column]]:
     low, high = F.col(least), F.col(most)
     return [
         ("no_text", F.trim(text) != ""),
