@@ -1 +1 @@
-
+"""Sources and sinks: files, pages, sheets, binary documents, links."""
