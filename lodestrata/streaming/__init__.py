@@ -1 +1 @@
-
+"""Streams: windows over events, keyed state, change logs."""
