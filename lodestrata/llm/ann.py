@@ -6,13 +6,15 @@ Index
     lists; lists of more than ``chunk`` entries are split into chunks.
 Search
     Vectors are turned by a random rotation, after which any block of dimensions tells about the
-    whole.  In each chunk of the lists a query probes, candidates are read in blocks of columns.
+    whole.  A floor that the query's results won't be below comes from its products within the
+    sample.  In each chunk of the lists a query probes, candidates are read in blocks of columns.
     After each block a hypothesis test compares the distance so far, scaled to all dimensions, with
-    the distance a candidate must beat, and abandons those that fail.  Survivors are scored exactly
-    on the original vectors in double precision.  The best of all chunks are the result.
+    the distance a candidate must have, and abandons those that fail.  Survivors are scored exactly
+    on the original vectors in double precision.  The best of all chunks are the result; a query
+    left with too few is held against all lists without a floor.
 
-Nearness is the inner product; as ||q - x||^2 = ||q||^2 + ||x||^2 - 2 <q, x>, a candidate beats the
-least product kept so far exactly if its squared distance is below a bound of its own.
+Nearness is the inner product; as ||q - x||^2 = ||q||^2 + ||x||^2 - 2 <q, x>, a candidate reaches
+the floor exactly if its squared distance is within a bound of its own.
 
 Defined results
     vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do
@@ -40,6 +42,10 @@ SAMPLE = 16_384
 #: Entries to a list on average, and the most lists.
 PER_LIST, MOST_LISTS = 256, 4096
 CHUNK, BLOCK = 4096, 16
+#: Queries that are compared with a chunk at once.
+QUERIES = 512
+#: The floor is the product at so many times k in the sample.
+SLACK = 3
 #: Probes are set so that this share of the sample's own nearest neighbours is in probed lists,
 #: judged by so many of its vectors.
 TARGET, JUDGES = 0.98, 512
@@ -91,34 +97,46 @@ def probes_for(sample: np.ndarray, middle: np.ndarray, k: int, target: float = T
     return 1 + int(np.quantile(np.concatenate(places), target, method="higher"))
 
 
-def scan(rows: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, turned_query: np.ndarray, k: int, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a chunk for one query: ids and scores, best first, ties to the smaller id.
+def floors_for(queries: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best product within the sample: no k-th best of all rows is below it."""
+    if len(sample) < k:
+        return np.full(len(queries), -np.inf)
+    return np.concatenate(
+        [np.partition(queries[i : i + 256] @ sample.T, len(sample) - k, axis=1)[:, len(sample) - k] for i in range(0, len(queries), 256)]
+    )
+
+
+def scan(rows: np.ndarray, turned: np.ndarray, ids: np.ndarray, queries: np.ndarray, turned_queries: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk, for each query up to k rows that reach its floor: query places, ids, scores.
 
-    ``turned`` holds the columns of the rotated vectors (dimension first), ``squares`` their squared
-    norms.
+    The first block of columns is read for all pairs, each further block for the pairs left.
     """
-    dims, n = turned.shape
-    first = min(n, 4 * k)
-    scores = (rows[:first] * query).sum(1)
-    best_ids, best = ids[:first], scores
-    if n > first:
-        floor = np.partition(scores, first - k)[first - k]
-        alive = np.arange(first, n)
-        bound = squares[first:] + query @ query - 2 * floor
-        part = np.zeros(n - first)
-        for at in range(0, dims, BLOCK):
-            block = turned[at : at + BLOCK]
-            part += ((block[:, alive] - turned_query[at : at + BLOCK, None]) ** 2).sum(0)
-            seen = min(dims, at + BLOCK)
-            if seen < dims:
-                keep = part * (dims / seen) <= bound * (1 + EPSILON / math.sqrt(seen)) ** 2
-                alive, part, bound = alive[keep], part[keep], bound[keep]
-                if not len(alive):
-                    break
-        best_ids = np.concatenate((best_ids, ids[alive]))
-        best = np.concatenate((best, (rows[alive] * query).sum(1)))
-    order = np.lexsort((best_ids, -best))[:k]
-    return best_ids[order], best[order]
+    dims = rows.shape[1]
+    # A pair reaches the floor exactly if its squared distance is at most this.
+    bound = (queries * queries).sum(1)[:, None] + (rows * rows).sum(1)[None, :] - 2 * floors[:, None]
+    seen = min(BLOCK, dims)
+    a, b = turned_queries[:, :seen], turned[:, :seen]
+    part = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    q, x = np.nonzero(part * (dims / seen) <= bound * (1 + EPSILON / math.sqrt(seen)) ** 2 + TINY)
+    part, bound = part[q, x], bound[q, x]
+    for at in range(seen, dims, BLOCK):
+        part = part + ((turned_queries[q, at : at + BLOCK] - turned[x, at : at + BLOCK]) ** 2).sum(1)
+        seen = min(dims, at + BLOCK)
+        if seen < dims:
+            keep = part * (dims / seen) <= bound * (1 + EPSILON / math.sqrt(seen)) ** 2 + TINY
+            q, x, part, bound = q[keep], x[keep], part[keep], bound[keep]
+    keep = part <= bound + TINY
+    q, x = q[keep], x[keep]
+    scores = (rows[x] * queries[q]).sum(1)
+    order = np.lexsort((ids[x], -scores, q))
+    q, x, scores = q[order], x[order], scores[order]
+    starts = np.searchsorted(q, q)
+    best = np.arange(len(q)) - starts < k
+    return q[best], ids[x[best]], scores[best]
+
+
+#: Allowance for rounding in the comparison of distances.
+TINY = 1e-9
 
 
 def nearest(
@@ -147,23 +165,23 @@ def nearest(
     sample = np.array([r["v"] for r in entries.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").collect()])
     lists = max(1, min(MOST_LISTS, total // PER_LIST, len(sample) // 4))
     middle = centres(sample, lists)
-    shared = spark.sparkContext.broadcast((rotation(sample.shape[1]), middle))
+    shared = spark.sparkContext.broadcast((rotation(sample.shape[1]), middle, sample))
     probes = min(probes or probes_for(sample, middle, k), lists)
 
     def assign(count: int):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            middle = shared.value[1]
+            _, middle, known = shared.value
             for batch in batches:
                 v = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 near = np.argpartition(-(v @ middle.T), count - 1, axis=1)[:, :count] if count < len(middle) else np.tile(np.arange(len(middle)), (len(v), 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x.tobytes() for x in v]), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))],
-                    names=["rep", "raw", "lists"],
+                    [batch.column(0), pa.array([x.tobytes() for x in v]), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(floors_for(v, known, SLACK * (k + 1)) if count > 1 else np.zeros(len(v)))],
+                    names=["rep", "raw", "lists", "floor"],
                 )
 
         return run
 
-    shape = "rep long, raw binary, lists array<int>"
+    shape = "rep long, raw binary, lists array<int>, floor double"
     index = settled(
         entries.mapInArrow(assign(1), shape).select("rep", "raw", F.element_at("lists", 1).alias("list")), "index"
     )
@@ -174,29 +192,42 @@ def nearest(
     # Equal queries are searched once.
     wanted = rows.where(is_query).join(entries, "v").select(F.col("id").alias("query_id"), "rep").distinct()
     wanted = settled(wanted, "wanted")
-    asked = entries.join(wanted.select("rep").distinct(), "rep", "left_semi").mapInArrow(assign(probes), shape)
-    asked = asked.select("rep", "raw", F.explode("lists").alias("list"))
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(chunks, F.col("list") + 1) - 1)))
+    def spread(probed: DataFrame) -> DataFrame:
+        rows = probed.select("rep", "raw", "floor", F.explode("lists").alias("list"))
+        return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(chunks, F.col("list") + 1) - 1)))
+
+    asked = settled(entries.join(wanted.select("rep").distinct(), "rep", "left_semi").mapInArrow(assign(probes), shape), "asked")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         turn = shared.value[0]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(left):
-            data = np.frombuffer(b"".join(left.raw), float).reshape(len(left), -1)
-            turned, ids, squares = np.ascontiguousarray((data @ turn).T), left.rep.to_numpy(), (data * data).sum(1)
-            for rep, raw in zip(right.rep, right.raw, strict=True):
-                query = np.frombuffer(raw, float)
-                found, scores = scan(data, turned, ids, query, query @ turn, k + 1, squares)
-                out.append((np.full(len(found), rep), found, scores))
+        data = np.frombuffer(b"".join(left.raw), float).reshape(len(left), -1)
+        turned, ids = data @ turn if len(left) else data, left.rep.to_numpy()
+        for at in range(0, len(right) if len(left) else 0, QUERIES):
+            some = right.iloc[at : at + QUERIES]
+            queries = np.frombuffer(b"".join(some.raw), float).reshape(len(some), -1)
+            q, found, scores = scan(data, turned, ids, queries, queries @ turn, some.floor.to_numpy(), k + 1)
+            out.append((some.rep.to_numpy()[q], found, scores))
         if not out:
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
         q, found, scores = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"q": q, "rep": found, "score": scores})
 
     by = ("list", "chunk")
-    found = data.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(search, "q long, rep long, score double")
     first = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n")
+
+    def best_of(probed: DataFrame) -> DataFrame:
+        met = data.groupBy(*by).cogroup(spread(probed).groupBy(*by)).applyInPandas(search, "q long, rep long, score double")
+        return met.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n")
+
+    found = settled(best_of(asked), "found")
+    # Queries whose floor or lists left them short are held against all lists without a floor.
+    enough = found.groupBy(F.col("q").alias("rep")).count().where(F.col("count") >= min(k + 1, total))
+    short = settled(asked.join(enough, "rep", "left_anti"), "short")
+    if not short.isEmpty():
+        every = F.array(*map(F.lit, range(lists)))
+        more = best_of(short.withColumn("lists", every).withColumn("floor", F.lit(float("-inf"))))
+        found = found.join(short.select(F.col("rep").alias("q")), "q", "left_anti").unionByName(more)
     # Back from entries to ids: of each searched vector the k + 1 best ids, then for each query of
     # that vector those that are not itself.
     ids = found.join(members.select("rep", "id"), "rep")
