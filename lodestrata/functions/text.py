@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that ask but name nothing.
 STOPWORDS = (
@@ -32,7 +33,7 @@ def spaceless(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -143,7 +144,7 @@ def without_leading_title(text: Column, title: Column) -> Column:
     return F.when(F.size(letters) > 0, F.regexp_replace(text, pattern, F.lit(""))).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def longest_common(left: pd.Series, right: pd.Series) -> pd.Series:
     """The longest common substring of two short texts, the first of equally long ones."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def session(name: str = "lodestrata", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def session(name: str = "lodestrata", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", more: dict[str, str] | None = None) -> SparkSession:
     """A local session; on a cluster the submitter's settings win."""
     return (
         SparkSession.builder.appName(name)
@@ -15,6 +15,7 @@ def session(name: str = "lodestrata", cores: int | str = "*", shuffle_partitions
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config(map=more or {})
         .getOrCreate()
     )
 
