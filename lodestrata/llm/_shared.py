@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="lodestrata-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
@@ -20,9 +28,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     machine) a local folder is chosen instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = root or _local_scratch()
     return f"{root}/lodestrata/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
@@ -31,7 +37,24 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     costs a read instead of the work before it."""
     path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -27,6 +27,8 @@ BYTE_LIMIT = 128 << 20
 DIGITS = 15
 BITS = 4 * DIGITS
 STEP = 12
+#: Bits of the grid that rows and leaves meet on.
+GRID = 12
 
 
 def hash_bits(id_col: str, text_col: str) -> Column:
@@ -84,7 +86,7 @@ def assign_shards(docs: DataFrame, byte_limit: int = BYTE_LIMIT, step: int = STE
         F.call_function("shiftleft", F.col("prefix"), F.lit(BITS) - F.col("depth")).alias("start"),
         "depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"),
     )
-    shallow = F.lit(step)
+    shallow = F.lit(GRID)
     spread = F.greatest(shallow - F.col("depth"), F.lit(0))
     first = _prefix(F.col("start"), shallow)
     cells = F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("long"), spread) - 1)
