@@ -31,7 +31,7 @@ PLAIN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 ODD = re.compile("[^\t\n\r -~À-ɏ‐-‧‰-›€]")
 FULL = regex.compile(PATTERN)
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 CACHED_CHARS = 48
 
 
@@ -104,13 +104,15 @@ class Vocabulary:
         if len(ids) > 64:
             return self._merge_long(ids)
         rank_of, none = self.merges.get, 1 << 60
-        while len(ids) > 1:
-            ranks = [rank_of(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-            best = min(ranks)
-            if best == none:
-                break
+        ranks = [rank_of(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != none:
             at = ranks.index(best)
-            ids[at : at + 2] = [best & 0xFFFFF]
+            new = ids[at] = best & 0xFFFFF
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = rank_of(ids[at - 1] << 20 | new, none)
+            if at < len(ranks):
+                ranks[at] = rank_of(new << 20 | ids[at + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
