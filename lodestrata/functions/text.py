@@ -9,11 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words that ask but name nothing.
+#: Words that ask but name nothing.  An institution adds its own names.
 STOPWORDS = (
     "뭐야 뭐 머야 알려줘 알려 어떻게 어떡해 언제 어디 얼마 얼마나 누구 왜 무엇 무슨 어떤 인가요 인가 있나요 있어 없어 해줘 해 "
     "하나요 하는지 하려면 되나요 돼 되나 좀 제발 궁금 궁금해 질문 문의 정보 안내 해요 하죠 할래 주세요 알려주세요 가르쳐줘 "
-    "말해줘 방법 관련 대해 대한 그리고 근데 혹시 전북대 전북대학교 우리학교 학교 챗봇 안녕 안녕하세요 안녕하십니까 하이 "
+    "말해줘 방법 관련 대해 대한 그리고 근데 혹시 우리학교 학교 챗봇 안녕 안녕하세요 안녕하십니까 하이 "
     "반가워 고마워 감사합니다 잘가 수고 ㅎㅇ ㅋㅋ ㅎㅎ"
 ).split()
 #: Endings that are taken off, the first that fits.

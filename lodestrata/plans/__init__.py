@@ -15,6 +15,7 @@ from lodestrata.plans import (  # noqa: F401
     sources,
     state,
     streams,
+    topics,
 )
 from lodestrata.plans._registry import ORACLES, QUERIES, Query
 
