@@ -15,6 +15,7 @@ def session(name: str = "lodestrata", cores: int | str = "*", shuffle_partitions
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config(map=more or {})
         .getOrCreate()
     )
