@@ -4,7 +4,7 @@ A line's tokens are its lower-cased words, each once.  Lines with equal token se
 found by an aggregate that combines before it shuffles, so a line that is everywhere costs one row
 per map task.  Every entry orders its tokens by rarity and is posted under its prefix: two sets of
 the wanted Jaccard similarity share a token of their prefixes.  Within a posting list pairs must
-pass the length filter, the positional filter and a bound from 64-bit parity signatures (the
+pass the length filter, the positional filter and a bound from 128-bit parity signatures (the
 signatures differ in no more bits than the sets do in tokens).  All of these are necessary
 conditions, so no pair is lost.
 
@@ -12,7 +12,7 @@ A line goes if any earlier line matches it, so one earlier match per entry is en
 first held against the one before it in its list, and only if that fails against all earlier ones.
 Members of a large group of near copies find their neighbour at once and pairs within a group are
 never spelled out.  The best candidate of each entry is verified on the words themselves; entries
-whose best candidate fails are held against all their candidates.
+whose best candidate fails are held against the next few, and then against all their candidates.
 
 Rarity comes from counts over all documents in 65,536 hash buckets.  Any order of tokens gives the
 same result; the counts only keep the lists short.
@@ -26,22 +26,17 @@ Defined results
 
 from __future__ import annotations
 
-import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import free_name, settled, table
+from lodestrata.llm._shared import discard, free_name, release, settled, table
 
 BUCKETS = 1 << 16
 PERCENT = 80
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: How many candidates are looked at in the second try; the third takes all.
+NEXT = 8
 
 
 def words_of(line: Column) -> Column:
@@ -53,39 +48,49 @@ def words_of(line: Column) -> Column:
 
 
 def _sketch(docs: DataFrame, text_col: str) -> Column:
-    """A binary literal with a byte for each bucket of words: how frequent they are, on a log scale."""
-    word = F.explode(words_of(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("w")
-    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    ranks = bytearray(BUCKETS)
+    """For each bucket of words a small number: how frequent they are, on a log scale."""
+    word = F.explode(F.split(F.lower(F.replace(F.col(text_col), F.lit("\n"), F.lit(" "))), " ")).alias("w")
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
+    ranks = [0] * BUCKETS
     for bucket_no, count in docs.select(word).select(bucket).groupBy("bucket").count().collect():  # a row a bucket
         ranks[bucket_no] = min(126, int(4 * math.log2(count)))
-    return F.lit(bytes(ranks))
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+
+
+def _hashes(line: Column) -> Column:
+    """The token set as different hashes."""
+    return F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
 
 
-def _codes(line: Column, sketch: Column) -> Column:
+def _codes(hashes: Column, sketch: Column) -> Column:
     """The token set as ascending numbers: rarity in the upper byte, a 56-bit hash below it."""
 
-    def code(word: Column) -> Column:
-        at = F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int") + 1
-        rank = F.ascii(F.substring(sketch, at, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 8))
+    def code(h: Column) -> Column:
+        rank = F.get(sketch, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), code)))
+    return F.sort_array(F.transform(hashes, code))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, pos and line of each line of each text."""
+    """id, text_key, pos and line of each line that has words."""
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.split(text_col, "\n").alias("lines")
     )
-    return rows.select("id", "text_key", F.posexplode("lines").alias("pos", "line"))
+    return rows.select("id", "text_key", F.posexplode("lines").alias("pos", "line")).where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "")
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two signatures differ: in no more than the sets do in tokens."""
+    low, high = (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("sig", "sig2"))
+    return low + high
 
 
 def _passes(a: str, b: str, percent: int) -> Column:
     """Length, positional and signature filters between two postings."""
     n, m, i, j = (F.col(f"{s}.{c}") for c in ("n", "i") for s in (a, b))
     most = F.least(n - i, m - j) + 1
-    apart = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
+    apart = _apart(a, b)
     return (
         (n * 100 >= m * percent)
         & (m * 100 >= n * percent)
@@ -94,39 +99,54 @@ def _passes(a: str, b: str, percent: int) -> Column:
     )
 
 
-POSTING = ("id", "pos", "key", "n", "i", "sig")
-ENTRY = ("id", "pos", "key")
-
+def _posted(entries: DataFrame, percent: int) -> DataFrame:
+    """token, and number, n, i (from 1) and sig of each entry posted under it.
 
-def _earlier(a: str, b: str) -> Column:
-    """Whether entry ``a`` comes before entry ``b``; a null id is the first."""
-    left, right = F.col(f"{a}.id"), F.col(f"{b}.id")
-    return (left < right) | (left.isNull() & right.isNotNull()) | (left.eqNullSafe(right) & (F.col(f"{a}.pos") < F.col(f"{b}.pos")))
+    No column can be null, so no filter is inferred and all readers share one shuffle.  Sets too
+    small to match a different set are not posted.
+    """
+    able = entries.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
+    rows = able.select("number", "n", "sig", "sig2", F.posexplode("prefix").alias("i", "token"))
+    zero = F.lit(0)
+    return rows.select(
+        F.coalesce("token", zero.cast("long")).alias("token"), F.coalesce("number", zero.cast("long")).alias("number"),
+        F.coalesce("n", zero).alias("n"), (F.coalesce("i", zero) + 1).alias("i"), F.coalesce("sig", zero.cast("long")).alias("sig"),
+        F.coalesce("sig2", zero.cast("long")).alias("sig2"),
+    )
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.col("a.number").alias("x"), F.col("b.number").alias("y"), _apart("a", "b").alias("apart"))
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    entry = [F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ENTRY)) for s in (a, b)]
-    apart = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
-    return [entry[0].alias("x"), entry[1].alias("y"), apart.alias("apart")]
+def _candidates(entries: DataFrame, percent: int) -> DataFrame:
+    """For each entry with any, one earlier entry that passes the filters: the nearest by signature."""
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = _posted(entries, percent).repartition(parts, "token")
+    order = Window.partitionBy("token").orderBy("number")
+    own = F.struct("number", "n", "i", "sig", "sig2")
+    beside = posted.select("token", own.alias("a"), F.lag(own).over(order).alias("b")).where("b is not null")
+    near = _pairs(beside.where(_passes("a", "b", percent)))
+    # Those that do not match the entry before them in a list look at all earlier ones in it.
+    looking = beside.where(~_passes("a", "b", percent)).select("token", "a")
+    listed = posted.alias("b")
+    far = looking.join(listed, "token").where((F.col("b.number") < F.col("a.number")) & _passes("a", "b", percent))
+    return near.unionByName(_pairs(far)).groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, key: Column, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs (x, y) whose words have the wanted Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("e")).select("e.*").distinct()
-    wanted = wanted.groupBy(F.col("id").alias("of")).agg(F.collect_set("pos").alias("places"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    met = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("of"))).select(
-        "id", F.split("body", "\n").alias("lines"), F.explode("places").alias("pos")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("number")).distinct()
+    placed = entries.select("number", "id", "text_key", "pos").join(wanted, "number", "left_semi")
+    placed = placed.groupBy(F.col("id").alias("of"), "text_key").agg(F.collect_list(F.struct("pos", "number")).alias("places"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("own_key"), F.col(text_col).alias("body")
     )
-    met = met.where(F.col("pos") < F.size("lines")).select("id", "pos", F.element_at("lines", F.col("pos") + 1).alias("line"))
-    met = met.select(F.struct("id", "pos", key.alias("key")).alias("e"), F.array_distinct(words_of(F.col("line"))).alias("words"))
-    met = met.dropDuplicates(["e"])
-    both = pairs.join(met.select(F.col("e").alias("x"), F.col("words").alias("left")), "x")
-    both = both.join(met.select(F.col("e").alias("y"), F.col("words").alias("right")), "y")
+    met = rows.join(placed.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("own_key") == F.col("text_key")))
+    met = met.select(F.split("body", "\n").alias("lines"), F.explode("places").alias("p"))
+    met = met.select("p.number", F.array_distinct(words_of(F.get("lines", F.col("p.pos")))).alias("words")).dropDuplicates(["number"])
+    both = pairs.join(met.select(F.col("number").alias("x"), F.col("words").alias("left")), "x")
+    both = both.join(met.select(F.col("number").alias("y"), F.col("words").alias("right")), "y")
     shared = F.size(F.array_intersect("left", "right"))
     return both.where(shared * 100 >= (F.size("left") + F.size("right") - shared) * percent).select("x", "y")
 
@@ -135,75 +155,79 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     """id, text_key and pos of every line that an earlier line matches."""
     spark = docs.sparkSession
     sketch = _sketch(docs, text_col)
-    codes = _codes(F.col("line"), sketch)
-    key = F.xxhash64(_codes(F.col("line"), sketch))
-    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(_bit(c)))
-    n = F.size("codes")
-    lines = settled(
+    low, high = (_parity(F.col("hashes"), of) for of in (0, 64))
+    n = F.size("hashes")
+    full = settled(
         _lines(docs, id_col, text_col)
-        .select("id", "text_key", "pos", codes.alias("codes"))
-        .where(n > 0)
+        .select("id", "text_key", "pos", _hashes(F.col("line")).alias("hashes"))
+        .select("id", "text_key", "pos", n.alias("n"), low.alias("sig"), high.alias("sig2"), _codes(F.col("hashes"), sketch).alias("codes"))
         .select(
-            "id", "text_key", "pos", F.xxhash64("codes").alias("key"), F.xxhash64(F.lit(1), "codes").alias("key2"),
-            n.alias("n"), parity.alias("sig"),
-            F.slice("codes", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1).alias("prefix"),
+            "id", "text_key", "pos", "n", "sig", "sig2", F.xxhash64("codes").alias("key"), F.xxhash64(F.lit(1), "codes").alias("key2"),
+            F.slice("codes", F.lit(1), F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1).alias("prefix"),
         ),
         "lines",
     )
-    entries = settled(
-        lines.groupBy("key", "key2")
-        .agg(F.min(F.struct("id", "pos", "n", "sig", "prefix")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    sets = settled(
+        full.groupBy("key", "key2")
+        .agg(F.min(F.struct("id", "pos", "text_key", "n", "sig", "sig2", "prefix")).alias("first"), F.count(F.lit(1)).alias("rows"))
         .select("key", "key2", "first.*", "rows"),
-        "entries",
+        "sets",
     )
-    _release(spark)
-    posted = entries.select("id", "pos", "key", "n", "sig", F.posexplode("prefix").alias("i", "token"))
-    posted = posted.select("token", F.struct("id", "pos", "key", "n", (F.col("i") + 1).alias("i"), "sig").alias("p"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = posted.repartition(parts, "token")
-    order = Window.partitionBy("token").orderBy(F.col("p.id").asc_nulls_first(), "p.pos")
-    posted = posted.withColumn("before", F.lag("p").over(order))
-    beside = F.coalesce(F.col("before").isNotNull() & _passes("p", "before", percent), F.lit(False))
-    near = posted.where(beside).select(*_pair("p", "before"))
-    # Those that do not match the entry before them in a list look at all earlier ones in it.
-    looking = posted.where(F.col("before").isNotNull() & ~beside).select("token", F.col("p").alias("a"))
-    listed = posted.select("token", F.col("p").alias("b"))
-    far = looking.join(listed, "token").where(_earlier("b", "a") & _passes("a", "b", percent)).select(*_pair("a", "b"))
-    best = settled(_best(near.unionByName(far)), "candidates")
-    _release(spark)
-    matched = settled(_verified(best, docs, id_col, text_col, key, percent).select("x"), "matched")
-    failed = settled(best.join(matched, "x", "left_anti").select("x"), "failed")
+    lines = settled(full.select("id", "text_key", "pos", "key", "key2"), "places")
+    discard(full)
+    # Numbers in the order of first places: a sort by ranges, then counting within them.
+    ordered = sets.orderBy(F.asc_nulls_first("id"), "pos", "key", "key2")
+    entries = settled(ordered.withColumn("number", F.monotonically_increasing_id()), "entries")
+    discard(sets)
+    del ordered
+    release(spark)
+    best = settled(_candidates(entries, percent), "candidates")
+    release(spark)
+    matched = settled(_verified(best, entries, docs, id_col, text_col, percent).select("x"), "matched")
+    failed = settled(best.join(matched, "x", "left_anti").select(F.col("x").alias("number")), "failed")
     if not failed.isEmpty():
-        again = entries.join(failed.select("x.*"), ["id", "pos", "key"], "left_semi")
-        again = again.select("id", "pos", "key", "n", "sig", F.posexplode("prefix").alias("i", "token"))
-        again = again.select("token", F.struct("id", "pos", "key", "n", (F.col("i") + 1).alias("i"), "sig").alias("a"))
-        plain = entries.select("id", "pos", "key", "n", "sig", F.posexplode("prefix").alias("i", "token"))
-        plain = plain.select("token", F.struct("id", "pos", "key", "n", (F.col("i") + 1).alias("i"), "sig").alias("b"))
-        rest = again.join(plain, "token").where(_earlier("b", "a") & _passes("a", "b", percent)).select(*_pair("a", "b"))
-        rest = settled(rest.select("x", "y").distinct(), "rest")
-        more = _verified(rest, docs, id_col, text_col, key, percent).select("x").distinct()
-        matched = settled(matched.unionByName(more), "matched")
-    _release(spark)
-    marked = matched.select("x.*", F.lit(True).alias("goes"))
-    judged = entries.select("key", "key2", "id", "pos", "rows").join(marked, ["id", "pos", "key"], "left")
-    # A null id finds no equal in the join above; equal ids are compared null-safe below.
-    judged = judged.where("rows > 1 or goes").select("key", "key2", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), "goes")
+        # The nearest by signature was not near enough: the other candidates of these few.
+        again = _posted(entries.join(failed, "number", "left_semi"), percent).alias("a")
+        rest = again.join(_posted(entries, percent).alias("b"), F.col("a.token") == F.col("b.token"))
+        rest = _pairs(rest.where((F.col("b.number") < F.col("a.number")) & _passes("a", "b", percent)))
+        nearest = Window.partitionBy("x").orderBy("apart", "y")
+        rest = rest.groupBy("x", "y").agg(F.min("apart").alias("apart")).join(best, ["x", "y"], "left_anti")
+        rest = settled(rest.withColumn("n", F.row_number().over(nearest)), "rest")
+        release(spark)
+        for some in (F.col("n") <= NEXT, F.col("n") > NEXT):
+            left = settled(rest.where(some).join(matched, "x", "left_anti").select("x", "y"), "left")
+            if left.isEmpty():
+                continue
+            more = _verified(left, entries, docs, id_col, text_col, percent).select("x").distinct()
+            matched = settled(matched.unionByName(more), "matched")
+            release(spark)
+    release(spark)
+    marked = matched.select(F.col("x").alias("number"), F.lit(True).alias("goes"))
+    judged = entries.select("key", "key2", "id", "pos", "rows", "number").join(marked, "number", "left").where("rows > 1 or goes")
+    judged = judged.select("key", "key2", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), "goes")
     at_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))
     return lines.select("id", "text_key", "pos", "key", "key2").join(judged.hint("merge"), ["key", "key2"]).where(
         F.col("goes").isNotNull() | ~at_first
     ).select("id", "text_key", "pos")
 
 
-def _bit(code: Column) -> Column:
-    """One of 64 bits, by the low bits of a token's hash."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), code.bitwiseAND(F.lit(63)).cast("int"))
+def _parity(hashes: Column, of: int) -> Column:
+    """A signature's half: which of its 64 bits, picked by a hash's low seven bits, are met an odd
+    number of times."""
+    none = F.lit(0).cast("long")
+
+    def bit(h: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(h.bitwiseAND(F.lit(64)) == of, one).otherwise(none)
+
+    return F.aggregate(hashes, none, lambda s, h: s.bitwiseXOR(bit(h)))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` without the lines that an earlier line matches; with ``counts``, the numbers of
     lines and of removed lines in columns of these names."""
     gone = settled(removed_lines(docs, percent, id_col, text_col).groupBy("id", "text_key").agg(F.collect_set("pos").alias("gone")), "gone")
-    _release(docs.sparkSession)
+    release(docs.sparkSession)
     own_id, own_key, places = (free_name(docs, c) for c in ("own_id", "own_key", "gone"))
     gone = gone.select(F.col("id").alias(own_id), F.col("text_key").alias(own_key), F.col("gone").alias(places))
     joined = docs.join(
