@@ -494,3 +494,31 @@ def test_pipeline(spark, awkward, empty):  # noqa: ANN001, ANN201
             docs = after
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0
+
+
+def test_near_stage_against_brute_force(spark):  # noqa: ANN001, ANN201
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randint(60, 300))
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 5)):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 30))):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy).title())
+    texts += ["", " ", "one two", "One  two", None]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    near = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                near += 1
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert near > 60
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], SHAPE)
+    stayed = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, SF).collect()}
+    assert stayed == {i for i, r in enumerate(root) if i == r}
