@@ -2,8 +2,8 @@
 
 The standard library's parser streams events.  They become lines, one per block of the page, each
 with its text, the tags met in it, and the containers it stands in.  What the markup itself names
-as something else (menus, forms, adverts, comments...) is left out from the start.  A line's
-text-to-tag ratio is smoothed over its neighbours by a Gaussian and two clusters, one of them held
+as something else (menus, forms, adverts, comments...) is left out from the start, though parts that
+only a class or id names so take part if they hold most of the page's text.  A line's text-to-tag ratio is smoothed over its neighbours by a Gaussian and two clusters, one of them held
 at zero, set the threshold above which a line is content.  The content lines choose the container:
 from the page inwards, the one that holds nearly all their text.  An article or main element gives
 all its lines; any other container those from its first content line to its last, and headings
@@ -42,6 +42,8 @@ SKIPPED = frozenset(
 )
 #: Left out too, the last one only outside an article or main element.
 ASIDE = frozenset(("aside", "footer", "header"))
+#: What a head may hold; anything else ends it, as its end tag may be missing.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that name a part as something else.
@@ -65,26 +67,34 @@ class _Line:
         self.inside, self.tag, self.tags, self.parts, self.text = inside, tag, 0, [], ""
 
 
-def _named_apart(attrs: list[tuple[str, str | None]]) -> bool:
+def _named_apart(attrs: list[tuple[str, str | None]]) -> str:
+    """Whether an element is named as something else: by "class" or id alone, by "markup", or "" not at all."""
+    named = ""
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             lowered = value.lower()
             if not NAMED.isdisjoint(lowered.split()) or not NAMED.isdisjoint(PARTS.split(lowered)):
-                return True
+                named = "markup" if name == "role" else named or "class"
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+            named = "markup"
+    return named
 
 
 class PageLines(HTMLParser):
-    """Turns the events of a page into lines; ``parents`` and ``kinds`` describe its containers."""
+    """Turns the events of a page into lines; ``parents`` and ``kinds`` describe its containers.
 
-    def __init__(self) -> None:
+    ``keep`` has the numbers of start tags whose class or id doesn't count.
+    """
+
+    def __init__(self, keep: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
         self.parents, self.kinds = [-1], ["page"]
-        #: Open elements that matter: (tag, container or -1, whether it is left out).
-        self._open: list[tuple[str, int, bool]] = []
+        #: Open elements that matter: (tag, container or -1, whether it is left out, that by class alone).
+        self._open: list[tuple[str, int, bool, bool]] = []
+        #: The page, then elements left out by class alone: [the one around, start tag, characters, those in MAIN].
+        self.named = [[-1, -1, 0, 0]]
+        self._keep, self._tag, self._within, self._hard = keep, -1, 0, 0
         self._inside, self._out, self._main = 0, 0, 0
         self._line = _Line(0, "")
 
@@ -99,14 +109,28 @@ class PageLines(HTMLParser):
 
     def _close(self, k: int) -> None:
         """Close the open elements from the k-th on."""
-        for tag, container, out in reversed(self._open[k:]):
+        for tag, container, out, by_class in reversed(self._open[k:]):
             self._out -= out
+            self._hard -= out and not by_class
+            if by_class:
+                self._within = self.named[self._within][0]
             self._main -= tag in MAIN
             if container >= 0:
                 self._inside = self.parents[container]
         del self._open[k:]
 
+    def _end_head(self, at_body: bool) -> None:
+        """Close an open head; what it has left out inside goes with it only where the body begins."""
+        if not self._out:
+            return
+        outs = [k for k, x in enumerate(self._open) if x[2]]
+        if self._open[outs[0]][0] == "head" and (at_body or len(outs) == 1):
+            self._close(outs[0])
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._tag += 1
+        if tag not in IN_HEAD:
+            self._end_head(tag == "body")
         if tag in VOID:
             if tag == "hr":
                 self._break()
@@ -115,12 +139,16 @@ class PageLines(HTMLParser):
             self._line.tags += 1
             return
         apart = _named_apart(attrs)
+        if apart == "class" and self._tag in self._keep:
+            apart = ""
         if tag in MAIN and self._out and not apart:
             # An article inside a menu or an advert: their end tags are missing.
             first = next(k for k, x in enumerate(self._open) if x[2])
             if self._open[first][0] in ("nav", "menu", "header", "div", "ul"):
                 self._close(first)
-        out = apart or tag in SKIPPED or (tag in ASIDE and not (tag == "header" and self._main))
+        out = tag in SKIPPED or (tag in ASIDE and not (tag == "header" and self._main))
+        by_class = apart == "class" and not out and tag not in ("html", "body")
+        out = out or bool(apart)
         if tag in ("html", "body"):
             out = False
         if tag in BLOCKS:
@@ -133,8 +161,12 @@ class PageLines(HTMLParser):
             self._inside = container
             self._line.inside = container
         if container >= 0 or out:
-            self._open.append((tag, container, out))
+            self._open.append((tag, container, out, by_class))
             self._out += out
+            self._hard += out and not by_class
+            if by_class:
+                self.named.append([self._within, self._tag, 0, 0])
+                self._within = len(self.named) - 1
             self._main += tag in MAIN
         self._line.tags += 1
 
@@ -154,6 +186,12 @@ class PageLines(HTMLParser):
         self._line.tags += 1
 
     def handle_data(self, data: str) -> None:
+        if self._out and not data.isspace():
+            self._end_head(False)
+        if not self._hard:
+            chars = sum(map(len, data.split()))
+            self.named[self._within][2] += chars
+            self.named[self._within][3] += chars * (self._main > 0)
         if not self._out:
             self._line.parts.append(data)
 
@@ -163,6 +201,25 @@ class PageLines(HTMLParser):
         return self.lines
 
 
+def _wrongly_named(named: list[list[int]]) -> frozenset[int]:
+    """Start tags of the parts that only a class or id leaves out while they hold most of the text.
+
+    From the page inwards: parts in parts that are taken back are judged against what is then left.
+    An article or main element with text needs no others.
+    """
+    total, inner = [x[2] for x in named], [[] for _ in named]
+    for k in range(len(named) - 1, 0, -1):
+        total[named[k][0]] += total[k]
+        inner[named[k][0]].append(k)
+    chars, in_main, level, back = named[0][2], named[0][3], inner[0], set()
+    while level and not in_main and sum(total[k] for k in level) > chars:
+        back |= {named[k][1] for k in level}
+        chars += sum(named[k][2] for k in level)
+        in_main += sum(named[k][3] for k in level)
+        level = [j for k in level for j in inner[k]]
+    return frozenset(back)
+
+
 def _smooth(ratios: np.ndarray) -> np.ndarray:
     kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
     return np.convolve(ratios, kernel / kernel.sum(), "full")[REACH : REACH + len(ratios)]
@@ -185,6 +242,10 @@ def main_text(html: str) -> str:
     parser = PageLines()
     parser.feed(html)
     lines = parser.finish()
+    if back := _wrongly_named(parser.named):
+        parser = PageLines(back)
+        parser.feed(html)
+        lines = parser.finish()
     if not lines:
         return ""
     ratios = _smooth(np.array([len(x.text) / max(1, x.tags) for x in lines]))

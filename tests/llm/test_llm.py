@@ -129,6 +129,27 @@ def test_pages_without_an_article_element():  # noqa: ANN201
     assert html_text.main_text(f"<body><ul>{links}</ul><div><div>{body}</div></div><ul>{links}</ul></body>").count("\n") == 7
 
 
+BODY = "<p>" + "A long sentence of the body that says something. " * 6 + "</p>"
+PROSE = ("A long sentence of the body that says something. " * 6).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>t</title><meta charset=x><body>{BODY}</body></html>",
+        f"<html><head><title>t</title>{BODY}",
+        f"<html><head><title>t</title><noscript><p>off</p></noscript></head><body>{BODY}",
+        f"<body><div class='has-sidebar'>{BODY}<div class='sidebar'>x <a>y</a></div></div></body>",
+        f"<body><div class='social-science'>{BODY}</div></body>",
+        f"<body><article class='post comments-open'>{BODY}<div class='comments'><p>me too</p></div></article></body>",
+        f"<body><article>{BODY}</article><div class='comments'>{'<p>me too, and at some length</p>' * 40}</div></body>",
+        f"<body><p hidden>{'x ' * 900}</p>{BODY}</body>",
+    ],
+)
+def test_pages_lose_no_body(page):  # noqa: ANN001, ANN201
+    assert html_text.main_text(page) == PROSE
+
+
 def test_pages_query(spark):  # noqa: ANN001, ANN201
     got = {r["page_id"]: r for r in entries.queries()["op2_html_text"](spark, SF).collect()}
     t = pq.read_table(f"{SF}/pages.parquet")
