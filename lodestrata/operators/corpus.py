@@ -132,6 +132,24 @@ def term_shift(rows: DataFrame, old: str, new: str, text: str, page: str) -> Dat
     return counts.where("old > 0 or new > 0").withColumn("only_old", (F.col("old") > 0) & (F.col("new") == 0))
 
 
+def _cut(token: str, weights: dict[str, float], shortest: int, longest: int) -> list[str] | None:
+    """The words of ``weights`` that cover ``token`` wholly with the greatest sum; null where none do."""
+    best: list[tuple[float, int] | None] = [(0.0, 0)] + [None] * len(token)
+    for end in range(shortest, len(token) + 1):
+        for size in range(shortest, min(longest, end) + 1):
+            before, weight = best[end - size], weights.get(token[end - size : end])
+            if before is not None and weight is not None and (best[end] is None or before[0] + weight > best[end][0]):
+                best[end] = (before[0] + weight, size)
+    if best[-1] is None:
+        return None
+    out, at = [], len(token)
+    while at:
+        size = best[at][1]
+        out.append(token[at - size : at])
+        at -= size
+    return out[::-1]
+
+
 def segmenter(vocabulary_df: dict[str, int], shortest: int = 2, longest: int = 12, least_chars: int = 5):  # noqa: ANN201
     """A pandas UDF that splits glued words into vocabulary words which cover them wholly, of the
     greatest sum of ln(total / df) times length; null where that can't be done or isn't due."""
@@ -141,20 +159,7 @@ def segmenter(vocabulary_df: dict[str, int], shortest: int = 2, longest: int = 1
     def one(token: str | None) -> list[str] | None:
         if token is None or len(token) < least_chars or token in vocabulary_df:
             return None
-        best: list[tuple[float, int] | None] = [(0.0, 0)] + [None] * len(token)
-        for end in range(shortest, len(token) + 1):
-            for size in range(shortest, min(longest, end) + 1):
-                before, weight = best[end - size], weights.get(token[end - size : end])
-                if before is not None and weight is not None and (best[end] is None or before[0] + weight > best[end][0]):
-                    best[end] = (before[0] + weight, size)
-        if best[-1] is None:
-            return None
-        out, at = [], len(token)
-        while at:
-            size = best[at][1]
-            out.append(token[at - size : at])
-            at -= size
-        return out[::-1]
+        return _cut(token, weights, shortest, longest)
 
     @F.pandas_udf("array<string>")
     def split(tokens: pd.Series) -> pd.Series:
@@ -163,6 +168,26 @@ def segmenter(vocabulary_df: dict[str, int], shortest: int = 2, longest: int = 1
     return split
 
 
+def segmented(words: DataFrame, vocabulary: DataFrame, shortest: int = 2, longest: int = 12, least_chars: int = 5) -> DataFrame:
+    """``words`` (word: different ones) that ``segmenter`` cuts, with their pieces.
+
+    ``vocabulary`` (term, df) may be of any size: it meets the words by their candidate pieces.
+    """
+    total = vocabulary.agg(F.sum("df").cast("double").alias("total"))
+    due = words.where(F.char_length("word") >= least_chars).join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti")
+    parts = f"flatten(transform(sequence(1, char_length(word) - {shortest} + 1), i -> transform(sequence({shortest}, least({longest}, char_length(word) - i + 1)), n -> substring(word, i, n))))"
+    parts = due.select("word", F.explode(F.array_distinct(F.expr(parts))).alias("term"))
+    known = parts.join(vocabulary, "term").groupBy("word").agg(F.collect_list(F.struct("term", F.col("df").cast("double").alias("df"))).alias("known"))
+
+    @F.pandas_udf("array<string>")
+    def split(tokens: pd.Series, terms: pd.Series, dfs: pd.Series, totals: pd.Series) -> pd.Series:
+        rows = zip(tokens, terms, dfs, totals, strict=True)
+        return pd.Series([_cut(t, {w: math.log(n / df) * len(w) for w, df in zip(ws, ds, strict=True)}, shortest, longest) for t, ws, ds, n in rows], dtype=object)
+
+    cut = known.crossJoin(F.broadcast(total)).select("word", split("word", "known.term", "known.df", "total").alias("pieces"))
+    return cut.where("pieces is not null")
+
+
 def document_kinds(text: Column) -> list[Column]:
     """Flags of what a text looks like."""
     return [

@@ -122,8 +122,7 @@ def page_split(spark, d):  # noqa: ANN001, ANN201
 @query("segment_words")
 def segment_words(spark, d):  # noqa: ANN001, ANN201
     """Long words of the documents cut into vocabulary words, where that can be done."""
-    known = corpus.vocabulary(page_sections(spark, d), "text", least=20).orderBy(F.desc("df"), "term").limit(2000)
-    split = corpus.segmenter({r["term"]: r["df"] for r in known.collect()})
+    known = corpus.vocabulary(page_sections(spark, d), "text")
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
-    words = table(spark, d, "documents").select(word).where(F.char_length("word") >= 5).distinct()
-    return words.select("word", F.array_join(split("word"), "+").alias("pieces")).where("pieces is not null")
+    words = table(spark, d, "documents").select(word).distinct()
+    return corpus.segmented(words, known).select("word", F.array_join("pieces", "+").alias("pieces"))

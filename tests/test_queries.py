@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import math
 import os
 
 import duckdb
@@ -52,3 +53,23 @@ def test_against_sql(spark, duck, name):  # noqa: ANN001, ANN201
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_runs(spark, name):  # noqa: ANN001, ANN201
     assert plans.queries()[name](spark, SF).count() >= 0
+
+
+def test_segment_words_against_brute_force(spark):  # noqa: ANN001, ANN201
+    df = {r["term"]: r["df"] for r in plans.queries()["vocabulary_df"](spark, SF).collect()}
+    total = sum(df.values())
+
+    def cuts(word: str) -> list[list[str]]:
+        heads = [word[:n] for n in range(2, min(12, len(word)) + 1) if word[:n] in df]
+        return [[h, *rest] for h in heads for rest in (cuts(word[len(h) :]) if h != word else [[]])]
+
+    def weight(pieces: list[str]) -> float:
+        return sum(math.log(total / df[p]) * len(p) for p in pieces)
+
+    text = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("explode(split(lower(text), '[^\\\\p{L}]+')) as word").distinct()
+    words = [r["word"] for r in text.collect() if r["word"] is not None]
+    want = {w: max(map(weight, c)) for w in words if 5 <= len(w) and w not in df and (c := cuts(w))}
+    got = {r["word"]: r["pieces"].split("+") for r in plans.queries()["segment_words"](spark, SF).collect()}
+    assert want
+    assert {w: round(weight(p), 6) for w, p in got.items()} == {w: round(n, 6) for w, n in want.items()}
+    assert all("".join(p) == w for w, p in got.items())
