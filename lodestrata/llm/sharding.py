@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.llm._shared import free_name, settled, table
 
@@ -29,6 +30,8 @@ BITS = 4 * DIGITS
 STEP = 12
 #: Bits of the grid that rows and leaves meet on.
 GRID = 12
+#: Parts in which equal rows are numbered.
+PARTS = 64
 
 
 def hash_bits(id_col: str, text_col: str) -> Column:
@@ -81,6 +84,15 @@ def assign_shards(docs: DataFrame, byte_limit: int = BYTE_LIMIT, step: int = STE
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     rows = settled(docs.select(F.col(id_col).alias("id"), hash_bits(id_col, text_col).alias("bits"), size.alias("bytes")), "rows")
     leaves = directory(rows.select("bits", "bytes"), byte_limit, step)
+    held = _placed(rows, leaves)
+    deep = leaves.where((F.col("bytes") > byte_limit) & (F.col("rows") > 1))
+    if deep.isEmpty():
+        return held.drop("bits")
+    return _pages(held, byte_limit)
+
+
+def _placed(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``rows`` (bits, bytes and others) with shard, depth, shard_bytes and shard_rows of their leaf."""
     # Leaves are ranges of hash values; one is listed under each cell of a grid that it touches.
     starts = leaves.select(
         F.call_function("shiftleft", F.col("prefix"), F.lit(BITS) - F.col("depth")).alias("start"),
@@ -94,11 +106,8 @@ def assign_shards(docs: DataFrame, byte_limit: int = BYTE_LIMIT, step: int = STE
     keyed = rows.withColumn("cell", _prefix(F.col("bits"), shallow))
     held = keyed.join(listed, "cell").where("bits >= start and bits < end")
     shard = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), "0"))
-    held = held.select("id", "bits", shard.alias("shard"), "depth", "bytes", "shard_bytes", "shard_rows")
-    deep = leaves.where((F.col("bytes") > byte_limit) & (F.col("rows") > 1))
-    if deep.isEmpty():
-        return held.drop("bits")
-    return _pages(held, byte_limit)
+    own = [c for c in rows.columns if c not in ("bits", "bytes")]
+    return held.select(*own, "bits", shard.alias("shard"), "depth", "bytes", "shard_bytes", "shard_rows")
 
 
 def _pages(held: DataFrame, byte_limit: int) -> DataFrame:
@@ -115,13 +124,23 @@ def _pages(held: DataFrame, byte_limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, byte_limit: int = BYTE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` into one folder per bucket."""
-    held = assign_shards(docs, byte_limit, id_col=id_col, text_col=text_col).select(F.col("id").alias("own_id"), "shard").distinct()
-    held = held.withColumn("shard", F.regexp_replace("shard", r"\..*", "")).distinct()
-    name = free_name(docs, "shard")
-    held = held.withColumnRenamed("shard", name)
-    joined = docs.join(held, F.col(id_col).eqNullSafe(F.col("own_id"))).drop("own_id")
-    joined.repartition(name).write.mode("overwrite").partitionBy(name).parquet(path)
+    """Write ``docs`` into one folder per shard; overflow pages are shards of their own."""
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(whole, hash_bits(id_col, text_col).alias("bits"), size.alias("bytes"))
+    leaves = directory(settled(rows.select("bits", "bytes"), "rows"), byte_limit)
+    held, name = _placed(rows, leaves), free_name(docs, "shard")
+    large = (F.col("shard_bytes") > byte_limit) & (F.col("shard_rows") > 1)
+    # Equal rows are numbered in parts, so that no task has to count them all.
+    paged = settled(held.where(large).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))), "paged")
+    before = F.sum("count").over(Window.partitionBy("bits").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = paged.groupBy("bits", "part").count().select("bits", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("bits", "part").orderBy("bytes")) - 1
+    fit = F.greatest(F.lit(1), F.floor(F.lit(byte_limit) / F.greatest(F.col("bytes"), F.lit(1))))
+    page = F.floor(number / fit).cast("long")
+    paged = paged.join(counts, ["bits", "part"]).select("row", F.concat("shard", F.lit("."), page).alias("shard"))
+    out = held.where(~large).select("row", "shard").unionByName(paged).select("row.*", F.col("shard").alias(name))
+    out.repartition(name).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
 #: The tables at hand are small; a limit of 1 MiB splits them as 128 MiB splits a corpus.

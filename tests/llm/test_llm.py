@@ -241,6 +241,20 @@ def plain_line_dedup(texts: list[tuple[int, str]]) -> dict[int, str]:
     return kept
 
 
+def test_written_shards(spark, tmp_path):  # noqa: ANN001, ANN201
+    rows = [(None, f"text {i} " * 9, "x", 1) for i in range(40)] + [(7, f"other {i} " * 9, "y", 2) for i in range(40)] + [(8, "same " * 20, "z", 3)] * 95
+    path = str(tmp_path / "shards")
+    sharding.write_shards(spark.createDataFrame(rows, SHAPE), path, byte_limit=1000)
+    found = spark.read.parquet(path).select("doc_id", "text", "gone", "fp", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("folder")).collect()
+    shown = lambda r: (r[0] is None, r[0] or 0, *r[1:4])
+    assert sorted(map(shown, found)) == sorted(map(shown, rows))
+    held = Counter()
+    for r in found:
+        held[r["folder"]] += len(r["text"])
+    assert max(held.values()) <= 1000
+    assert sum("." in f for f in held) == 10
+
+
 def test_lines_against_brute_force(spark):  # noqa: ANN001, ANN201
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
