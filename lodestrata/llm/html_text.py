@@ -1,23 +1,29 @@
 """Main text of web pages by smoothed text-to-tag ratios.
 
 The standard library's parser streams events.  They become lines, one per block of the page, each
-with its text, the tags met in it, and the containers it stands in.  What the markup itself names
-as something else (menus, forms, adverts, comments...) is left out from the start, though parts that
-only a class or id names so take part if they hold most of the page's text.  A line's text-to-tag ratio is smoothed over its neighbours by a Gaussian and two clusters, one of them held
-at zero, set the threshold above which a line is content.  The content lines choose the container:
-from the page inwards, the one that holds nearly all their text.  An article or main element gives
-all its lines; any other container those from its first content line to its last, and headings
-just before.
+with its text, the tags met in it, and the innermost container it stands in.  A line's text-to-tag
+ratio is smoothed over its neighbours by a Gaussian; in parts that the markup names as something
+else (menus, adverts, comments...) only a share of it counts.  Two clusters of square roots,
+one of them held at zero, set the threshold above which a line is content.
+
+The content lines select the regions, from the page inwards.  A container most of whose own lines
+are content, or an article or main element most of whose text is, is a region and gives all its
+lines, short ones too; parts inside it go only if most of their text is not content and the markup
+names them as something else or, outside an article, they are mostly links.  In any other container
+each part is judged on its own.  Headings just before a region's first line belong to it.  If no
+container is a region, the content lines themselves are the text.
 
 Defined results
-    null or empty html, and pages without content, give the empty text; repeated rows are read
-    each on its own; malformed pages are read as far as their events go; an empty table gives an
-    empty result; columns other than those named are ignored, whatever their names.
+    null or empty html, and pages without text, give the empty text; repeated rows are read
+    each on its own; malformed pages are read as far as their events go, in time linear in their
+    length; an empty table gives an empty result; columns other than those named are ignored,
+    whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -36,12 +42,10 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure footer form header html main menu nav ol section table td ul".split())
-SKIPPED = frozenset(
-    "applet audio button canvas datalist dialog embed form head iframe input map math menu nav noframes noscript object "
-    "optgroup option output script select style svg template textarea title video".split()
-)
-#: Left out too, the last one only outside an article or main element.
-ASIDE = frozenset(("aside", "footer", "header"))
+#: Never shown as text: the page's head, scripts, styles, controls of forms, embedded media.
+SKIPPED = frozenset("audio canvas datalist embed head iframe noembed noframes noscript optgroup script select style template textarea video".split())
+#: Named as something else by the element itself, a header only outside an article or main element.
+APART = frozenset("aside dialog footer form header menu nav".split())
 #: What a head may hold; anything else ends it, as its end tag may be missing.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 MAIN = frozenset(("article", "main"))
@@ -52,50 +56,50 @@ NAMED = frozenset(
     "comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus feedback "
     "footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification "
     "outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond "
-    "search share sharing sidebar signup site-footer site-header skip skip-link social sponsor sponsored subscribe "
-    "subscription taboola toc toolbar topbar widget widgets".split()
+    "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toc toolbar topbar "
+    "widget widgets".split()
 )
 PARTS = re.compile(r"[^A-Za-z]+")
 SPACE = re.compile(r"\s+")
-SIGMA, REACH, SHARE = 1.0, 3, 0.8
+SIGMA, REACH = 1.0, 3
+#: What share of a ratio counts in a part named as something else: by a whole word, or by a word in a longer name.
+WHOLE, PARTLY = 0.02, 0.1
 
 
 class _Line:
-    __slots__ = ("inside", "parts", "tag", "tags", "text")
+    __slots__ = ("inside", "linked", "parts", "tag", "tags", "text")
 
     def __init__(self, inside: int, tag: str) -> None:
-        self.inside, self.tag, self.tags, self.parts, self.text = inside, tag, 0, [], ""
+        self.inside, self.tag, self.tags, self.linked, self.parts, self.text = inside, tag, 0, 0, [], ""
 
 
-def _named_apart(attrs: list[tuple[str, str | None]]) -> str:
-    """Whether an element is named as something else: by "class" or id alone, by "markup", or "" not at all."""
-    named = ""
+def _named_apart(attrs: list[tuple[str, str | None]]) -> float:
+    """The share of ratios that counts inside an element of these attributes: 0 if it isn't shown at all."""
+    share = 1.0
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             lowered = value.lower()
-            if not NAMED.isdisjoint(lowered.split()) or not NAMED.isdisjoint(PARTS.split(lowered)):
-                named = "markup" if name == "role" else named or "class"
+            if not NAMED.isdisjoint(lowered.split()):
+                share = min(share, WHOLE)
+            elif not NAMED.isdisjoint(PARTS.split(lowered)):
+                share = min(share, PARTLY)
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            named = "markup"
-    return named
+            return 0.0
+    return share
 
 
 class PageLines(HTMLParser):
-    """Turns the events of a page into lines; ``parents`` and ``kinds`` describe its containers.
-
-    ``keep`` has the numbers of start tags whose class or id doesn't count.
-    """
+    """Turns the events of a page into lines.  Of each container it keeps the one around it, its
+    element, the share of ratios that counts in it and whether it is named as something else itself."""
 
-    def __init__(self, keep: frozenset[int] = frozenset()) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.parents, self.kinds = [-1], ["page"]
-        #: Open elements that matter: (tag, container or -1, whether it is left out, that by class alone).
-        self._open: list[tuple[str, int, bool, bool]] = []
-        #: The page, then elements left out by class alone: [the one around, start tag, characters, those in MAIN].
-        self.named = [[-1, -1, 0, 0]]
-        self._keep, self._tag, self._within, self._hard = keep, -1, 0, 0
-        self._inside, self._out, self._main = 0, 0, 0
+        self.parents, self.kinds, self.shares, self.apart = [-1], ["page"], [1.0], [False]
+        #: Open elements that matter: (tag, container or -1, whether it is left out).
+        self._open: list[tuple[str, int, bool]] = []
+        self._opened: Counter[str] = Counter()
+        self._inside, self._out, self._main, self._links = 0, 0, 0, 0
         self._line = _Line(0, "")
 
     def _break(self, tag: str = "") -> None:
@@ -109,11 +113,9 @@ class PageLines(HTMLParser):
 
     def _close(self, k: int) -> None:
         """Close the open elements from the k-th on."""
-        for tag, container, out, by_class in reversed(self._open[k:]):
+        for tag, container, out in reversed(self._open[k:]):
+            self._opened[tag] -= 1
             self._out -= out
-            self._hard -= out and not by_class
-            if by_class:
-                self._within = self.named[self._within][0]
             self._main -= tag in MAIN
             if container >= 0:
                 self._inside = self.parents[container]
@@ -121,14 +123,13 @@ class PageLines(HTMLParser):
 
     def _end_head(self, at_body: bool) -> None:
         """Close an open head; what it has left out inside goes with it only where the body begins."""
-        if not self._out:
+        if not self._out or not self._opened["head"]:
             return
         outs = [k for k, x in enumerate(self._open) if x[2]]
         if self._open[outs[0]][0] == "head" and (at_body or len(outs) == 1):
             self._close(outs[0])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._tag += 1
         if tag not in IN_HEAD:
             self._end_head(tag == "body")
         if tag in VOID:
@@ -138,19 +139,14 @@ class PageLines(HTMLParser):
                 self._line.parts.append(" ")
             self._line.tags += 1
             return
-        apart = _named_apart(attrs)
-        if apart == "class" and self._tag in self._keep:
-            apart = ""
-        if tag in MAIN and self._out and not apart:
-            # An article inside a menu or an advert: their end tags are missing.
-            first = next(k for k, x in enumerate(self._open) if x[2])
-            if self._open[first][0] in ("nav", "menu", "header", "div", "ul"):
-                self._close(first)
-        out = tag in SKIPPED or (tag in ASIDE and not (tag == "header" and self._main))
-        by_class = apart == "class" and not out and tag not in ("html", "body")
-        out = out or bool(apart)
-        if tag in ("html", "body"):
-            out = False
+        share = 1.0 if tag in ("html", "body") else _named_apart(attrs)
+        if tag in MAIN and not self._out and self._opened["nav"] + self._opened["menu"] > 0:
+            # An article inside a menu: the menu's end tag is missing.
+            self._break()
+            self._close(next(k for k, x in enumerate(self._open) if x[0] in ("nav", "menu")))
+        if tag in APART and not (tag == "header" and self._main):
+            share = min(share, WHOLE)
+        out = tag in SKIPPED or not share or (tag == "title" and self._opened["head"] > 0)
         if tag in BLOCKS:
             self._break(tag)
         container = -1
@@ -158,42 +154,40 @@ class PageLines(HTMLParser):
             container = len(self.parents)
             self.parents.append(self._inside)
             self.kinds.append(tag)
+            self.shares.append(max(1e-9, self.shares[self._inside] * share))
+            self.apart.append(share < 1)
             self._inside = container
             self._line.inside = container
         if container >= 0 or out:
-            self._open.append((tag, container, out, by_class))
+            self._open.append((tag, container, out))
+            self._opened[tag] += 1
             self._out += out
-            self._hard += out and not by_class
-            if by_class:
-                self.named.append([self._within, self._tag, 0, 0])
-                self._within = len(self.named) - 1
             self._main += tag in MAIN
+        self._links += tag == "a"
         self._line.tags += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in self.CDATA_CONTENT_ELEMENTS and tag in ("svg", "math"):
+        if tag in ("svg", "math"):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._break()
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k][0] == tag:
-                self._close(k)
-                break
+        if self._opened[tag] > 0:
+            self._close(next(k for k in range(len(self._open) - 1, -1, -1) if self._open[k][0] == tag))
+        if tag == "a" and self._links:
+            self._links -= 1
         self._line.inside = self._inside
         self._line.tags += 1
 
     def handle_data(self, data: str) -> None:
         if self._out and not data.isspace():
             self._end_head(False)
-        if not self._hard:
-            chars = sum(map(len, data.split()))
-            self.named[self._within][2] += chars
-            self.named[self._within][3] += chars * (self._main > 0)
         if not self._out:
             self._line.parts.append(data)
+            if self._links:
+                self._line.linked += len(data)
 
     def finish(self) -> list[_Line]:
         self.close()
@@ -201,25 +195,6 @@ class PageLines(HTMLParser):
         return self.lines
 
 
-def _wrongly_named(named: list[list[int]]) -> frozenset[int]:
-    """Start tags of the parts that only a class or id leaves out while they hold most of the text.
-
-    From the page inwards: parts in parts that are taken back are judged against what is then left.
-    An article or main element with text needs no others.
-    """
-    total, inner = [x[2] for x in named], [[] for _ in named]
-    for k in range(len(named) - 1, 0, -1):
-        total[named[k][0]] += total[k]
-        inner[named[k][0]].append(k)
-    chars, in_main, level, back = named[0][2], named[0][3], inner[0], set()
-    while level and not in_main and sum(total[k] for k in level) > chars:
-        back |= {named[k][1] for k in level}
-        chars += sum(named[k][2] for k in level)
-        in_main += sum(named[k][3] for k in level)
-        level = [j for k in level for j in inner[k]]
-    return frozenset(back)
-
-
 def _smooth(ratios: np.ndarray) -> np.ndarray:
     kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
     return np.convolve(ratios, kernel / kernel.sum(), "full")[REACH : REACH + len(ratios)]
@@ -237,46 +212,54 @@ def _threshold(values: np.ndarray) -> float:
     return centre / 2
 
 
+def content_lines(lines: list[_Line], shares: list[float]) -> list[bool]:
+    """Which lines are content, from their ratios alone."""
+    ratios = _smooth(np.array([len(x.text) / max(1, x.tags) for x in lines]))
+    values = np.sqrt(ratios * np.array([shares[x.inside] for x in lines]))
+    return (values >= _threshold(values)).tolist()
+
+
+def regions(page: PageLines, content: list[bool]) -> list[bool]:
+    """Which lines belong to the main text, given which are content."""
+    count, parents = len(page.parents), page.parents
+    own, own_content, linked = [0] * count, [0] * count, [0] * count
+    for line, chosen in zip(page.lines, content, strict=True):
+        own[line.inside] += len(line.text)
+        own_content[line.inside] += len(line.text) * chosen
+        linked[line.inside] += min(line.linked, len(line.text))
+    total, total_content = own.copy(), own_content.copy()
+    for k in range(count - 1, 0, -1):
+        for sums in (total, total_content, linked):
+            sums[parents[k]] += sums[k]
+    region, dropped, in_main = [False] * count, [False] * count, [False] * count
+    for k in range(count):
+        above = parents[k]
+        in_main[k] = page.kinds[k] in MAIN or (k > 0 and in_main[above])
+        mostly = 2 * total_content[k] >= total[k] > 0
+        if k and (dropped[above] or region[above]):
+            other = page.apart[k] or (2 * linked[k] > total[k] and not in_main[k])
+            dropped[k] = dropped[above] or (other and not mostly)
+            region[k] = not dropped[k]
+        else:
+            region[k] = 2 * own_content[k] >= own[k] > 0 or (page.kinds[k] in MAIN and mostly)
+    kept = [region[line.inside] for line in page.lines]
+    if not any(kept):
+        return content
+    for k in range(len(kept) - 2, -1, -1):
+        if kept[k + 1] and page.lines[k].tag in HEADINGS and not dropped[page.lines[k].inside] and page.shares[page.lines[k].inside] == page.shares[page.lines[k + 1].inside]:
+            kept[k] = True
+    return kept
+
+
 def main_text(html: str) -> str:
     """The main text of a page, its blocks joined by line feeds."""
-    parser = PageLines()
-    parser.feed(html)
-    lines = parser.finish()
-    if back := _wrongly_named(parser.named):
-        parser = PageLines(back)
-        parser.feed(html)
-        lines = parser.finish()
+    page = PageLines()
+    page.feed(html)
+    lines = page.finish()
     if not lines:
         return ""
-    ratios = _smooth(np.array([len(x.text) / max(1, x.tags) for x in lines]))
-    content = ratios >= _threshold(ratios)
-    # Text of the content lines per container, its inner ones included.
-    weight = [0] * len(parser.parents)
-    for line, chosen in zip(lines, content.tolist(), strict=True):
-        weight[line.inside] += len(line.text) * chosen
-    for k in range(len(weight) - 1, 0, -1):
-        weight[parser.parents[k]] += weight[k]
-    children: list[list[int]] = [[] for _ in weight]
-    for k in range(1, len(weight)):
-        children[parser.parents[k]].append(k)
-    at = 0
-    while parser.kinds[at] not in MAIN:
-        best = max(children[at], key=weight.__getitem__, default=0)
-        if not best or weight[best] < SHARE * weight[at]:
-            break
-        at = best
-    inner = [False] * len(weight)
-    inner[at] = True
-    for k in range(at + 1, len(weight)):
-        inner[k] = inner[parser.parents[k]]
-    held = [k for k, line in enumerate(lines) if inner[line.inside]]
-    if parser.kinds[at] not in MAIN and held:
-        chosen = [i for i, k in enumerate(held) if content[k]]
-        first, last = (chosen[0], chosen[-1]) if chosen else (0, len(held) - 1)
-        while first and lines[held[first - 1]].tag in HEADINGS:
-            first -= 1
-        held = held[first : last + 1]
-    return "\n".join(lines[k].text for k in held)
+    kept = regions(page, content_lines(lines, page.shares))
+    return "\n".join(line.text for line, stays in zip(lines, kept, strict=True) if stays)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text", keep: tuple[str, ...] = ("page_id", "url"), reader: Callable[[str], str] = main_text) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from xml.etree import ElementTree
 
 import duckdb
 import numpy as np
@@ -150,6 +153,133 @@ def test_pages_lose_no_body(page):  # noqa: ANN001, ANN201
     assert html_text.main_text(page) == PROSE
 
 
+def plain_regions(root: ElementTree.Element) -> str:
+    """The rules of ``html_text`` over a well-formed page, each by its definition."""
+    lines, above, order = [], {}, []
+
+    def share(e: ElementTree.Element) -> float:
+        words = set((e.get("class") or "").split())
+        return 0.02 if e.tag in ("nav", "footer", "aside") or words & html_text.NAMED else 1.0
+
+    def walk(e: ElementTree.Element, inside: ElementTree.Element) -> None:
+        if e.tag in html_text.CONTAINERS:
+            above[e], inside = inside, e
+            order.append(e)
+        if e.tag in ("p", "h1", "li"):
+            links = sum(len(a.text) for a in e.iter("a"))
+            lines.append([inside, "".join(e.itertext()), links, e.tag])
+        for child in e:
+            walk(child, inside)
+
+    walk(root, None)
+
+    def inside(k: int, e: ElementTree.Element) -> bool:
+        at = lines[k][0]
+        while at is not None and at is not e:
+            at = above[at]
+        return at is e
+
+    html = ElementTree.tostring(root, encoding="unicode")
+    page = html_text.PageLines()
+    page.feed(html)
+    tags = [x.tags for x in page.finish()]
+    n = len(lines)
+    weights = [math.exp(-0.5 * d * d) for d in range(-3, 4)]
+    values = []
+    for k, (at, *_) in enumerate(lines):
+        ratio = sum(w * len(lines[j][1]) / max(1, tags[j]) for w, j in zip(weights, range(k - 3, k + 4), strict=True) if 0 <= j < n) / sum(weights)
+        while at is not None:
+            ratio *= share(at)
+            at = above[at]
+        values.append(math.sqrt(ratio))
+    centre = max(values)
+    for _ in range(60):
+        upper = [v for v in values if v >= centre / 2]
+        centre = sum(upper) / len(upper)
+    content = [v >= centre / 2 - 1e-12 for v in values]
+    size = lambda held, chosen=False: sum(len(lines[k][1]) for k in held if content[k] or not chosen)
+    state = {}
+    for e in order:
+        held, own = [k for k in range(n) if inside(k, e)], [k for k in range(n) if lines[k][0] is e]
+        mostly = held and 2 * size(held, True) >= size(held)
+        up, in_main = above[e], e.tag == "article"
+        while up is not None and not in_main:
+            in_main, up = up.tag == "article", above[up]
+        if state.get(above[e]):
+            other = share(e) < 1 or (2 * sum(lines[k][2] for k in held) > size(held) and not in_main)
+            state[e] = "out" if state[above[e]] == "out" or (other and not mostly) else "in"
+        elif (own and 2 * size(own, True) >= size(own)) or (e.tag == "article" and mostly):
+            state[e] = "in"
+    kept = [state.get(x[0]) == "in" for x in lines]
+    named = lambda at: 0 if at is None else (share(at) < 1) + named(above[at])
+    for k in range(n - 2, -1, -1):
+        if kept[k + 1] and lines[k][3] == "h1" and state.get(lines[k][0]) != "out" and named(lines[k][0]) == named(lines[k + 1][0]):
+            kept[k] = True
+    return "\n".join(x[1] for x, stays in zip(lines, kept if any(kept) else content, strict=True) if stays)
+
+
+def random_page(rng: random.Random) -> ElementTree.Element:
+    def fill(e: ElementTree.Element, depth: int, menu: bool = False) -> None:
+        # An article inside a menu ends it, as its end tag is taken to be missing; so none is put there.
+        for _ in range(rng.randint(1, 4)):
+            if depth and rng.random() < 0.45:
+                child = ElementTree.SubElement(e, rng.choice(["div", "div", "section", "nav", "aside", "ul", "footer", *["article"] * (not menu)]))
+                if rng.random() < 0.2:
+                    child.set("class", rng.choice(["comments", "sidebar", "story"]))
+                fill(child, depth - 1, menu or child.tag == "nav")
+            else:
+                leaf = ElementTree.SubElement(e, "li" if e.tag == "ul" else rng.choice(["p", "p", "p", "h1"]))
+                if e.tag in ("ul", "nav") or rng.random() < 0.15:
+                    ElementTree.SubElement(leaf, "a", href="/x").text = "link" * rng.randint(1, 4)
+                else:
+                    leaf.text = "w" * rng.choice([3, 20, 90, 400])
+
+    root = ElementTree.Element("body")
+    fill(root, 4)
+    return root
+
+
+def test_pages_against_plain_rules():  # noqa: ANN201
+    rng, several = random.Random(8), 0
+    for _ in range(400):
+        page = random_page(rng)
+        want = plain_regions(page)
+        assert html_text.main_text(ElementTree.tostring(page, encoding="unicode")) == want
+        several += 0 < len(want) < sum(len(t) for t in page.itertext())
+    assert several > 100
+
+
+def test_pages_are_decided_by_the_clusters(monkeypatch):  # noqa: ANN001, ANN201
+    pages = pq.read_table(f"{SF}/pages.parquet")["html"].to_pylist()
+    before = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "_threshold", lambda values: -math.inf)
+    assert sum(html_text.main_text(p) != b for p, b in zip(pages, before, strict=True)) > 0.9 * len(pages)
+
+
+@pytest.mark.parametrize(
+    ("page", "end"),
+    [
+        ("<article class='social-studies'>" + BODY + "<p>The end.</p></article>", "\nThe end."),
+        ("<div>" + BODY + BODY + "<p>The end.</p></div>", "\nThe end."),
+        ("<article>" + BODY + "<p>so <math><mi>x</mi></math> is <button>it</button></p></article>", "\nso x is it"),
+        ("<form id=all><nav>menu <a>a</a></nav><article>" + BODY + "</article></form>", PROSE),
+    ],
+)
+def test_pages_keep_what_belongs(page, end):  # noqa: ANN001, ANN201
+    assert html_text.main_text(page).startswith(PROSE)
+    assert html_text.main_text(page).endswith(end)
+
+
+def test_malformed_pages_take_linear_time():  # noqa: ANN201
+    def took(n: int) -> float:
+        began = time.perf_counter()
+        html_text.main_text("<div>" * n + "x" + "</section>" * n + "</div>" * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert min(took(16_000) for _ in range(3)) < 12 * min(took(4000) for _ in range(3))
+
+
 def test_pages_query(spark):  # noqa: ANN001, ANN201
     got = {r["page_id"]: r for r in entries.queries()["op2_html_text"](spark, SF).collect()}
     t = pq.read_table(f"{SF}/pages.parquet")
@@ -160,6 +290,9 @@ def test_pages_query(spark):  # noqa: ANN001, ANN201
 def test_pages_awkward(spark):  # noqa: ANN001, ANN201
     pages = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a</p>", "y"), (1, "u", "<b" * 5000, "z")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in html_text.extract_text(pages).collect())[0] == ""
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+    long = html_text.main_text("<article>" + "<p>words of a very long page, again and again</p>" * 40_000 + "</article>")
+    assert long.count("\n") == 39_999
 
 
 # Quality
@@ -192,6 +325,27 @@ def test_quality_awkward(spark, awkward, empty):  # noqa: ANN001, ANN201
     assert quality.score_quality(spark.read.parquet(empty)).count() == 0
 
 
+def test_quality_does_not_depend_on_partitions(spark):  # noqa: ANN001, ANN201
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = [{r["id"]: r["score"] for r in quality.score_quality(t, quality.fit(t, sample=150)).collect()} for t in (table, table.repartition(7))]
+    assert got[0] == got[1]
+
+
+def test_quality_is_decided_by_the_scorer(spark):  # noqa: ANN001, ANN201
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(table)
+    bad = quality.score_quality(table, model).where("not kept").count()
+    none = quality.Model(model.share, model.table, np.zeros(quality.FEATURES), 0.0)
+    assert bad > 0
+    assert quality.score_quality(table, none).where("not kept").count() == 0
+
+
+def test_quality_of_repetition_at_any_length():  # noqa: ANN201
+    sentence = "this very sentence comes again and again without an end "
+    assert all(quality.votes(quality.facts(sentence * n))[3] == -1 for n in (10, 100, 5000))
+    assert quality.facts(" \n") is None
+
+
 # Sharding
 
 
@@ -253,6 +407,7 @@ def test_written_shards(spark, tmp_path):  # noqa: ANN001, ANN201
         held[r["folder"]] += len(r["text"])
     assert max(held.values()) <= 1000
     assert sum("." in f for f in held) == 10
+    assert dict(spark.read.parquet(path).dtypes)["shard"] == "string"
 
 
 def test_lines_against_brute_force(spark):  # noqa: ANN001, ANN201
@@ -451,6 +606,9 @@ def test_base_spans_against_plain_patterns():  # noqa: ANN201
     for _ in range(20_000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 25)))
         assert [s[:3] for s in pii.spans_of(text) if s.kind in pii.BASE] == plain_spans(text)
+    zeros = "0" * 5000 + ".1.1.1"
+    assert pii.spans_of(zeros) == [("ip", 0, 5006, 0.6)]
+    assert pii.spans_of("9" * 5000 + ".1.1.1") == []
 
 
 def test_checksums_and_context():  # noqa: ANN201
@@ -463,6 +621,12 @@ def test_checksums_and_context():  # noqa: ANN201
     assert kinds(f'token = "{secret}"') == ["secret"]
     assert kinds(f"commit {secret} landed") == []
     assert kinds("ssn 123-45-6789") == ["identity"]
+    assert kinds("amex 3782 822463 10005, not 3782 822463 10006") == ["short_card"]
+    assert kinds("from 2001:db8:85a3:0:0:8a2e:370:7334 or at 10:20:30 in std::dec") == ["ipv6"]
+    assert kinds("the server fe80::1 and a::b") == ["ipv6", "ipv6"]
+    assert kinds("call (555) 123-4567") == ["national"]
+    assert kinds("part 555-123-4567") == []
+    assert kinds("+1 (826) 555-4081 161.17.88.162 x") == ["ip", "tel"]
     assert pii.redacted("a b@c.de f", pii.spans_of("a b@c.de f")) == "a [EMAIL] f"
 
 
