@@ -4,8 +4,11 @@ Several overlapping heuristics vote on each document: good, bad or no vote.  The
 documents are counted by pattern; expectation-maximisation over these counts estimates the share of
 good documents and each heuristic's accuracies, without any given label.  The posterior of a
 document's pattern is its label; on a bounded sample of documents these labels train a linear
-scorer over hashed words and word shapes.  A document's final probability joins the two in log
-odds, and documents below the threshold are rejected.
+scorer over hashed words, word shapes and binned measures of the text.  The scorer's probability
+alone decides: documents below the threshold are rejected.
+
+The sample is the ``sample`` documents with the smallest hashes of id and text, so the model does
+not depend on how the rows are partitioned; of rows that agree in both, one is enough.
 
 Defined results
     null text counts as the empty text, which no heuristic votes on: it is kept; repeated rows are
@@ -18,8 +21,9 @@ from __future__ import annotations
 import math
 import operator
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,66 +37,70 @@ SAMPLE = 4000
 FEATURES = 1 << 16
 THRESHOLD = 0.5
 CACHED = 200_000
-#: Weight of the scorer's log odds beside those of the votes.
-SCORER_WEIGHT = 0.5
+#: Words in a window that distinct words are counted in.
+WINDOW = 50
 ROUNDS, EPOCHS, RATE, DECAY = 60, 12, 0.5, 1e-5
 
 
-@dataclass
-class Facts:
-    """What the heuristics look at."""
-
-    words: int
-    symbols: float  # share of characters that are neither letters, digits, white space nor plain punctuation
-    pipes: float  # share of words that are a bar
-    repeats: float  # share of words equal to the word before
-    distinct: float  # different words among all
-    capitals: float  # share of words in capitals
+class Facts(NamedTuple):
+    """What the heuristics look at, each a share from 0 on and none depending on the text's length."""
+
+    symbols: float  # characters that are neither letters, digits, white space nor plain punctuation, bars aside
+    bars: float  # words that are a bar
+    repeats: float  # words equal to the word before
+    distinct: float  # different words in a window of ``WINDOW`` words, on average
+    capitals: float  # words in capitals
     shouts: float  # doubled exclamation marks to a word
-    marks: float  # symbols to a word
-    sentences: float  # share of lines that end like a sentence
+    plain: float  # words of letters that are not in capitals, with at most a mark of punctuation behind
+    sentences: float  # lines that end like a sentence
 
 
-#: Symbols, and words equal to the one before, that any text may have.
+#: Symbols, and words that repeat others or aren't plain, that any text may have.
 ALLOWED = 3
 
 
-def facts(text: str, words: list[str] | None = None) -> Facts:
+def facts(text: str, words: list[str] | None = None) -> Facts | None:
+    """The facts of a text; None if it has no words."""
     words = text.split() if words is None else words
-    n = len(words) or 1
-    odd = max(0, sum(map(text.count, "#$%&*|~^<>{}[]\\=+@_")) - ALLOWED)
+    if not words:
+        return None
+    n = len(words)
+    odd = max(0, sum(map(text.count, "#$%&*~^<>{}[]\\=+@_")) - ALLOWED)
     lines = [x for x in text.split("\n") if x.strip()] or [""]
+    windows = [words[k : k + WINDOW] for k in range(0, n, WINDOW)]
     return Facts(
-        words=len(words),
-        symbols=odd / max(1, len(text)),
-        pipes=words.count("|") / n,
+        symbols=odd / len(text),
+        bars=words.count("|") / n,
         repeats=max(0, sum(map(operator.eq, words, words[1:])) - ALLOWED) / n,
-        distinct=len(set(words)) / n,
+        distinct=min(1.0, (sum(len(set(w)) for w in windows) + ALLOWED) / n),
         capitals=sum(map(str.isupper, words)) / n,
         shouts=text.count("!!") / n,
-        marks=odd / n,
+        plain=min(1.0, (sum(map(is_plain, words)) + ALLOWED) / n),
         sentences=sum(x.rstrip()[-1:] in ".!?…\"'" for x in lines) / len(lines),
     )
 
 
-def votes(f: Facts) -> tuple[int, ...]:
+def votes(f: Facts | None) -> tuple[int, ...]:
     """1 good, -1 bad, 0 no vote, of each heuristic in turn."""
-    if not f.words:
+    if f is None:
         return (0,) * HEURISTICS
     return (
-        -1 if f.symbols > 0.05 else 1 if f.symbols < 0.01 else 0,
-        -1 if f.pipes > 0.08 else 1 if f.pipes == 0 else 0,
-        -1 if f.repeats > 0.12 else 1 if f.repeats < 0.03 else 0,
-        -1 if f.distinct < 0.2 and f.words > 60 and f.words < 3000 else 1 if f.distinct > 0.35 else 0,
-        -1 if f.capitals > 0.25 else 1 if f.capitals < 0.05 else 0,
-        -1 if f.shouts > 0.1 else 1 if f.shouts < 0.02 else 0,
-        -1 if f.marks > 0.3 else 1 if f.marks < 0.06 else 0,
-        -1 if f.pipes + f.marks / 3 + f.shouts + f.repeats > 0.15 else 1 if f.pipes + f.marks / 3 + f.shouts + f.repeats < 0.04 else 0,
+        -1 if f.symbols > 0.05 else 0,
+        -1 if f.bars > 0.08 else 0,
+        -1 if f.repeats > 0.12 else 0,
+        -1 if f.distinct < 0.4 else 1 if f.distinct > 0.55 else 0,
+        -1 if f.capitals > 0.25 else 0,
+        -1 if f.shouts > 0.1 else 0,
+        -1 if f.plain < 0.7 else 1 if f.plain > 0.9 else 0,
         1 if f.sentences > 0.7 else 0,
     )
 
 
-HEURISTICS = 9
+HEURISTICS = len(Facts._fields)
+
+
+def is_plain(word: str) -> bool:
+    return (word.isalpha() or word[:-1].isalpha()) and not (word.isupper() and len(word) > 1)
 
 
 def place(word: str) -> int:
@@ -105,11 +113,17 @@ def place(word: str) -> int:
 SYMBOLS = frozenset("#$%&*|~!")
 
 
-def features(words: list[str]) -> list[int]:
+def word_places(words: Iterable[str]) -> list[int]:
     """The different places of a text's words."""
     return sorted({place(w) for w in set(words)})
 
 
+def fact_places(f: Facts) -> list[int]:
+    """A place for the bin of each fact: halvings from 1 on."""
+    bins = (min(8, int(-math.log2(max(value, 2**-8)))) if value < 1 else -1 for value in f)
+    return [zlib.crc32(f"{name}\0{k}".encode()) % FEATURES for name, k in zip(Facts._fields, bins, strict=True)]
+
+
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
     """The share of good documents, and of each class (bad, good), heuristic and vote (-1, 0, 1) the
     probability, from vote patterns and how often each occurs.
@@ -134,21 +148,26 @@ def log_odds(patterns: np.ndarray, share: float, table_: np.ndarray) -> np.ndarr
     return math.log(share / (1 - share)) + sum(each[j, patterns[:, j] + 1] for j in range(patterns.shape[1]))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer over mean feature counts, by stochastic gradients."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer over the mean of word places and the sum of fact places, by stochastic gradients."""
     weights, bias, rng = np.zeros(FEATURES), 0.0, np.random.default_rng(11)
     for epoch in range(EPOCHS):
         rate = RATE / (1 + epoch)
         for i in rng.permutation(len(rows)):
-            places = rows[i]
-            n = max(1, len(places))
-            gap = labels[i] - 1 / (1 + math.exp(-max(-30.0, min(30.0, weights[places].sum() / n * 10 + bias))))
-            np.add.at(weights, places, rate * gap * 10 / n)
+            by_word, by_fact = rows[i]
+            n = max(1, len(by_word))
+            gap = labels[i] - _sigmoid(weights[by_word].sum() / n * 10 + weights[by_fact].sum() + bias)
+            np.add.at(weights, by_word, rate * gap * 10 / n)
+            np.add.at(weights, by_fact, rate * gap)
             bias += rate * gap * 0.1
         weights *= 1 - DECAY
     return weights, bias
 
 
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+
+
 def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and votes (a string of -, 0 and +) of each document."""
 
@@ -190,20 +209,15 @@ class Model:
         return found
 
     def score(self, text: str) -> tuple[float, float]:
-        """The posterior of the votes and the joined probability that a text is good."""
+        """The posterior of the votes, which is only the weak label, and the scorer's probability that a text is good."""
         words = text.split()
-        pattern = votes(facts(text, words))
-        if not any(pattern):
+        found = facts(text, words)
+        if found is None:
             return 1.0, 1.0
-        by_votes = self._by_votes(pattern)
         seen = set(words)
-        by_words = sum(map(self._weight, seen)) / max(1, len(seen)) * 10 + self.bias
-        joined = by_votes + SCORER_WEIGHT * max(-8.0, min(8.0, by_words))
-        return _sigmoid(by_votes), _sigmoid(joined)
-
-
-def _sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+        by_words = sum(map(self._weight, seen)) / len(seen) * 10
+        by_facts = float(self.weights[fact_places(found)].sum())
+        return _sigmoid(self._by_votes(votes(found))), _sigmoid(by_words + by_facts + self.bias)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -213,26 +227,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         return Model(0.5, np.full((2, HEURISTICS, 3), 1 / 3), np.zeros(FEATURES), 0.0)
     patterns = _read([r["votes"] for r in counted])
     share, table_ = expectation_maximisation(patterns, np.array([r["count"] for r in counted], float))
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    # Rows that hash alike in id and text are equal rows.
+    chosen = docs.select(text_or_empty(text_col).alias("text"), F.xxhash64(F.lit(3), F.col(id_col).cast("long"), text_col).alias("h"))
     total = sum(r["count"] for r in counted)
-    part = chosen.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < F.lit(int(min(1.0, 1.2 * sample / total) * (1 << 20))))
+    part = min(1.0, 1.5 * sample / total + 200 / total)
+    # A share by the hash first, so that few texts are sorted; then exactly the smallest hashes of all.
+    low = chosen.where(F.col("h") <= F.lit(int((part - 0.5) * (2**64 - 2**12))))
+    low = low.orderBy("h").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            spelled = ["".join("-0+"[v + 1] for v in votes(facts(t))) for t in texts]
-            places = pa.array([features(t.split()) for t in texts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(spelled), places], names=["votes", "places"])
-
-    rows = part.limit(sample).mapInArrow(run, "votes string, places array<int>").collect()
-    found = _read([r["votes"] for r in rows])
-    labels = 1 / (1 + np.exp(-log_odds(found, share, table_))) if len(found) else np.zeros(0)
-    weights, bias = train([np.array(r["places"], np.int64) for r in rows], labels)
+            made = []
+            for text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.split()
+                found = facts(text, words)
+                made.append((h, "".join("-0+"[v + 1] for v in votes(found)), word_places(words), fact_places(found) if found else []))
+            shape = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(shape)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "votes", "by_word", "by_fact"])
+
+    found = low.select("text", "h").mapInArrow(run, "h long, votes string, by_word array<int>, by_fact array<int>").collect()
+    rows = sorted((r for r in found if r["by_fact"]), key=lambda r: (r["h"], r["votes"]))
+    labels = 1 / (1 + np.exp(-log_odds(_read([r["votes"] for r in rows]), share, table_))) if rows else np.zeros(0)
+    weights, bias = train([(np.array(r["by_word"], np.int64), np.array(r["by_fact"], np.int64)) for r in rows], labels)
     return Model(share, table_, weights, bias)
 
 
 def score_quality(docs: DataFrame, model: Model | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, weak_label (posterior of the votes), score (the joined probability) and kept."""
+    """id, weak_label (posterior of the votes), score (the scorer's probability) and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
