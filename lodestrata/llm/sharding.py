@@ -30,6 +30,8 @@ BITS = 4 * DIGITS
 STEP = 12
 #: Bits of the grid that rows and leaves meet on.
 GRID = 12
+#: What names of folders begin with.
+FOLDER = "b"
 #: Parts in which equal rows are numbered.
 PARTS = 64
 
@@ -124,7 +126,10 @@ def _pages(held: DataFrame, byte_limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, byte_limit: int = BYTE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` into one folder per shard; overflow pages are shards of their own."""
+    """Write ``docs`` into one folder per shard; overflow pages are shards of their own.
+
+    A folder's name begins with ``FOLDER``, so that it isn't read back as a number.
+    """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(whole, hash_bits(id_col, text_col).alias("bits"), size.alias("bytes"))
@@ -139,7 +144,7 @@ def write_shards(docs: DataFrame, path: str, byte_limit: int = BYTE_LIMIT, id_co
     fit = F.greatest(F.lit(1), F.floor(F.lit(byte_limit) / F.greatest(F.col("bytes"), F.lit(1))))
     page = F.floor(number / fit).cast("long")
     paged = paged.join(counts, ["bits", "part"]).select("row", F.concat("shard", F.lit("."), page).alias("shard"))
-    out = held.where(~large).select("row", "shard").unionByName(paged).select("row.*", F.col("shard").alias(name))
+    out = held.where(~large).select("row", "shard").unionByName(paged).select("row.*", F.concat(F.lit(FOLDER), "shard").alias(name))
     out.repartition(name).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
