@@ -2,8 +2,11 @@
 
 Base kinds (email, ip, card, phone) are decided by their pattern and their own test alone (parts
 up to 255, Luhn, digit counts) and always stay; context only changes their score.  Added kinds
-need more: an IBAN passes mod-97; a secret or an identity number is accepted when words near it
-lift its score over the threshold.  An added span that touches a base span is left out.
+need more: an IBAN passes mod-97, a card of 13 to 15 digits Luhn with an issuer's first digits, an
+IPv6 address is one that the standard library reads; these and whole international numbers stand by
+themselves, while a secret, an identity number, a phone number without its country and an IPv6
+address in its short form are accepted when words near them lift their score over the threshold.
+An added span that touches a base span, or an added one before it, is left out.
 
 Positions are code points, the end exclusive.
 
@@ -15,7 +18,9 @@ Defined results
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -38,10 +43,18 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 IDENTITY = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
-ADDED = ("iban", "secret", "identity")
+#: A run of digits and separators of 13 to 15 digits, and the first digits of issuers whose cards are that short.
+SHORT_CARD = re.compile(r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9]|-[0-9])")
+ISSUERS = re.compile(r"(?:4.{12}|(?:30[0-5]|36|38).{11,12}|3[47].{13})")
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:.])")
+#: One phone number, where the base pattern runs on into what follows it.
+TEL = re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,3}?(?![0-9])")
+NATIONAL = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])")
+
+ADDED = ("iban", "short_card", "ipv6", "tel", "secret", "identity", "national")
 KINDS = BASE + ADDED
 #: Score of a span as its pattern and checksum leave it.
-START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "secret": 0.3, "identity": 0.3}
+START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "short_card": 0.7, "ipv6": 0.3, "tel": 0.7, "secret": 0.3, "identity": 0.3, "national": 0.3}
 #: Words near a span that raise its score, and how near.
 CONTEXT = {
     "email": {"mail", "email", "e-mail", "contact"},
@@ -52,6 +65,9 @@ CONTEXT = {
     "secret": {"token", "secret", "password", "passwd", "key", "apikey", "api_key", "bearer", "credential"},
     "identity": {"ssn", "social", "security", "identity", "id", "passport"},
 }
+CONTEXT |= {"short_card": CONTEXT["card"], "ipv6": CONTEXT["ip"], "tel": CONTEXT["phone"], "national": CONTEXT["phone"]}
+#: An IPv6 address with all its groups needs no words.
+WHOLE_IPV6 = 0.7
 NEAR, LIFT, ACCEPT = 40, 0.4, 0.6
 WORD = re.compile(r"[^\W\d]+(?:[-_][^\W\d]+)*")
 
@@ -99,7 +115,7 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in _emails(text):
         yield "email", start, end
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p) <= 255 for p in (p.lstrip("0") or "0" for p in m[0].split("."))):
             yield "ip", *m.span()
     for m in CARD.finditer(text):
         if 16 <= len(digits := _digits(m[0])) <= 19 and luhn(digits):
@@ -113,32 +129,66 @@ def _added(text: str) -> Iterator[tuple[str, int, int]]:
     for m in IBAN.finditer(text):
         if mod97(m[0]):
             yield "iban", *m.span()
+    for m in SHORT_CARD.finditer(text):
+        if ISSUERS.fullmatch(digits := _digits(m[0])) and luhn(digits):
+            yield "short_card", *m.span()
+    for m in IPV6.finditer(text) if "::" in text or text.count(":") > 6 else ():
+        if _is_ipv6(m[0]):
+            yield "ipv6", *m.span()
+    for m in TEL.finditer(text):
+        if 8 <= len(_digits(m[0])) <= 15:
+            yield "tel", *m.span()
     for m in SECRET.finditer(text):
         if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
             yield "secret", *m.span()
     for m in IDENTITY.finditer(text):
         yield "identity", *m.span()
+    for m in NATIONAL.finditer(text):
+        yield "national", *m.span()
+
+
+def _is_ipv6(shown: str) -> bool:
+    try:
+        ipaddress.IPv6Address(shown)
+    except ValueError:
+        return False
+    return shown != "::"
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]
     words = {w.lower() for w in WORD.findall(near)}
-    return min(1.0, START[kind] + LIFT * bool(words & CONTEXT[kind]))
+    start_score = WHOLE_IPV6 if kind == "ipv6" and "::" not in text[start:end] else START[kind]
+    return min(1.0, start_score + LIFT * bool(words & CONTEXT[kind]))
 
 
 def spans_of(text: str) -> list[Span]:
     """All spans of a text by kind, then start; the base kinds first."""
-    base = [Span(k, a, b, _score(text, k, a, b)) for k, a, b in _base(text)] if HINT.search(text) else []
-    taken = sorted((s.start, s.end) for s in base)
-    more = []
+    if not HINT.search(text):
+        return []
+    base = [Span(k, a, b, _score(text, k, a, b)) for k, a, b in _base(text)]
+    # Spans that are taken, apart from each other or nearly so: the last to begin before a place is found by bisection.
+    starts, reach = [], []
+    for a, b in sorted((s.start, s.end) for s in base):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
+    more: dict[str, list[Span]] = {kind: [] for kind in ADDED}
+    taken: list[tuple[int, int]] = []
     for kind, a, b in _added(text):
-        if not any(x < b and a < y for x, y in taken) and (score := _score(text, kind, a, b)) >= ACCEPT:
-            more.append(Span(kind, a, b, score))
-    return base + more
+        k = bisect.bisect_left(starts, b)
+        if k and reach[k - 1] > a:
+            continue
+        k = bisect.bisect_left(taken, (b, -1))
+        if k and taken[k - 1][1] > a:
+            continue
+        if (score := _score(text, kind, a, b)) >= ACCEPT:
+            more[kind].append(Span(kind, a, b, score))
+            bisect.insort(taken, (a, b))
+    return base + [span for kind in ADDED for span in more[kind]]
 
 
-#: What every span of a base kind has.
-HINT = re.compile("[0-9@]")
+#: What every span has.
+HINT = re.compile("[0-9@:]")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -197,9 +247,10 @@ def _digest(text: str, spans: list[Span]) -> tuple:
     spelled = [f"{s.kind}:{s.start}:{s.end}" for s in spans]
     base = [x for x, s in zip(spelled, spans, strict=True) if s.kind in BASE]
     counts = [sum(s.kind == kind for s in spans) for kind in BASE]
-    return *counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(spelled)
+    scores = ",".join(f"{s.score:.2f}" for s in spans)
+    return *counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(spelled), scores, len(spans)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    fields = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string, n_spans long"
     return map_spans(table(spark, sf_dir, "documents"), _digest, fields)
