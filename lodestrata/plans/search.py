@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import tokens as tokenise
 from lodestrata.operators import search
+from lodestrata.operators.search_index import build_index, open_index
 from lodestrata.plans._registry import query
 from lodestrata.plans._tables import SECTIONS_SQL, page_sections
-from lodestrata.session import table
+from lodestrata.session import scratch, table
 
 TOKENS = ["license", "thanedble", "anea"]
 
 
+@functools.cache
+def _stored(spark, d, application):  # noqa: ANN001, ANN202
+    path = scratch(spark, "search-index")
+    build_index(sections(spark, d), path)
+    return path
+
+
 def index(spark, d):  # noqa: ANN001, ANN201
+    """The stored index of a folder's sections, built for its first question."""
+    return open_index(spark, _stored(spark, d, spark.sparkContext.applicationId))
+
+
+def sections(spark, d):  # noqa: ANN001, ANN201
     """Sections with the title (their first line's first 40 characters), kind and address."""
     rows = page_sections(spark, d)
     return rows.withColumns(
@@ -57,11 +72,19 @@ def search_topk(spark, d):  # noqa: ANN001, ANN201
     return found.where(F.col("place") <= 5).select("page", "host", "ordinal", "score", F.col("best_page_score").alias("page_score"), "leaves")
 
 
+@query("search_index", f"WITH {SECTIONS_SQL} SELECT host, count(*) AS sections, sum(length(text)) AS chars FROM sec GROUP BY host")
+def search_index(spark, d):  # noqa: ANN001, ANN201
+    """The build by itself: every text is cut into terms and stored, here seen by its hosts."""
+    path = scratch(spark, "search-index")
+    build_index(sections(spark, d), path)
+    return open_index(spark, path).hosts
+
+
 @query("section_scores", f"WITH {INDEX_SQL} SELECT page, ordinal, matched, round(raw, 3) AS score FROM sc")
 def section_scores(spark, d):  # noqa: ANN001, ANN201
     rows = index(spark, d)
     total, df, weights = search.token_weights(rows, TOKENS)
-    candidates = rows.where(search.holds_any(search.probes(total, df), "text", "path"))
+    candidates = rows.holding(search.probes(total, df))
     return search.score_sections(candidates, TOKENS, weights).select("page", "ordinal", F.array_join(F.sort_array("matched"), " ").alias("matched"), "score")
 
 
@@ -69,7 +92,7 @@ def section_scores(spark, d):  # noqa: ANN001, ANN201
 def candidate_count(spark, d):  # noqa: ANN001, ANN201
     rows = index(spark, d)
     total, df, _ = search.token_weights(rows, TOKENS)
-    hits = rows.where(search.holds_any(search.probes(total, df), "text", "path"))
+    hits = rows.holding(search.probes(total, df))
     return hits.agg(F.count(F.lit(1)).alias("matched"), F.least(F.count(F.lit(1)), F.lit(600)).alias("returned"), (F.count(F.lit(1)) > 600).alias("truncated"))
 
 
@@ -90,7 +113,7 @@ def token_weights(spark, d):  # noqa: ANN001, ANN201
 )
 def bm25_topk(spark, d):  # noqa: ANN001, ANN201
     words = ["license", "anea"]
-    found = search.bm25(index(spark, d), words).where(search.holds_any(words, "text"))
+    found = search.bm25(index(spark, d), words)
     return found.select("page", "ordinal", F.round("bm25", 4).alias("bm25")).orderBy(F.desc("bm25"), "page", "ordinal").limit(20)
 
 
@@ -128,7 +151,7 @@ def search_cascade(spark, d):  # noqa: ANN001, ANN201
 )
 def batch_questions(spark, d):  # noqa: ANN001, ANN201
     asked = spark.createDataFrame([("a", ["license", "anea"]), ("b", ["Idiot", "and"]), ("c", ["thanedble"])], "question string, tokens array<string>")
-    return search.batch_scores(page_sections(spark, d), asked)
+    return search.batch_scores(index(spark, d), asked)
 
 
 @query("question_tokens", "SELECT doc_id, array_to_string(list_distinct_ordered[1:8], ' ') AS tokens FROM (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, list_filter(string_split_regex(string_split(text, chr(10))[1], '[^0-9A-Za-z가-힣+]+'), lambda w: length(w) >= 2 AND w NOT IN ('The', 'the')) AS l FROM documents WHERE lang = 'en' AND NOT regexp_matches(string_split(text, chr(10))[1], '[0-9+]')))")
@@ -150,9 +173,9 @@ def heaviest_token(spark, d):  # noqa: ANN001, ANN201
     return scored.groupBy("page").agg(F.min_by("token", F.struct(-F.col("v"), F.col("token"))).alias("shortened"))
 
 
-@query("clarify_options", f"WITH {SECTIONS_SQL}, b AS (SELECT page, ordinal, substr(text, 1, 30) AS title FROM sec WHERE contains(lower(substr(text, 1, 30)), 'the')), p AS (SELECT page, ordinal, title, list_filter(list_transform(string_split(title, ','), lambda x: trim(x)), lambda x: length(x) >= 2) AS l FROM b), o AS (SELECT page, ordinal, unnest(CASE WHEN len(l) >= 2 THEN l ELSE [trim(title)] END) AS option FROM p) SELECT page, n FROM (SELECT page, count(DISTINCT lower(regexp_replace(option, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))) AS n FROM o GROUP BY 1) WHERE n BETWEEN 2 AND 10")
+@query("clarify_options", f"WITH {SECTIONS_SQL}, b AS (SELECT page, ordinal, text AS title FROM sec WHERE contains(lower(text), 'the')), p AS (SELECT page, ordinal, title, list_filter(list_transform(string_split(title, ','), lambda x: trim(x)), lambda x: length(x) >= 2) AS l FROM b), o AS (SELECT page, ordinal, unnest(CASE WHEN len(l) >= 2 THEN l ELSE [trim(title)] END) AS option FROM p) SELECT page, n FROM (SELECT page, count(DISTINCT lower(regexp_replace(option, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))) AS n FROM o GROUP BY 1) WHERE n BETWEEN 2 AND 10")
 def clarify_options(spark, d):  # noqa: ANN001, ANN201
-    blocks = page_sections(spark, d).withColumn("title", F.substring("text", 1, 30))
+    blocks = page_sections(spark, d).withColumn("title", F.col("text"))
     return search.clarify_options(blocks, ["the"]).select("page", F.size("options").cast("long").alias("n"))
 
 

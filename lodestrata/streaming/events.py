@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestrata.session import scratch
+
 
 def _glob(path: str) -> str:
     """A pattern that matches ``path`` alone, which a file stream needs for a single file."""
@@ -67,8 +67,7 @@ def change_log(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there and read what it gave."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-")
-    base = f"{root}/streams/{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
