@@ -11,16 +11,17 @@ from pyspark.sql import types as T
 
 #: Words that ask but name nothing.  An institution adds its own names.
 STOPWORDS = (
-    "뭐야 뭐 머야 알려줘 알려 어떻게 어떡해 언제 어디 얼마 얼마나 누구 왜 무엇 무슨 어떤 인가요 인가 있나요 있어 없어 해줘 해 "
-    "하나요 하는지 하려면 되나요 돼 되나 좀 제발 궁금 궁금해 질문 문의 정보 안내 해요 하죠 할래 주세요 알려주세요 가르쳐줘 "
-    "말해줘 방법 관련 대해 대한 그리고 근데 혹시 우리학교 학교 챗봇 안녕 안녕하세요 안녕하십니까 하이 "
-    "반가워 고마워 감사합니다 잘가 수고 ㅎㅇ ㅋㅋ ㅎㅎ"
-).split()
+    "뭐야", "뭐", "머야", "알려줘", "알려", "어떻게", "어떡해", "언제", "어디", "얼마", "얼마나", "누구", "왜", "무엇", "무슨", "어떤", "인가요", "인가",
+    "있나요", "있어", "없어", "해줘", "해", "하나요", "하는지", "하려면", "되나요", "돼", "되나", "좀", "제발", "궁금", "궁금해", "질문", "문의", "정보",
+    "안내", "해요", "하죠", "할래", "주세요", "알려주세요", "가르쳐줘", "말해줘", "방법", "관련", "대해", "대한", "그리고", "근데", "혹시", "우리학교", "학교",
+    "챗봇", "안녕", "안녕하세요", "안녕하십니까", "하이", "반가워", "고마워", "감사합니다", "잘가", "수고", "ㅎㅇ", "ㅋㅋ", "ㅎㅎ",
+)
 #: Endings that are taken off, the first that fits.
 SUFFIXES = (
-    "하려면 하려고 하고싶어 하는법 합니까 인가요 이야 예요 이에요 이요 하나요 할까요 해야해 해야 하기 으로부터 에서부터 "
-    "이라고 라고 으로 에서 부터 까지 에게 한테 이랑 랑 은 는 이 가 을 를 의 도 만 와 과 로 에 야 요"
-).split()
+    "하려면", "하려고", "하고싶어", "하는법", "합니까", "인가요", "이야", "예요", "이에요", "이요", "하나요", "할까요", "해야해", "해야", "하기", "으로부터",
+    "에서부터", "이라고", "라고", "으로", "에서", "부터", "까지", "에게", "한테", "이랑", "랑", "은", "는", "이", "가", "을", "를", "의", "도", "만",
+    "와", "과", "로", "에", "야", "요",
+)
 MIN_TOKEN, MAX_TOKENS = 2, 8
 
 

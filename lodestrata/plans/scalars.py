@@ -111,9 +111,20 @@ def dates_in_text(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "orders").select("o_orderkey", dates.date_in(shown).alias("day"))
 
 
-@query("title_deadlines", "SELECT o_orderkey, CASE WHEN o_orderdate::DATE - make_date(year(o_orderdate), 1, 5) > 180 THEN make_date(year(o_orderdate) + 1, 1, 5) ELSE make_date(year(o_orderdate), 1, 5) END AS deadline FROM orders")
+@query(
+    "title_deadlines",
+    """
+    WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS p, month(o_orderdate) AS m, day(o_orderdate) AS d, o_orderkey % 4 AS k FROM orders),
+    n AS (SELECT o_orderkey, p, CASE k WHEN 0 THEN make_date(year(p), 1, 5) WHEN 1 THEN make_date(year(p), m, d) WHEN 2 THEN make_date(year(p), 8, 9) END AS x FROM t)
+    SELECT o_orderkey, CASE WHEN p - x > 180 THEN x + INTERVAL 1 YEAR ELSE x END::DATE AS deadline FROM n
+    """,
+)
 def title_deadlines(spark, d):  # noqa: ANN001, ANN201
-    return table(spark, d, "orders").select("o_orderkey", dates.title_deadline(F.lit("call (~1/5)"), F.to_date("o_orderdate")).alias("deadline"))
+    """Titles in both forms, in both at once, and in none."""
+    day = F.date_format("o_orderdate", "M/d")
+    kind = F.pmod("o_orderkey", F.lit(4))
+    title = F.when(kind == 0, F.lit("call (~1/5)")).when(kind == 1, F.concat(F.lit("open "), day, F.lit("(월) 까지"))).when(kind == 2, F.lit("8.9까지, then ~8/18")).otherwise(F.lit("no day"))
+    return table(spark, d, "orders").select("o_orderkey", dates.title_deadline(title, F.to_date("o_orderdate")).alias("deadline"))
 
 
 @query("day_labels", "SELECT o_orderkey, CASE WHEN coalesce(e, s) < DATE '1998-06-01' THEN 'past' WHEN s = DATE '1998-06-01' THEN 'today' WHEN s < DATE '1998-06-01' THEN 'running' WHEN s = DATE '1998-06-02' THEN 'tomorrow' ELSE 'D-' || (s - DATE '1998-06-01') END AS label FROM (SELECT o_orderkey, o_orderdate::DATE AS s, CASE WHEN o_orderstatus = 'O' THEN o_orderdate::DATE + 30 END AS e FROM orders)")
