@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import scratch
+
 LEAST_PAGES, SHARE, BORDERLINE, HELD = 5, 0.25, 0.5, 0.8
 
 
@@ -79,34 +81,95 @@ def overlap(a: Column, b: Column) -> Column:
 def overlapping_pairs(profiles: DataFrame, key: str, words: str, least: float) -> DataFrame:
     """Pairs a < b of sets whose overlap reaches ``least``, by the words they share.
 
-    Counting shared words over an equi-join forms no pair that shares none.
+    Of a pair that reaches it, the smaller set has a shared word among its rarest, as the share of
+    words that it can miss is bounded.  So the smaller sets are met under their rarest words alone,
+    and words that nearly all sets have draw no pairs.
     """
     flat = profiles.select(F.col(key).alias("k"), F.size(words).alias("n"), F.explode(words).alias("w"))
-    left = flat.select(F.col("k").alias("a"), F.col("n").alias("na"), "w")
-    right = flat.select(F.col("k").alias("b"), F.col("n").alias("nb"), "w")
-    shared = left.join(right, "w").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.withColumn("overlap", F.round(F.col("shared") / F.least("na", "nb"), 6)).where(F.col("overlap") >= least).select("a", "b", "shared", "overlap")
-
-
-def greedy_cliques(pairs: list[tuple[str, str]], weight: dict[str, int]) -> list[list[str]]:
-    """Groups in which every pair is among ``pairs``, seeded by weight; for the few pairs that the
-    synonym rules leave."""
-    near: dict[str, set[str]] = {}
-    for a, b in pairs:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    left, out = set(near), []
-    for seed in sorted(near, key=lambda t: (-weight.get(t, 0), t)):
-        if seed not in left:
-            continue
-        group = [seed]
-        for other in sorted(near[seed] & left, key=lambda t: (-weight.get(t, 0), t)):
-            if all(other in near[member] for member in group):
-                group.append(other)
-        if len(group) > 1:
-            out.append(group)
-            left -= set(group)
-    return out
+    flat = flat.join(flat.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w")
+    rarest = F.row_number().over(Window.partitionBy("k").orderBy("df", "w")) <= F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1
+    small = flat.withColumn("rare", rarest).where("rare").select("w", F.col("k").alias("s"), F.col("n").alias("ns"))
+    met = small.join(flat.select("w", F.col("k").alias("t"), F.col("n").alias("nt")), "w").where("ns < nt or (ns = nt and s < t)")
+    pairs = met.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+    side = lambda name: profiles.select(F.col(key).alias(name), F.col(words).alias(f"{name}_words"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("a_words", "b_words")).cast("long")
+    share = F.round(shared / F.least(F.size("a_words"), F.size("b_words")), 6)
+    return both.select("a", "b", shared.alias("shared"), share.alias("overlap")).where(F.col("overlap") >= least)
+
+
+def title_synonyms(
+    sections: DataFrame, sites: int = 3, common: int = 2, site_share: float = 0.1, least: float = 0.25, words: str = r"[^\p{L}\p{N}]+"
+) -> DataFrame:
+    """Pairs a < b of titles that name the same thing: sections (title, host, text).
+
+    Each stands on at least ``sites`` sites; their plain forms share a run of at least ``common``
+    characters; of the sites of the one on fewer, at most ``site_share`` have the other too; and
+    the contents written under them overlap.
+    """
+    from lodestrata.functions.text import longest_common, plain_name
+
+    titled = sections.where(F.trim(F.coalesce("title", F.lit(""))) != "")
+    wide = titled.groupBy("title").agg(F.count_distinct("host").alias("n_sites")).where(F.col("n_sites") >= sites)
+    profiles = content_profile(titled.join(wide.select("title"), "title", "left_semi"), "title", "text")
+    pairs = overlapping_pairs(profiles, "title", "words", least)
+    hosts = titled.select("title", "host").distinct()
+    both = pairs.join(hosts.select(F.col("title").alias("a"), "host"), "a").join(hosts.select(F.col("title").alias("b"), "host"), ["b", "host"])
+    met = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both_sites"))
+    out = pairs.join(met, ["a", "b"], "left").join(wide.select(F.col("title").alias("a"), F.col("n_sites").alias("sites_a")), "a")
+    out = out.join(wide.select(F.col("title").alias("b"), F.col("n_sites").alias("sites_b")), "b")
+    share = F.coalesce("both_sites", F.lit(0)) / F.least("sites_a", "sites_b")
+    shared = longest_common(plain_name(F.col("a")), plain_name(F.col("b")))
+    out = out.withColumns({"host_overlap": F.round(share, 6), "common": shared})
+    return out.where((F.col("host_overlap") <= site_share) & (F.char_length("common") >= common)).select("a", "b", "common", "sites_a", "sites_b", "host_overlap", "overlap")
+
+
+def connected(pairs: DataFrame) -> DataFrame:
+    """Every name of the pairs (a, b) with the smallest name that it is connected to."""
+    spark = pairs.sparkSession
+
+    def stored(rows: DataFrame) -> DataFrame:
+        path = scratch(spark, "connected")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    edges = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(edges.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.col("name")).alias("least")))
+    while True:
+        near = edges.join(labels.select(F.col("name").alias("b"), "least"), "b").groupBy(F.col("a").alias("name")).agg(F.min("least").alias("near"))
+        # The label of the label, too, so that long paths halve.
+        jump = labels.select(F.col("name").alias("least"), F.col("least").alias("further"))
+        moved = labels.join(near, "name").join(jump, "least", "left")
+        moved = stored(moved.select("name", F.least("least", "near", "further").alias("least"), F.col("least").alias("before")))
+        labels = moved.select("name", "least")
+        if moved.where("least <> before").isEmpty():
+            return labels
+
+
+def cliques(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Groups (label, member) in which every two members are a pair (a, b): a chain of pairs is no group.
+
+    Names are taken by ``weights`` (name, weight), the heaviest first, and join the first group that
+    they fit, so what is connected is grouped by itself, one component a call.
+    """
+    weighted = weights.select(F.col("name").alias("a"), "weight")
+    rows = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    rows = rows.join(weighted, "a").join(connected(pairs).withColumnRenamed("name", "a"), "a")
+
+    def grouped(found: pd.DataFrame) -> pd.DataFrame:
+        near = found.groupby("a")["b"].agg(set)
+        names = found.drop_duplicates("a").sort_values(["weight", "a"], ascending=[False, True])["a"]
+        groups: list[list[str]] = []
+        for name in names:
+            home = next((g for g in groups if near[name].issuperset(g)), None)
+            if home is None:
+                groups.append([name])
+            else:
+                home.append(name)
+        made = [(g[0], member) for g in groups if len(g) > 1 for member in g]
+        return pd.DataFrame(made, columns=["label", "member"])
+
+    return rows.groupBy("least").applyInPandas(grouped, "label string, member string")
 
 
 def classify_domain(text: Column, domains: dict[str, list[str]]) -> Column:

@@ -69,13 +69,41 @@ def content_overlap_pairs(spark, d):  # noqa: ANN001, ANN201
     return corpus.overlapping_pairs(corpus.content_profile(table(spark, d, "documents"), "source", "text"), "title", "words", 0.25)
 
 
+@query(
+    "title_synonyms",
+    """
+    WITH d AS (SELECT lower(split_part(text, ' ', 1)) AS title, source AS host, text FROM documents),
+    h AS (SELECT DISTINCT title, host FROM d WHERE trim(title) <> ''),
+    t AS (SELECT title, count(*) AS n FROM h GROUP BY 1 HAVING count(*) >= 3),
+    w AS (SELECT title, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM d JOIN t USING (title)),
+    k AS (SELECT title, word, row_number() OVER (PARTITION BY title ORDER BY count(*) DESC, word) AS k FROM w WHERE length(word) >= 2 GROUP BY 1, 2),
+    pr AS (SELECT title, list_sort(list(word)) AS words FROM k WHERE k <= 40 GROUP BY 1),
+    p AS (SELECT a.title AS a, b.title AS b, round(len(list_intersect(a.words, b.words)) / least(len(a.words), len(b.words)), 6) AS overlap FROM pr a JOIN pr b ON a.title < b.title),
+    g AS (SELECT title, regexp_replace(title, '[\\s()\\[\\]{}<>]+', '', 'g') AS s FROM t),
+    r AS (SELECT title, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS two FROM g),
+    c AS (SELECT DISTINCT x.title AS a, y.title AS b FROM r x JOIN r y ON x.two = y.two AND x.title < y.title),
+    o AS (SELECT x.title AS a, y.title AS b, count(*) AS n FROM h x JOIN h y ON x.host = y.host AND x.title < y.title GROUP BY 1, 2)
+    SELECT p.a, p.b, p.overlap, ta.n AS sites_a, tb.n AS sites_b, round(coalesce(o.n, 0) / least(ta.n, tb.n), 6) AS host_overlap
+    FROM p JOIN c ON c.a = p.a AND c.b = p.b JOIN t ta ON ta.title = p.a JOIN t tb ON tb.title = p.b LEFT JOIN o ON o.a = p.a AND o.b = p.b
+    WHERE p.overlap >= 0.25 AND coalesce(o.n, 0) / least(ta.n, tb.n) <= 0.1
+    """,
+)
+def title_synonyms(spark, d):  # noqa: ANN001, ANN201
+    """The first words of documents as titles, their sources as sites."""
+    found = corpus.title_synonyms(_titled(spark, d))
+    return found.select("a", "b", "overlap", "sites_a", "sites_b", "host_overlap")
+
+
+def _titled(spark, d):  # noqa: ANN001, ANN202
+    return table(spark, d, "documents").select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("title"), F.col("source").alias("host"), "text")
+
+
 @query("synonym_groups")
 def synonym_groups(spark, d):  # noqa: ANN001, ANN201
-    """Groups of sources whose profiles overlap strongly, every pair observed."""
-    pairs = corpus.overlapping_pairs(corpus.content_profile(table(spark, d, "documents"), "source", "text"), "title", "words", 0.85)
-    sizes = {r["source"]: r["count"] for r in table(spark, d, "documents").groupBy("source").count().collect()}
-    groups = corpus.greedy_cliques([(r["a"], r["b"]) for r in pairs.select("a", "b").collect()], sizes)
-    return spark.createDataFrame([(i, m) for i, g in enumerate(groups) for m in g], "group_no int, member string")
+    """Groups of titles that name the same thing, every pair observed; the widest title is the label."""
+    rows = _titled(spark, d)
+    sites = rows.groupBy(F.col("title").alias("name")).agg(F.count_distinct("host").alias("weight"))
+    return corpus.cliques(corpus.title_synonyms(rows), sites)
 
 
 @query("term_occurrences", f"WITH {SECTIONS_SQL} SELECT count(*) AS sections, count(DISTINCT page) AS pages, count(DISTINCT host) AS hosts FROM sec WHERE contains(lower(text), 'license')")

@@ -52,14 +52,14 @@ def serves_decision(spark, d):  # noqa: ANN001, ANN201
     "answer_branch",
     f"""
     WITH {ASKED_SQL}, x AS (SELECT user_id AS facility, count(*) AS n, max(ts) < TIMESTAMP '2024-01-29' AS stale, bool_or(event_type = 'purchase') AS items, bool_and(event_type = 'error') AS shut
-        FROM events WHERE event_id % 7 < 2 GROUP BY 1)
+        FROM events WHERE event_type <> 'signup' GROUP BY 1)
     SELECT s.facility, CASE WHEN coalesce(n, 0) > 0 AND stale THEN 'C-2' WHEN coalesce(n, 0) = 0 THEN CASE WHEN serves IS NULL THEN 'C-2' WHEN serves THEN 'C-1' ELSE 'B' END
         WHEN items THEN 'A' WHEN shut THEN 'B' WHEN serves IS NULL THEN 'C-2' WHEN serves THEN 'C-1' ELSE 'B' END AS branch FROM s LEFT JOIN x USING (facility)
     """,
 )
 def answer_branch(spark, d):  # noqa: ANN001, ANN201
     kind = F.col("event_type")
-    seen = table(spark, d, "events").where("event_id % 7 < 2").groupBy(F.col("user_id").alias("facility")).agg(
+    seen = table(spark, d, "events").where("event_type <> 'signup'").groupBy(F.col("user_id").alias("facility")).agg(
         F.count(F.lit(1)).alias("n"), (F.max("ts") < F.lit("2024-01-29").cast("timestamp_ntz")).alias("stale"),
         F.bool_or(kind == "purchase").alias("items"), F.bool_and(kind == "error").alias("shut"),
     )

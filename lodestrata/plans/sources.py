@@ -53,17 +53,17 @@ def url_normalize(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "pages").select("page_id", links.normalize(F.col("url"), F.col("url"), "example.com").alias("normal"))
 
 
-@query("crawl_targets", "WITH x AS (SELECT DISTINCT url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages WHERE page_id % 5 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0)) SELECT url, host, row_number() OVER (PARTITION BY host ORDER BY url) AS turn, min(url) OVER (PARTITION BY host) AS seen FROM x")
+@query("crawl_targets", "WITH x AS (SELECT DISTINCT url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE contains(url, '.org/'))) SELECT url, host, row_number() OVER (PARTITION BY host ORDER BY url) AS turn, min(url) OVER (PARTITION BY host) AS seen FROM x")
 def crawl_targets(spark, d):  # noqa: ANN001, ANN201
     pages = table(spark, d, "pages")
-    found = links.targets(pages.where("page_id % 5 <> 0"), "url", pages.where("page_id % 5 = 0"))
+    found = links.targets(pages, "url", pages.where(F.contains("url", F.lit(".org/"))))
     return found.select("url", "host", F.col("turn").cast("long").alias("turn"), "seen")
 
 
-@query("link_reach", "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey % 200 AS source, l_partkey % 200 AS target FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0), r(url, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT l.target, r.depth + 1 FROM r JOIN l ON l.source = r.url WHERE r.depth < 3) SELECT url, min(depth)::INT AS depth FROM r GROUP BY 1")
+@query("link_reach", "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS target FROM lineitem), r(url, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT l.target, r.depth + 1 FROM r JOIN l ON l.source = r.url WHERE r.depth < 3) SELECT url, min(depth)::INT AS depth FROM r GROUP BY 1")
 def link_reach(spark, d):  # noqa: ANN001, ANN201
-    edges = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 7 = 0")
-    edges = edges.select((F.col("l_orderkey") % 200).alias("source"), (F.col("l_partkey") % 200).alias("target")).distinct()
+    # An order leads to its parts, and a part's number to the order of that number.
+    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target")).distinct()
     return links.reach(edges, spark.range(7, 8).select(F.col("id").alias("url")), 3)
 
 

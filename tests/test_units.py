@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import dates, predicates, text
-from lodestrata.operators import corpus, decisions, facts, reconcile, search, upsert, validate
+from lodestrata.operators import corpus, decisions, facts, reconcile, search, search_index, upsert, validate
 from lodestrata.sources import files, hwp, html, links, sheets
 
 
@@ -180,8 +180,11 @@ def test_segmentation(spark):  # noqa: ANN001, ANN201
     assert got == [["수강신청", "기간"], None, None, None]
 
 
-def test_cliques_need_every_pair():  # noqa: ANN201
-    assert corpus.greedy_cliques([("a", "b"), ("b", "c")], {"a": 3, "b": 2, "c": 1}) == [["a", "b"]]
+def test_cliques_need_every_pair(spark):  # noqa: ANN001, ANN201
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("x", "z"), ("y", "z")], "a string, b string")
+    weights = spark.createDataFrame([(n, w) for w, n in enumerate("zyxcba")], "name string, weight long")
+    assert sorted(map(tuple, corpus.cliques(pairs, weights).collect())) == [("a", "a"), ("a", "b"), ("x", "x"), ("x", "y"), ("x", "z")]
+    assert corpus.cliques(pairs.limit(0), weights).count() == 0
 
 
 def test_rare_tokens_draw_candidates():  # noqa: ANN201
@@ -272,3 +275,56 @@ def test_snapshots(spark, tmp_path):  # noqa: ANN001, ANN201
     assert saved.select("content_hash").distinct().count() == 2
     assert files.last_snapshots(saved).first()["fetched_at"] == at + dt.timedelta(1)
     assert files.usage(spark, str(tmp_path / "snap"), "*.parquet").first()["files"] >= 1
+
+
+def test_stored_index_answers_like_a_scan(spark, tmp_path):  # noqa: ANN001, ANN201
+    words = ["library", "Library+", "hours", "fee", "library's", "x", ""]
+    rows = [(p, k, f"h{p % 3}", f"path {words[p % 5]}", " ".join(words[(p * k + j) % 7] for j in range(4))) for p in range(30) for k in range(5)]
+    sections = spark.createDataFrame([*rows, (99, 0, None, None, None)], "page long, ordinal int, host string, path string, text string")
+    search_index.build_index(sections, str(tmp_path / "ix"))
+    index = search_index.open_index(spark, str(tmp_path / "ix"))
+    place = lambda found: sorted((r["page"], r["ordinal"]) for r in found.collect())
+    for host in (None, "h1"):
+        stored, scan = index.on(host), search.Scan(sections).on(host)
+        assert stored.totals()[0] == scan.totals()[0]
+        assert stored.totals()[1] == pytest.approx(scan.totals()[1], rel=0.02)
+        for tokens in (["ibra"], ["FEE", "y+"], ["zz"], ["x", "hours"]):
+            assert stored.frequencies(tokens) == scan.frequencies(tokens)
+            for in_path in (True, False):
+                assert place(stored.holding(tokens, in_path)) == place(scan.holding(tokens, in_path))
+    assert search._source(index, ["y's"]).frequencies(["y's"]) == search.Scan(sections).frequencies(["y's"])
+
+
+def test_stored_index_of_many_pages(spark, tmp_path, monkeypatch):  # noqa: ANN001, ANN201
+    monkeypatch.setattr(search_index, "NAMED", 5)
+    sections = spark.createDataFrame([(p, 0, "h", "top", f"word{p} same") for p in range(40)], "page long, ordinal int, host string, path string, text string")
+    search_index.build_index(sections, str(tmp_path / "ix"))
+    index = search_index.open_index(spark, str(tmp_path / "ix"))
+    assert index.frequencies(["word", "same"]) == {"word": 40, "same": 40}
+    assert index.holding(["word"]).count() == 40
+
+
+def test_title_synonyms_need_all_four_conditions(spark):  # noqa: ANN001, ANN201
+    same, other = "apply for the grant at the office before the day", "menu soup rice fish noodles bread"
+    rows = [
+        *(("scholarship guide", f"a{k}", same) for k in range(3)),
+        *(("scholarship info", f"b{k}", same) for k in range(3)),
+        *(("scholarship meals", f"c{k}", other) for k in range(3)),  # other contents
+        *(("zq", f"d{k}", same) for k in range(3)),  # no run of characters in common
+        *(("scholarships", f"a{k}", same) for k in range(3)),  # on the same sites as the first
+        *(("scholarship page", f"e{k}", same) for k in range(2)),  # on two sites
+    ]
+    found = corpus.title_synonyms(spark.createDataFrame(rows, "title string, host string, text string"))
+    assert sorted((r["a"], r["b"], r["common"]) for r in found.collect()) == [
+        ("scholarship guide", "scholarship info", "scholarship"), ("scholarship info", "scholarships", "scholarship"),
+    ]
+
+
+def test_overlapping_pairs_against_all_pairs(spark):  # noqa: ANN001, ANN201
+    import random
+
+    rng = random.Random(2)
+    sets = {f"s{k}": sorted(rng.sample([f"w{j}" for j in range(25)], rng.randint(1, 12))) for k in range(40)}
+    want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) / min(len(sets[a]), len(sets[b])) >= 0.5}
+    got = corpus.overlapping_pairs(spark.createDataFrame(list(sets.items()), "k string, words array<string>"), "k", "words", 0.5)
+    assert {(r["a"], r["b"]) for r in got.collect()} == want
