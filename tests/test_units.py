@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import dates, predicates, text
 from lodestrata.operators import corpus, decisions, facts, reconcile, search, search_index, upsert, validate
-from lodestrata.sources import files, hwp, html, links, sheets
+from lodestrata.sources import dining, files, hwp, html, links, sheets
 
 
 def one(spark, expression, **columns):  # noqa: ANN001, ANN003, ANN201
@@ -328,3 +328,38 @@ def test_overlapping_pairs_against_all_pairs(spark):  # noqa: ANN001, ANN201
     want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) / min(len(sets[a]), len(sets[b])) >= 0.5}
     got = corpus.overlapping_pairs(spark.createDataFrame(list(sets.items()), "k string, words array<string>"), "k", "words", 0.5)
     assert {(r["a"], r["b"]) for r in got.collect()} == want
+
+
+DINING = """
+<p class="title">North hall</p>
+<table><tr><td>점심</td><td>평일 11:30 ~ 14:00</td><td>주말·공휴일 미운영</td></tr><tr><td>석식</td><td>17:00~18:30</td></tr></table>
+<div><table><tr><th>구분</th><th>코너</th><th>월요일 2026-03-02</th><th>화요일 2026-03-03</th><th>수요일 2026-03-04</th></tr>
+<tr><td rowspan="2">중식</td><td>A</td><td data-date="2026-03-02">rice<br>egg / soup</td><td data-date="2026-03-09">noodles</td><td>미운영</td></tr>
+<tr><td>B</td><td colspan="3" data-date="2026-03-02">curry</td></tr><tr><td>석식</td><td>석식</td><td></td><td>stew</td><td>x</td></tr></table></div>
+<p class="title">Price list</p>
+<table><tr><th>분류</th><th>코너</th><th>메뉴</th><th>단가</th></tr><tr><td rowspan="2">set</td><td>C</td><td>cutlet</td><td>6,000원 - 6,500원</td></tr><tr><td>C</td><td>udon</td><td>5,000원 부터</td></tr></table>
+<p class="title">South hall</p><table><tr><td>meal of the day</td></tr><tr><td>구성원 : 7,000원 외부인 : 8,500원</td></tr></table>
+"""
+
+
+def test_dining_pages(spark):  # noqa: ANN001, ANN201
+    pages = spark.createDataFrame([(1, DINING), (2, None), (3, "<table><tr><td>점심</td></tr></table>")], "page_id long, html string")
+    found = dining.cells(pages)
+    assert {r["place"] for r in found.collect()} == {"North hall", "Price list", "South hall"}
+    opening = [(r["meal"], r["weekday"], r["open"], r["close"], r["closed"]) for r in dining.hours(found).collect()]
+    assert sorted(map(str, opening)) == sorted(map(str, [
+        *(("lunch", d, "11:30", "14:00", False) for d in range(1, 6)), *(("dinner", d, "17:00", "18:30", False) for d in range(1, 6)),
+        *(("lunch", d, None, None, True) for d in (0, 6, 7)),
+    ]))
+    assert [r["complete"] for r in dining.complete(dining.hours(found)).collect()] == [False]
+    menu = {(r["date"].day, r["meal"], r["corner"]): (r["status"], r["items"], r["aligned"]) for r in dining.menus(found).collect()}
+    assert menu == {
+        (2, "lunch", "A"): ("operating", ["rice", "egg", "soup"], True), (3, "lunch", "A"): ("operating", ["noodles"], False), (4, "lunch", "A"): ("closed_temporary", [], True),
+        **{(d, "lunch", "B"): ("operating", ["curry"], True) for d in (2, 3, 4)},
+        (2, "dinner", ""): ("unknown", [], True), (3, "dinner", ""): ("operating", ["stew"], True), (4, "dinner", ""): ("operating", ["x"], True),
+    }
+    listed = sorted((r["name"], r["audience"], r["price_text"], r["price_min"], r["price_max"]) for r in dining.prices(found).collect())
+    assert listed == [
+        ("cutlet", "전체", "6,000원 - 6,500원", 6000, 6500), ("meal of the day", "구성원", "7,000원", 7000, 7000),
+        ("meal of the day", "외부인", "8,500원", 8500, 8500), ("udon", "전체", "5,000원 부터", 5000, None),
+    ]
