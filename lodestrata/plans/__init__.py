@@ -8,6 +8,7 @@ from lodestrata.plans import (  # noqa: F401
     extras,
     facts,
     history,
+    markup,
     operations,
     quality,
     scalars,

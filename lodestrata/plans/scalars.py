@@ -67,9 +67,17 @@ def sentence_clip(spark, d):  # noqa: ANN001, ANN201
     return table(spark, d, "documents").select("doc_id", text.clip_at_sentence(F.col("text")).alias("clip"))
 
 
-@query("without_title", f"SELECT doc_id, length(text) - length({FIRST}) > 0 AS longer, starts_with(text, {FIRST}) AS led FROM documents")
+@query(
+    "without_title",
+    f"""
+    WITH t AS (SELECT doc_id, text, array_to_string(string_split({FIRST}, ' ')[1:6], ' ') AS title FROM documents)
+    SELECT doc_id, CASE WHEN regexp_replace(title, '[\\s[:punct:]]+', '', 'g') = '' THEN text ELSE regexp_replace(substr(text, length(title) + 1), '^[\\s[:punct:]]+', '') END AS rest FROM t
+    """,
+)
 def without_title(spark, d):  # noqa: ANN001, ANN201
-    return table(spark, d, "documents").select("doc_id", (F.char_length("text") > F.char_length(_first())).alias("longer"), F.col("text").startswith(_first()).alias("led"))
+    """Texts without the first words of their first line, here written with a dash for each space."""
+    title = F.substring_index(_first(), " ", 6)
+    return table(spark, d, "documents").select("doc_id", text.without_leading_title(F.col("text"), F.replace(title, F.lit(" "), F.lit("-"))).alias("rest"))
 
 
 @query("unescaped_titles", "SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')) AS title FROM pages")

@@ -27,11 +27,6 @@ def html_fragments(spark, d):  # noqa: ANN001, ANN201
     return html.rows_of(table(spark, d, "pages"), html.fragments, "text string")
 
 
-@query("html_boards", "SELECT page_id, false AS board FROM pages")
-def html_boards(spark, d):  # noqa: ANN001, ANN201
-    return html.rows_of(table(spark, d, "pages"), lambda h: [{"board": html.is_board(h)}], "board boolean")
-
-
 @query("html_density")
 def html_density(spark, d):  # noqa: ANN001, ANN201
     """The container of each page's densest text, and how long that is."""

@@ -297,24 +297,38 @@ def fragments(html: str, least: int = 6) -> list[dict]:
     return [{"text": t} for t in dict.fromkeys(n.text() for n in parse(html).find(*kinds)) if len(t) >= least]
 
 
+#: What a character of a link takes off, and what share of the best value an inner container needs.
+LINK_PENALTY, INNER_SHARE = 1.5, 0.9
+
+
 def density_root(html: str) -> Node:
-    """The container with the most text that isn't in links; ties go to the inner one."""
-    best, score = None, -1.0
-    for node in parse(html).walk():
-        if node.tag in ("div", "section", "article", "main", "body", "td"):
-            links = sum(len(a.text()) for a in node.find("a"))
-            value = len(node.text()) - 1.5 * links
-            if value > score * (1.02 if best and node.inside(best.tag) and value < score else 1.0) or (best and value >= 0.9 * score and _under(node, best)):
-                best, score = node, value
-    return best or parse(html)
-
-
-def _under(node: Node, other: Node) -> bool:
-    while node.parent:
-        node = node.parent
-        if node is other:
-            return True
-    return False
+    """The container with the most text that isn't in links, or the innermost in it that has nearly as much."""
+    root = parse(html)
+    nodes = list(root.walk())
+    place = {id(node): k for k, node in enumerate(nodes)}
+    # Nodes come in page order, so those below a node are the run behind it: sums and ends go upwards once.
+    chars, links, end = [0] * len(nodes), [0] * len(nodes), list(range(1, len(nodes) + 1))
+    for k in range(len(nodes) - 1, -1, -1):
+        node = nodes[k]
+        if node.tag in SKIPPED:
+            chars[k] = links[k] = 0
+        else:
+            chars[k] += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+            links[k] = chars[k] if node.tag == "a" else links[k]
+        if node.parent is not None:
+            above = place[id(node.parent)]
+            chars[above] += chars[k]
+            links[above] += links[k]
+            end[above] = max(end[above], end[k])
+    value = [c - LINK_PENALTY * n for c, n in zip(chars, links, strict=True)]
+    held = [k for k, node in enumerate(nodes) if node.tag in ("div", "section", "article", "main", "body", "td")]
+    if not held:
+        return root
+    best = max(held, key=lambda k: (value[k], -k))
+    for k in held:
+        if best < k < end[best] and value[k] >= INNER_SHARE * value[best]:
+            best = k
+    return nodes[best]
 
 
 def rows_of(pages: DataFrame, reader: Callable[[str], list[dict]], fields: str, key: str = "page_id", html: str = "html") -> DataFrame:

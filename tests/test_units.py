@@ -363,3 +363,10 @@ def test_dining_pages(spark):  # noqa: ANN001, ANN201
         ("cutlet", "전체", "6,000원 - 6,500원", 6000, 6500), ("meal of the day", "구성원", "7,000원", 7000, 7000),
         ("meal of the day", "외부인", "8,500원", 8500, 8500), ("udon", "전체", "5,000원 부터", 5000, None),
     ]
+
+
+def test_density_root_is_linear_and_innermost():  # noqa: ANN201
+    page = "<body><div id=menu><a>" + "link " * 40 + "</a></div><div id=outer><p>x</p><div id=inner>" + "words of a text " * 30 + "</div></div><script>" + "s" * 5000 + "</script></body>"
+    assert html.density_root(page).attrs["id"] == "inner"
+    assert html.density_root("<div>" * 3000 + "text").tag == "div"
+    assert html.density_root("plain").tag == "page"
