@@ -60,7 +60,7 @@ def html_table_rows(spark, d):  # noqa: ANN001, ANN201
 def html_definitions(spark, d):  # noqa: ANN001, ANN201
     """Terms with their definitions; the list of a region that lacks a definition is an error."""
     nation = table(spark, d, "nation")
-    row = F.concat(F.lit("<dt>"), "n_nationkey", F.when((F.col("n_regionkey") == 2) & (F.col("n_nationkey") == 8), "").otherwise(F.concat(F.lit("<dd>"), "n_name")))
+    row = F.concat(F.lit("<dt>"), "n_nationkey", F.when((F.col("n_regionkey") == 2) & (F.col("n_nationkey") == 7), "").otherwise(F.concat(F.lit("<dd>"), "n_name")))
     return html.rows_of(_joined(nation, "n_regionkey", "n_nationkey", row, "<dl>", "</dl>"), html.calendar, "when string, title string, error string", "n_regionkey")
 
 
