@@ -2,59 +2,35 @@
 
 from __future__ import annotations
 
-import functools
-import gc
-import tempfile
-import time
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import scratch, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@functools.cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="lodestrata-")
+__all__ = ["free_name", "scratch", "settled", "table", "text_or_empty"]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a local folder is chosen instead.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = root or _local_scratch()
-    return f"{root}/lodestrata/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+WRITING = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, by_hash: str = "64m") -> DataFrame:
     """Write ``df`` once into shared space and read it back: cuts lineage, and a lost executor
-    costs a read instead of the work before it."""
-    path = scratch(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._settled_at = path
-    return out
+    costs a read instead of the work before it.
 
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a settled table that nothing reads any more."""
+    Meanwhile Spark deletes the shuffle files of the write as soon as it ends, and joins by hash
+    instead of sorting where all partitions of a side turn out no larger than ``by_hash``.
+    """
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._settled_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    set_to = dict(zip(WRITING, ("true", by_hash), strict=True))
+    path, before = scratch(spark, name), {key: spark.conf.get(key) for key in WRITING}
+    try:
+        for key, value in set_to.items():
+            spark.conf.set(key, value)
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:

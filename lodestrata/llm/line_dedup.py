@@ -2,17 +2,19 @@
 
 A line's tokens are its lower-cased words, each once.  Lines with equal token sets are one entry,
 found by an aggregate that combines before it shuffles, so a line that is everywhere costs one row
-per map task.  Every entry orders its tokens by rarity and is posted under its prefix: two sets of
-the wanted Jaccard similarity share a token of their prefixes.  Within a posting list pairs must
-pass the length filter, the positional filter and a bound from 128-bit parity signatures (the
+per map task; before such a line goes, its words are compared with those of the line that stays.
+Every entry orders its tokens by rarity.  Two entries of the wanted Jaccard similarity share a
+token of their prefixes, where the longer entry's prefix is that of the similarity itself and the
+shorter entry's that of the share of tokens it then has in common.  Pairs that meet under a token
+must pass the length filter, the positional filter and a bound from 128-bit parity signatures (the
 signatures differ in no more bits than the sets do in tokens).  All of these are necessary
-conditions, so no pair is lost.
+conditions, so no pair is lost; what passes is verified on the words themselves.
 
-A line goes if any earlier line matches it, so one earlier match per entry is enough: a posting is
-first held against the one before it in its list, and only if that fails against all earlier ones.
-Members of a large group of near copies find their neighbour at once and pairs within a group are
-never spelled out.  The best candidate of each entry is verified on the words themselves; entries
-whose best candidate fails are held against the next few, and then against all their candidates.
+A line goes if any earlier line matches it, so one earlier match per entry is enough.  The first
+step finds most of them: entries with the same neighbouring tokens near the end of their prefixes
+are held against the first of them alone, so pairs within a large group of near copies are never
+spelled out.  Entries without a match so far are then held against all others under their tokens;
+those that have one only stand as the earlier side.
 
 Rarity comes from counts over all documents in 65,536 hash buckets.  Any order of tokens gives the
 same result; the counts only keep the lists short.
@@ -26,25 +28,30 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import discard, free_name, release, settled, table
+from lodestrata.llm._shared import free_name, settled, table
 
 BUCKETS = 1 << 16
 PERCENT = 80
-#: How many candidates are looked at in the second try; the third takes all.
-NEXT = 8
+#: So many tokens at the end of a prefix are looked at in the first step; a shorter prefix is drawn out to them.
+NEAR = 9
+#: The second step takes the tokens in so many parts, one after the other, which bounds its space on disk.
+PARTS = 2
+
+
+def _cut(line: Column) -> Column:
+    """The words of a line, lower-cased, repeats included, and maybe empty ones."""
+    return F.split(F.lower(line), "[ \\t\\r\\x0b\\x0c]")
 
 
 def words_of(line: Column) -> Column:
     """The words of a line, lower-cased, repeats included."""
-    plain = F.lower(line)
-    for space in "\t\r\x0b\x0c":
-        plain = F.replace(plain, F.lit(space), F.lit(" "))
-    return F.array_remove(F.split(plain, " "), "")
+    return F.array_remove(_cut(line), "")
 
 
 def _sketch(docs: DataFrame, text_col: str) -> Column:
@@ -59,14 +66,14 @@ def _sketch(docs: DataFrame, text_col: str) -> Column:
 
 def _hashes(line: Column) -> Column:
     """The token set as different hashes."""
-    return F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
+    return F.array_remove(F.array_distinct(F.transform(_cut(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _codes(hashes: Column, sketch: Column) -> Column:
     """The token set as ascending numbers: rarity in the upper byte, a 56-bit hash below it."""
 
     def code(h: Column) -> Column:
-        rank = F.get(sketch, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        rank = F.coalesce(F.get(sketch, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
         return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.transform(hashes, code))
@@ -80,174 +87,191 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "text_key", F.posexplode("lines").alias("pos", "line")).where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "")
 
 
+def _place() -> Column:
+    """The order of lines as one number, which an aggregate can keep in place: by id, a null id first, then pos."""
+    number = F.col("id").cast("decimal(20,0)") * F.lit(1 << 31)
+    return (F.coalesce(number, F.lit(str(-(1 << 95))).cast("decimal(31,0)")) + F.col("pos")).cast("decimal(38,0)")
+
+
 def _apart(a: str, b: str) -> Column:
     """In how many bits two signatures differ: in no more than the sets do in tokens."""
     low, high = (F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("sig", "sig2"))
     return low + high
 
 
-def _passes(a: str, b: str, percent: int) -> Column:
-    """Length, positional and signature filters between two postings."""
-    n, m, i, j = (F.col(f"{s}.{c}") for c in ("n", "i") for s in (a, b))
+def _passes(percent: int) -> Column:
+    """Length, positional and signature filters between postings a of a longer and b of a shorter entry."""
+    n, m, i, j = (F.col(f"{s}.{c}") for c in ("n", "i") for s in ("a", "b"))
     most = F.least(n - i, m - j) + 1
-    apart = _apart(a, b)
     return (
-        (n * 100 >= m * percent)
+        ((m < n) | ((m == n) & (F.col("a.number") != F.col("b.number"))))
         & (m * 100 >= n * percent)
         & (most * (100 + percent) >= (n + m) * percent)
-        & (apart * (100 + percent) <= (n + m) * (100 - percent))
+        & (_apart("a", "b") * (100 + percent) <= (n + m) * (100 - percent))
     )
 
 
-def _posted(entries: DataFrame, percent: int) -> DataFrame:
-    """token, and number, n, i (from 1) and sig of each entry posted under it.
+def _able(entries: DataFrame, percent: int) -> DataFrame:
+    """Without the sets too small to match a different set."""
+    return entries.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
 
-    No column can be null, so no filter is inferred and all readers share one shuffle.  Sets too
-    small to match a different set are not posted.
-    """
-    able = entries.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
-    rows = able.select("number", "n", "sig", "sig2", F.posexplode("prefix").alias("i", "token"))
-    zero = F.lit(0)
-    return rows.select(
-        F.coalesce("token", zero.cast("long")).alias("token"), F.coalesce("number", zero.cast("long")).alias("number"),
-        F.coalesce("n", zero).alias("n"), (F.coalesce("i", zero) + 1).alias("i"), F.coalesce("sig", zero.cast("long")).alias("sig"),
-        F.coalesce("sig2", zero.cast("long")).alias("sig2"),
-    )
 
+def _posted(entries: DataFrame, length: Column) -> DataFrame:
+    """token, and number, n, i (from 1), open and signatures of each entry posted under the first ``length`` of its prefix."""
+    rows = entries.select("number", "n", "sig", "sig2", "open", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("i", "token"))
+    return rows.withColumn("i", F.col("i") + 1)
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.col("a.number").alias("x"), F.col("b.number").alias("y"), _apart("a", "b").alias("apart"))
 
+def _prefix_length(n: Column, percent: int) -> Column:
+    """So many of the rarest tokens hold one that a set of at most the same size and the wanted similarity has."""
+    return n - F.floor((n * percent + 99) / 100).cast("int") + 1
 
-def _candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """For each entry with any, one earlier entry that passes the filters: the nearest by signature."""
-    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = _posted(entries, percent).repartition(parts, "token")
-    order = Window.partitionBy("token").orderBy("number")
-    own = F.struct("number", "n", "i", "sig", "sig2")
-    beside = posted.select("token", own.alias("a"), F.lag(own).over(order).alias("b")).where("b is not null")
-    near = _pairs(beside.where(_passes("a", "b", percent)))
-    # Those that do not match the entry before them in a list look at all earlier ones in it.
-    looking = beside.where(~_passes("a", "b", percent)).select("token", "a")
-    listed = posted.alias("b")
-    far = looking.join(listed, "token").where((F.col("b.number") < F.col("a.number")) & _passes("a", "b", percent))
-    return near.unionByName(_pairs(far)).groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
 
+def _short_length(n: Column, percent: int) -> Column:
+    """The same where the other set has at least the same size."""
+    return n - F.floor((n * (2 * percent) + 99 + percent) / (100 + percent)).cast("int") + 1
 
-def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs (x, y) whose words have the wanted Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("number")).distinct()
-    placed = entries.select("number", "id", "text_key", "pos").join(wanted, "number", "left_semi")
-    placed = placed.groupBy(F.col("id").alias("of"), "text_key").agg(F.collect_list(F.struct("pos", "number")).alias("places"))
+
+def _first_of_neighbours(entries: DataFrame) -> DataFrame:
+    """(x, y): y is the first of the entries that have three neighbouring tokens in common with x."""
+    near = F.slice("prefix", F.greatest(F.size("prefix") - (NEAR - 1), F.lit(1)), F.lit(NEAR))
+    token = lambda i: F.get(F.col("near"), i)
+    runs = F.transform(F.slice("near", F.lit(1), F.greatest(F.size("near") - 2, F.lit(1))), lambda c, i: F.xxhash64(c, token(i + 1), token(i + 2)))
+    keyed = entries.select("number", near.alias("near")).select("number", F.explode(runs).alias("run"))
+    first = keyed.groupBy("run").agg(F.min("number").alias("y"), F.max("number").alias("last")).where("y < last").select("run", "y")
+    shared = keyed.join(first, "run").where("number > y").groupBy(F.col("number").alias("x"), "y").agg(F.count(F.lit(1)).alias("n"))
+    # Of several, the one that shares most.
+    return shared.groupBy("x").agg(F.max_by("y", "n").alias("y"))
+
+
+def _met_under_tokens(entries: DataFrame, percent: int, part: int) -> DataFrame:
+    """(x, y): y is earlier than x, x has no match so far, and the two pass the filters under a token of the part."""
+    n, able = F.col("n"), _able(entries, percent)
+    long, short = _prefix_length(n, percent), _short_length(n, percent)
+    unmatched, matched = F.col("open"), ~F.col("open")
+    later = F.col("a.number") > F.col("b.number")
+
+    def met(a: DataFrame, b: DataFrame, wanted: Column) -> DataFrame:
+        a, b = (side.where(F.pmod("token", F.lit(PARTS)) == part) for side in (a, b))
+        held = a.alias("a").join(b.alias("b"), F.col("a.token") == F.col("b.token")).where(_passes(percent) & wanted)
+        return held.select(F.greatest("a.number", "b.number").alias("x"), F.least("a.number", "b.number").alias("y"))
+
+    # Of each pair one entry at least is unmatched, so a large group that is matched is not held against itself.
+    found = met(_posted(able.where(unmatched), long), _posted(able, short), later | F.col("b.open"))
+    found = found.unionByName(met(_posted(able.where(matched), long), _posted(able.where(unmatched), short), ~later))
+    return found.distinct()
+
+
+def _words(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """number and different words of each of ``wanted`` (number, id, text_key, pos), read from the texts."""
+    placed = wanted.groupBy(F.col("id").alias("of"), "text_key").agg(F.collect_set(F.struct("pos", "number")).alias("places"))
+    placed = settled(placed, "places")
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("own_key"), F.col(text_col).alias("body")
     )
-    met = rows.join(placed.hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("own_key") == F.col("text_key")))
-    met = met.select(F.split("body", "\n").alias("lines"), F.explode("places").alias("p"))
-    met = met.select("p.number", F.array_distinct(words_of(F.get("lines", F.col("p.pos")))).alias("words")).dropDuplicates(["number"])
+    met = rows.join(placed, F.col("id").eqNullSafe(F.col("of")) & (F.col("own_key") == F.col("text_key")))
+    # The lines are bound to a name in the expression, so that they are cut once a text.
+    picked = lambda lines: F.transform("places", lambda p: F.struct(p["number"].alias("number"), F.get(lines, p["pos"]).alias("line")))
+    met = met.select(F.inline(F.flatten(F.transform(F.array(F.split("body", "\n")), picked))))
+    met = settled(met.select("number", F.array_distinct(words_of(F.col("line"))).alias("words")), "words")
+    # A number is there twice only if a row of the table is.
+    if met.groupBy("number").count().where("count > 1").isEmpty():
+        return met
+    return settled(met.dropDuplicates(["number"]), "words")
+
+
+def _placed(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """number, id, text_key and pos of the entries in ``pairs``."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("number")).distinct()
+    return entries.select("number", "id", "text_key", "pos").join(wanted, "number", "left_semi")
+
+
+def _verified(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """x of the pairs (x, y) whose words, found in ``met``, have the wanted Jaccard similarity."""
     both = pairs.join(met.select(F.col("number").alias("x"), F.col("words").alias("left")), "x")
     both = both.join(met.select(F.col("number").alias("y"), F.col("words").alias("right")), "y")
     shared = F.size(F.array_intersect("left", "right"))
-    return both.where(shared * 100 >= (F.size("left") + F.size("right") - shared) * percent).select("x", "y")
+    return both.where(shared * 100 >= (F.size("left") + F.size("right") - shared) * percent).select("x").distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_key and pos of every line that an earlier line matches."""
-    spark = docs.sparkSession
+    """id, text_key and pos of every line that an earlier line matches, and ``words``: for a line whose
+    set of tokens hashes like an earlier one, the words it has to have, spaced; null for others."""
     sketch = _sketch(docs, text_col)
-    low, high = (_parity(F.col("hashes"), of) for of in (0, 64))
-    n = F.size("hashes")
+    low, high = (_parity(F.col("hashes"), of) for of in (0, 1))
+    n = F.size("codes")
+    length = _prefix_length(n, percent)
     full = settled(
         _lines(docs, id_col, text_col)
         .select("id", "text_key", "pos", _hashes(F.col("line")).alias("hashes"))
-        .select("id", "text_key", "pos", n.alias("n"), low.alias("sig"), high.alias("sig2"), _codes(F.col("hashes"), sketch).alias("codes"))
+        .select("id", "text_key", "pos", low.alias("sig"), high.alias("sig2"), _codes(F.col("hashes"), sketch).alias("codes"))
         .select(
-            "id", "text_key", "pos", "n", "sig", "sig2", F.xxhash64("codes").alias("key"), F.xxhash64(F.lit(1), "codes").alias("key2"),
-            F.slice("codes", F.lit(1), F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1).alias("prefix"),
+            "id", "text_key", "pos", n.alias("n"), "sig", "sig2", F.xxhash64("codes").alias("key"),
+            F.transform(F.slice("codes", F.lit(1), F.greatest(length, F.lit(NEAR))), lambda c: F.hash(c)).alias("prefix"),
         ),
         "lines",
     )
-    sets = settled(
-        full.groupBy("key", "key2")
-        .agg(F.min(F.struct("id", "pos", "text_key", "n", "sig", "sig2", "prefix")).alias("first"), F.count(F.lit(1)).alias("rows"))
-        .select("key", "key2", "first.*", "rows"),
-        "sets",
+    same = ["key", "sig", "sig2", "n"]
+    # Grouping by what the key stands for keeps the aggregate's state in place.
+    sets = full.withColumn("place", _place()).groupBy(*same, "prefix")
+    sets = sets.agg(
+        F.min("place").alias("place"), *(F.min_by(c, "place").alias(c) for c in ("id", "text_key", "pos")), F.count(F.lit(1)).alias("rows")
     )
-    lines = settled(full.select("id", "text_key", "pos", "key", "key2"), "places")
-    discard(full)
     # Numbers in the order of first places: a sort by ranges, then counting within them.
-    ordered = sets.orderBy(F.asc_nulls_first("id"), "pos", "key", "key2")
-    entries = settled(ordered.withColumn("number", F.monotonically_increasing_id()), "entries")
-    discard(sets)
-    del ordered
-    release(spark)
-    best = settled(_candidates(entries, percent), "candidates")
-    release(spark)
-    matched = settled(_verified(best, entries, docs, id_col, text_col, percent).select("x"), "matched")
-    failed = settled(best.join(matched, "x", "left_anti").select(F.col("x").alias("number")), "failed")
-    if not failed.isEmpty():
-        # The nearest by signature was not near enough: the other candidates of these few.
-        again = _posted(entries.join(failed, "number", "left_semi"), percent).alias("a")
-        rest = again.join(_posted(entries, percent).alias("b"), F.col("a.token") == F.col("b.token"))
-        rest = _pairs(rest.where((F.col("b.number") < F.col("a.number")) & _passes("a", "b", percent)))
-        nearest = Window.partitionBy("x").orderBy("apart", "y")
-        rest = rest.groupBy("x", "y").agg(F.min("apart").alias("apart")).join(best, ["x", "y"], "left_anti")
-        rest = settled(rest.withColumn("n", F.row_number().over(nearest)), "rest")
-        release(spark)
-        for some in (F.col("n") <= NEXT, F.col("n") > NEXT):
-            left = settled(rest.where(some).join(matched, "x", "left_anti").select("x", "y"), "left")
-            if left.isEmpty():
-                continue
-            more = _verified(left, entries, docs, id_col, text_col, percent).select("x").distinct()
-            matched = settled(matched.unionByName(more), "matched")
-            release(spark)
-    release(spark)
-    marked = matched.select(F.col("x").alias("number"), F.lit(True).alias("goes"))
-    judged = entries.select("key", "key2", "id", "pos", "rows", "number").join(marked, "number", "left").where("rows > 1 or goes")
-    judged = judged.select("key", "key2", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"), "goes")
+    entries = settled(sets.orderBy("place", "key").drop("place").withColumn("number", F.monotonically_increasing_id()), "entries")
+    near = settled(_first_of_neighbours(_able(entries, percent)), "near")
+    # The words of one line of each set that has several, too: they all have to have these.
+    places = _placed(near, entries).unionByName(entries.where("rows > 1").select("number", "id", "text_key", "pos"))
+    spelled = _words(places, docs, id_col, text_col)
+    matched = settled(_verified(near, spelled, percent), "matched")
+    marked = matched.select(F.col("x").alias("number"), F.lit(False).alias("open"))
+    opened = entries.select("number", "n", "sig", "sig2", "prefix").join(marked, "number", "left")
+    opened = settled(opened.withColumn("open", F.coalesce("open", F.lit(True))), "opened")
+    # Lists may be long, and a merge reads them in order.
+    met = [settled(_met_under_tokens(opened, percent, part), "met", by_hash="0") for part in range(PARTS)]
+    met = settled(functools.reduce(DataFrame.unionByName, met).distinct(), "met")
+    more = settled(_verified(met, _words(_placed(met, entries), docs, id_col, text_col), percent), "more")
+    gone = matched.unionByName(more).select(F.col("x").alias("number"), F.lit(True).alias("goes"))
+    judged = entries.select(*same, "number", "rows", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))
+    spelled = spelled.select("number", F.array_join("words", " ").alias("words"))
+    judged = judged.join(gone, "number", "left").where("rows > 1 or goes").join(spelled, "number", "left").drop("number", "rows")
     at_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))
-    return lines.select("id", "text_key", "pos", "key", "key2").join(judged.hint("merge"), ["key", "key2"]).where(
-        F.col("goes").isNotNull() | ~at_first
-    ).select("id", "text_key", "pos")
+    lines = full.select("id", "text_key", "pos", *same).join(judged, same)
+    lines = lines.where(F.col("goes").isNotNull() | ~at_first)
+    return lines.select("id", "text_key", "pos", F.when(~at_first, F.col("words")).alias("words"))
 
 
 def _parity(hashes: Column, of: int) -> Column:
-    """A signature's half: which of its 64 bits, picked by a hash's low seven bits, are met an odd
-    number of times."""
-    none = F.lit(0).cast("long")
-
-    def bit(h: Column) -> Column:
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-        return F.when(h.bitwiseAND(F.lit(64)) == of, one).otherwise(none)
-
-    return F.aggregate(hashes, none, lambda s, h: s.bitwiseXOR(bit(h)))
+    """A signature's half: which of its 64 bits, picked by a hash's upper six bits, are met an odd
+    number of times by the tokens whose lowest bit is ``of``."""
+    one = F.lit(1).cast("long")
+    # Tokens of the other half shift a zero.
+    mine = lambda h: h.bitwiseAND(one) if of else F.bitwise_not(h).bitwiseAND(one)
+    place = lambda h: F.shiftrightunsigned(h, 58).cast("int")
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", mine(h), place(h))))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` without the lines that an earlier line matches; with ``counts``, the numbers of
     lines and of removed lines in columns of these names."""
-    gone = settled(removed_lines(docs, percent, id_col, text_col).groupBy("id", "text_key").agg(F.collect_set("pos").alias("gone")), "gone")
-    release(docs.sparkSession)
-    own_id, own_key, places = (free_name(docs, c) for c in ("own_id", "own_key", "gone"))
-    gone = gone.select(F.col("id").alias(own_id), F.col("text_key").alias(own_key), F.col("gone").alias(places))
-    joined = docs.join(
-        gone.hint("merge"),
-        F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_key)),
-        "left",
-    )
-    lines = F.split(F.col(text_col), "\n")
+    found = removed_lines(docs, percent, id_col, text_col).groupBy("id", "text_key").agg(F.collect_set(F.struct("pos", "words")).alias("gone"))
+    own_id, own_key, places, cut = (free_name(docs, c) for c in ("own_id", "own_key", "gone", "cut"))
+    found = settled(found.select(F.col("id").alias(own_id), F.col("text_key").alias(own_key), F.col("gone").alias(places)), "gone")
+    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_key)), "left")
+    joined, lines = joined.withColumn(cut, F.split(text_col, "\n")), F.col(cut)
+
+    def goes(place: Column) -> Column:
+        """Whether the words are those that the line has to have, where it has to."""
+        own, wanted = F.sort_array(F.array_distinct(words_of(F.get(lines, place["pos"])))), F.split(place["words"], " ")
+        return wanted.isNull() | (own == F.sort_array(wanted))
+
+    joined = joined.withColumn(places, F.transform(F.filter(F.col(places), goes), lambda place: place["pos"]))
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(places), i)), "\n")
-    out = joined.withColumn(text_col, F.when(F.col(places).isNull(), F.col(text_col)).otherwise(kept))
+    made = {text_col: F.when(F.col(places).isNull(), F.col(text_col)).otherwise(kept)}
     if counts:
-        n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-        out = joined.withColumns(
-            {
-                text_col: F.when(F.col(places).isNull(), F.col(text_col)).otherwise(kept),
-                counts[0]: F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("long"),
-                counts[1]: F.when(F.col(places).isNull(), F.lit(0)).otherwise(F.size(places)).cast("long"),
-            }
-        )
-    return out.drop(own_id, own_key, places)
+        made[counts[0]] = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+        made[counts[1]] = F.coalesce(F.size(places), F.lit(0)).cast("long")
+    return joined.withColumns(made).drop(own_id, own_key, places, cut)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
