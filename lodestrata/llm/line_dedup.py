@@ -145,7 +145,7 @@ def _first_of_neighbours(entries: DataFrame) -> DataFrame:
 
 
 def _met_under_tokens(entries: DataFrame, percent: int, part: int) -> DataFrame:
-    """(x, y): y is earlier than x, x has no match so far, and the two pass the filters under a token of the part."""
+    """(x, y, apart): y is earlier than x, x has no match so far, and the two pass the filters under a token of the part."""
     n, able = F.col("n"), _able(entries, percent)
     long, short = _prefix_length(n, percent), _short_length(n, percent)
     unmatched, matched = F.col("open"), ~F.col("open")
@@ -154,7 +154,7 @@ def _met_under_tokens(entries: DataFrame, percent: int, part: int) -> DataFrame:
     def met(a: DataFrame, b: DataFrame, wanted: Column) -> DataFrame:
         a, b = (side.where(F.pmod("token", F.lit(PARTS)) == part) for side in (a, b))
         held = a.alias("a").join(b.alias("b"), F.col("a.token") == F.col("b.token")).where(_passes(percent) & wanted)
-        return held.select(F.greatest("a.number", "b.number").alias("x"), F.least("a.number", "b.number").alias("y"))
+        return held.select(F.greatest("a.number", "b.number").alias("x"), F.least("a.number", "b.number").alias("y"), _apart("a", "b").alias("apart"))
 
     # Of each pair one entry at least is unmatched, so a large group that is matched is not held against itself.
     found = met(_posted(able.where(unmatched), long), _posted(able, short), later | F.col("b.open"))
@@ -230,8 +230,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     # Lists may be long, and a merge reads them in order.
     met = [settled(_met_under_tokens(opened, percent, part), "met", by_hash="0") for part in range(PARTS)]
     met = settled(functools.reduce(DataFrame.unionByName, met).distinct(), "met")
-    more = settled(_verified(met, _words(_placed(met, entries), docs, id_col, text_col), percent), "more")
-    gone = matched.unionByName(more).select(F.col("x").alias("number"), F.lit(True).alias("goes"))
+    spelled_again = _words(_placed(met, entries), docs, id_col, text_col)
+    # One match is enough, so the nearest by signature is verified before all others.
+    more = settled(_verified(met.groupBy("x").agg(F.min_by("y", "apart").alias("y")), spelled_again, percent), "more")
+    rest = met.join(more, "x", "left_anti").select("x", "y")
+    last = settled(_verified(rest, spelled_again, percent), "last")
+    gone = matched.unionByName(more).unionByName(last).select(F.col("x").alias("number"), F.lit(True).alias("goes"))
     judged = entries.select(*same, "number", "rows", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))
     spelled = spelled.select("number", F.array_join("words", " ").alias("words"))
     judged = judged.join(gone, "number", "left").where("rows > 1 or goes").join(spelled, "number", "left").drop("number", "rows")
