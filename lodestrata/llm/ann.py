@@ -170,20 +170,20 @@ def nearest(
 
     def assign(count: int):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, middle, known = shared.value
+            turn, middle, known = shared.value
             for batch in batches:
                 v = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 near = np.argpartition(-(v @ middle.T), count - 1, axis=1)[:, :count] if count < len(middle) else np.tile(np.arange(len(middle)), (len(v), 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x.tobytes() for x in v]), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(floors_for(v, known, SLACK * (k + 1)) if count > 1 else np.zeros(len(v)))],
-                    names=["rep", "raw", "lists", "floor"],
+                    [batch.column(0), pa.array([x.tobytes() for x in v]), pa.array([x.tobytes() for x in v @ turn]), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(floors_for(v, known, SLACK * (k + 1)) if count > 1 else np.zeros(len(v)))],
+                    names=["rep", "raw", "turned", "lists", "floor"],
                 )
 
         return run
 
-    shape = "rep long, raw binary, lists array<int>, floor double"
+    shape = "rep long, raw binary, turned binary, lists array<int>, floor double"
     index = settled(
-        entries.mapInArrow(assign(1), shape).select("rep", "raw", F.element_at("lists", 1).alias("list")), "index"
+        entries.mapInArrow(assign(1), shape).select("rep", "raw", "turned", F.element_at("lists", 1).alias("list")), "index"
     )
     sizes = dict(index.groupBy("list").count().collect())  # one row a list: at most MOST_LISTS
     chunks = F.array(*(F.lit(-(-sizes.get(c, 1) // CHUNK)) for c in range(lists)))
@@ -193,20 +193,18 @@ def nearest(
     wanted = rows.where(is_query).join(entries, "v").select(F.col("id").alias("query_id"), "rep").distinct()
     wanted = settled(wanted, "wanted")
     def spread(probed: DataFrame) -> DataFrame:
-        rows = probed.select("rep", "raw", "floor", F.explode("lists").alias("list"))
+        rows = probed.select("rep", "raw", "turned", "floor", F.explode("lists").alias("list"))
         return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(chunks, F.col("list") + 1) - 1)))
 
     asked = settled(entries.join(wanted.select("rep").distinct(), "rep", "left_semi").mapInArrow(assign(probes), shape), "asked")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        turn = shared.value[0]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        data = np.frombuffer(b"".join(left.raw), float).reshape(len(left), -1)
-        turned, ids = data @ turn if len(left) else data, left.rep.to_numpy()
+        matrix = lambda column: np.frombuffer(b"".join(column), float).reshape(len(column), -1)
+        data, turned, ids = matrix(left.raw), matrix(left.turned), left.rep.to_numpy()
         for at in range(0, len(right) if len(left) else 0, QUERIES):
             some = right.iloc[at : at + QUERIES]
-            queries = np.frombuffer(b"".join(some.raw), float).reshape(len(some), -1)
-            q, found, scores = scan(data, turned, ids, queries, queries @ turn, some.floor.to_numpy(), k + 1)
+            q, found, scores = scan(data, turned, ids, matrix(some.raw), matrix(some.turned), some.floor.to_numpy(), k + 1)
             out.append((some.rep.to_numpy()[q], found, scores))
         if not out:
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
