@@ -211,8 +211,9 @@ def near_links(entries: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
     connected by pairs within ``reach`` bits."""
     if not 0 <= reach <= 4:
         raise ValueError("the grid's cells hold every pair for a reach of up to four")
-    cells = entries.select(F.explode(_cells(F.col("fp"))).alias("cell"), "fp", "rep")
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Entries are narrow and lie in few files; each becomes some fifty cells, so they are dealt out before.
+    cells = entries.repartition(parts).select(F.explode(_cells(F.col("fp"))).alias("cell"), "fp", "rep")
     runs = cells.repartition(parts, "cell").sortWithinPartitions("cell")
     found = settled(
         runs.mapInArrow(_links_by_run(reach, block), "u long, v long, cell long, fp long").where(
