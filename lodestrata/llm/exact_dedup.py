@@ -57,11 +57,14 @@ def registry(
     digest: Callable[[Column], Column] = sha256_hex,
     bytes_per_batch: int = 256 << 30,
     files_per_batch: int | None = None,
+    state_path: str | None = None,
 ) -> DataFrame:
     """Stream ``path`` through the keyed state; the digests met more than once.
 
     Columns: digest, n (rows so far), keep_id, keep_at (locator).  The stream's checkpoint and its
-    output lie in shared space, so a lost executor's state is loaded again from there.
+    output lie in shared space, so a lost executor's state is loaded again from there.  With
+    ``state_path`` they stay there: a later call reads only the files that came since, and holds
+    their rows against all rows before.
     """
     session = spark.newSession()
     for key, value in {
@@ -75,7 +78,7 @@ def registry(
         "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
     }.items():
         session.conf.set(key, value)
-    out, state = scratch(spark, "registry"), scratch(spark, "state")
+    out, state = (f"{state_path}/{name}" if state_path else scratch(spark, name) for name in ("registry", "state"))
     step = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {"maxBytesPerTrigger": bytes_per_batch}
     reader = session.readStream.schema(spark.read.parquet(path).schema).options(**step)
     rank = F.coalesce("id", F.lit(LOWEST))
@@ -98,10 +101,11 @@ def registry(
     )
     query.awaitTermination()
     fields = "digest string, n long, keep_id long, keep_at long"
-    if query.lastProgress is None:
+    last = query.lastProgress
+    if last is None and not state_path:
         return spark.createDataFrame([], fields)
     found = spark.read.schema(f"{fields}, batch int").parquet(out)
-    if query.lastProgress["batchId"] == 0:
+    if last is not None and last["batchId"] == 0:
         return found.drop("batch")
     # The count of a digest only grows: its last row is the one with the most rows.
     return found.groupBy("digest").agg(

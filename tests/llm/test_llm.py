@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -95,6 +96,17 @@ def test_exact_dedup_in_many_batches(spark, tmp_path):  # noqa: ANN001, ANN201
     assert got == {i: (max(j for j in range(60) if j % 7 == i % 7), sum(j % 7 == i % 7 for j in range(60))) for i in range(60)}
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):  # noqa: ANN001, ANN201
+    path, state = str(tmp_path / "docs.parquet"), str(tmp_path / "state")
+    found = lambda: sorted((r["n"], r["keep_id"]) for r in exact_dedup.registry(spark, path, state_path=state).collect())
+    deliver = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    deliver([(1, "a"), (2, "b"), (3, "a")])
+    assert found() == [(2, 3)]
+    deliver([(4, "b"), (9, "a"), (5, "c")])
+    assert found() == [(2, 4), (3, 9)]
+    assert found() == [(2, 4), (3, 9)]
+
+
 def test_exact_dedup_checks_bytes(spark, tmp_path):  # noqa: ANN001, ANN201
     path = str(tmp_path / "documents.parquet")
     spark.createDataFrame([(i, f"text {i % 5}") for i in range(20)], "doc_id long, text string").write.parquet(path)
@@ -576,6 +588,39 @@ def test_neighbours_recall_and_scores(spark):  # noqa: ANN001, ANN201
     assert hits >= 0.9 * 20 * len(found)
 
 
+def many_vectors(kind: str) -> np.ndarray:
+    rng = np.random.default_rng(4)
+    found = rng.standard_normal((20_000, 48))
+    if kind == "clustered":
+        found = rng.standard_normal((300, 48))[rng.integers(300, size=20_000)] + 0.3 * found
+    if kind == "norms":
+        found *= np.exp(rng.standard_normal((20_000, 1)))
+    return found
+
+
+@pytest.mark.parametrize(("kind", "probes"), [("gaussian", None), ("clustered", None), ("norms", None), ("clustered", 1)])
+def test_neighbours_over_many_lists(spark, monkeypatch, kind, probes):  # noqa: ANN001, ANN201
+    monkeypatch.setattr(ann, "CHUNK", 200)  # several chunks a list
+    vectors = many_vectors(kind)
+    if probes:
+        # Far from all others and few: one list holds less than k of them, so the search goes on over all lists.
+        vectors = vectors[:6000]
+        vectors[:8] = vectors[:8] * 0.01 + 40
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(vectors)), "embedding": list(vectors)}))
+    got = defaultdict(list)
+    for r in ann.nearest(table, F.col("id") % 200 == 0, 20, probes).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["id"], r["score"]))
+    met = 0
+    for q in range(0, len(vectors), 200):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        best = np.argsort(-scores)[:20]
+        assert len(got[q]) == 20
+        assert all(abs(s - scores[i]) < 1e-9 for i, s in got[q])
+        met += len(set(best) & {i for i, _ in got[q]})
+    assert met / (20 * len(got)) >= (0.95 if not probes else 0.3)
+
+
 def test_neighbours_awkward(spark):  # noqa: ANN001, ANN201
     rows = [(i, [1.0, 0.0], 1) for i in range(60)] + [(100, [0.0, 1.0], 1), (120, None, 1), (140, [0.0, 0.0], 1), (160, [float("nan"), 1.0], 1), (180, [1.0, None], 1), (200, [1.0], 1), (None, [1.0, 1.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
