@@ -28,8 +28,6 @@ BYTE_LIMIT = 128 << 20
 DIGITS = 15
 BITS = 4 * DIGITS
 STEP = 12
-#: Bits of the grid that rows and leaves meet on.
-GRID = 12
 #: What names of folders begin with.
 FOLDER = "b"
 #: Parts in which equal rows are numbered.
@@ -95,12 +93,13 @@ def assign_shards(docs: DataFrame, byte_limit: int = BYTE_LIMIT, step: int = STE
 
 def _placed(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     """``rows`` (bits, bytes and others) with shard, depth, shard_bytes and shard_rows of their leaf."""
-    # Leaves are ranges of hash values; one is listed under each cell of a grid that it touches.
+    # Leaves are ranges of hash values; one is listed under each cell of a grid that it touches.  The
+    # grid has two to four cells a leaf, so there are a few entries a leaf and few leaves a cell at any size.
+    shallow = F.lit(min(BITS, leaves.count().bit_length() + 1))
     starts = leaves.select(
         F.call_function("shiftleft", F.col("prefix"), F.lit(BITS) - F.col("depth")).alias("start"),
         "depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"),
     )
-    shallow = F.lit(GRID)
     spread = F.greatest(shallow - F.col("depth"), F.lit(0))
     first = _prefix(F.col("start"), shallow)
     cells = F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("long"), spread) - 1)
