@@ -154,11 +154,21 @@ def batch_questions(spark, d):  # noqa: ANN001, ANN201
     return search.batch_scores(index(spark, d), asked)
 
 
-@query("question_tokens", "SELECT doc_id, array_to_string(list_distinct_ordered[1:8], ' ') AS tokens FROM (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, list_filter(string_split_regex(string_split(text, chr(10))[1], '[^0-9A-Za-z가-힣+]+'), lambda w: length(w) >= 2 AND w NOT IN ('The', 'the')) AS l FROM documents WHERE lang = 'en' AND NOT regexp_matches(string_split(text, chr(10))[1], '[0-9+]')))")
+@query(
+    "question_tokens",
+    """
+    WITH w AS (
+        SELECT doc_id, list_transform(string_split_regex(coalesce(string_split(text, chr(10))[1], ''), '[^0-9A-Za-z가-힣+]+'),
+            lambda w: CASE WHEN regexp_full_match(w, '\\+*[0-9]+\\+*') THEN replace(w, '+', '') ELSE w END) AS l FROM documents
+    ),
+    k AS (SELECT doc_id, list_filter(l, lambda w: w NOT IN ('The', 'the') AND (length(w) >= 2 OR regexp_full_match(w, '[A-Za-z][+-]'))) AS l FROM w)
+    SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:8], ' ') AS tokens FROM k
+    """,
+)
 def question_tokens(spark, d):  # noqa: ANN001, ANN201
+    """First lines as questions; none of them holds an ending that is taken off."""
     first = F.element_at(F.split("text", "\n"), 1)
-    rows = table(spark, d, "documents").where((F.col("lang") == "en") & ~F.regexp_like(first, F.lit("[0-9+]")))
-    return rows.select("doc_id", F.array_join(tokenise(first, ["The", "the"]), " ").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(tokenise(first, ["The", "the"]), " ").alias("tokens"))
 
 
 @query("heaviest_token", f"WITH {SECTIONS_SQL}, w AS (SELECT DISTINCT page, ordinal, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}+]+')) AS token FROM sec), d AS (SELECT token, count(*) AS df FROM w WHERE length(token) >= 2 GROUP BY 1), t AS (SELECT DISTINCT page, unnest(string_split_regex(lower(path), '[^\\p{{L}}\\p{{N}}+]+')) AS token FROM sec), x AS (SELECT page, token, round(ln(((SELECT count(*) FROM sec) + 1.0) / df) * least(length(token) / 2, 2.0), 6) AS v FROM t JOIN d USING (token)) SELECT page, token AS shortened FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY v DESC, token) AS k FROM x) WHERE k = 1")
