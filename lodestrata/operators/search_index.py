@@ -11,14 +11,15 @@ met by a join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 APART = r"[^\p{L}\p{N}+]+"
 #: Up to so many terms or pages are named in a filter; more are joined.
-NAMED = 2000
+NAMED = 20_000
 
 
 def _terms(column: str):  # noqa: ANN202
@@ -54,10 +55,11 @@ class SearchIndex:
     terms: DataFrame
     hosts: DataFrame
     host: str | None = None
+    asked: tuple[set[str], DataFrame] | None = field(default=None, repr=False)
 
     def on(self, host: str | None) -> SearchIndex:
         """The same index, narrowed to a host."""
-        return replace(self, host=host)
+        return self if host == self.host else replace(self, host=host, asked=None)
 
     def _own(self, rows: DataFrame) -> DataFrame:
         return rows if self.host is None else rows.where(F.col("host") == self.host)
@@ -68,19 +70,27 @@ class SearchIndex:
         return row["n"] or 0, (row["chars"] or 0) / max(1, row["n"] or 0)
 
     def posted(self, forms: list[str]) -> DataFrame:
-        """Postings under terms that hold one of the forms, with that form."""
-        held = F.explode(F.filter(F.array(*(F.lit(f.lower()) for f in forms)), lambda f: F.contains("term", f))).alias("form")
-        met = self.terms.select("term", held)
-        few = met.limit(NAMED + 1).collect()
-        rows = self._own(self.postings)
-        if len(few) <= NAMED:
-            rows = rows.where(F.col("term").isin(sorted({r["term"] for r in few})))
-            met = self.sections.sparkSession.createDataFrame(few, met.schema)
-        return rows.join(met, "term")
+        """form, page, ordinal and in_path, each once, of postings under terms that hold one of the forms.
+
+        The postings of one question stay cached for its next steps, until another is asked.
+        """
+        wanted = {f.lower() for f in forms}
+        if self.asked is None or not wanted <= self.asked[0]:
+            held = F.explode(F.filter(F.array(*map(F.lit, sorted(wanted))), lambda f: F.contains("term", f))).alias("form")
+            met = self.terms.select("term", held)
+            few = met.limit(NAMED + 1).collect()
+            rows = self._own(self.postings)
+            if len(few) <= NAMED:
+                rows = rows.where(F.col("term").isin(sorted({r["term"] for r in few})))
+                met = self.sections.sparkSession.createDataFrame(few, met.schema)
+            if self.asked is not None:
+                self.asked[1].unpersist()
+            self.asked = wanted, rows.join(met, "term").select("form", "page", "ordinal", "in_path").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        return self.asked[1].where(F.col("form").isin(sorted(wanted)))
 
     def frequencies(self, tokens: list[str]) -> dict[str, int]:
         """In how many sections' texts each token stands."""
-        rows = self.posted(tokens).where("not in_path").select("form", "page", "ordinal").distinct().groupBy("form").count().collect()
+        rows = self.posted(tokens).where("not in_path").groupBy("form").count().collect()
         found = {r["form"]: r["count"] for r in rows}
         return {t: found.get(t.lower(), 0) for t in tokens}
 

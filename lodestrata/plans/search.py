@@ -74,10 +74,8 @@ def search_topk(spark, d):  # noqa: ANN001, ANN201
 
 @query("search_index", f"WITH {SECTIONS_SQL} SELECT host, count(*) AS sections, sum(length(text)) AS chars FROM sec GROUP BY host")
 def search_index(spark, d):  # noqa: ANN001, ANN201
-    """The build by itself: every text is cut into terms and stored, here seen by its hosts."""
-    path = scratch(spark, "search-index")
-    build_index(sections(spark, d), path)
-    return open_index(spark, path).hosts
+    """The stored index by its hosts; the first question over a folder builds it."""
+    return index(spark, d).hosts
 
 
 @query("section_scores", f"WITH {INDEX_SQL} SELECT page, ordinal, matched, round(raw, 3) AS score FROM sc")
