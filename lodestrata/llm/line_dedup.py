@@ -44,6 +44,10 @@ NEAR = 9
 PARTS = 2
 
 
+#: Most joins here have a side with each key once.
+stored = functools.partial(settled, by_hash="64m")
+
+
 def _cut(line: Column) -> Column:
     """The words of a line, lower-cased, repeats included, and maybe empty ones."""
     return F.split(F.lower(line), "[ \\t\\r\\x0b\\x0c]")
@@ -165,7 +169,7 @@ def _met_under_tokens(entries: DataFrame, percent: int, part: int) -> DataFrame:
 def _words(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """number and different words of each of ``wanted`` (number, id, text_key, pos), read from the texts."""
     placed = wanted.groupBy(F.col("id").alias("of"), "text_key").agg(F.collect_set(F.struct("pos", "number")).alias("places"))
-    placed = settled(placed, "places")
+    placed = stored(placed, "places")
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("own_key"), F.col(text_col).alias("body")
     )
@@ -173,11 +177,11 @@ def _words(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     # The lines are bound to a name in the expression, so that they are cut once a text.
     picked = lambda lines: F.transform("places", lambda p: F.struct(p["number"].alias("number"), F.get(lines, p["pos"]).alias("line")))
     met = met.select(F.inline(F.flatten(F.transform(F.array(F.split("body", "\n")), picked))))
-    met = settled(met.select("number", F.array_distinct(words_of(F.col("line"))).alias("words")), "words")
+    met = stored(met.select("number", F.array_distinct(words_of(F.col("line"))).alias("words")), "words")
     # A number is there twice only if a row of the table is.
     if met.groupBy("number").count().where("count > 1").isEmpty():
         return met
-    return settled(met.dropDuplicates(["number"]), "words")
+    return stored(met.dropDuplicates(["number"]), "words")
 
 
 def _placed(pairs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -201,7 +205,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     low, high = (_parity(F.col("hashes"), of) for of in (0, 1))
     n = F.size("codes")
     length = _prefix_length(n, percent)
-    full = settled(
+    full = stored(
         _lines(docs, id_col, text_col)
         .select("id", "text_key", "pos", _hashes(F.col("line")).alias("hashes"))
         .select("id", "text_key", "pos", low.alias("sig"), high.alias("sig2"), _codes(F.col("hashes"), sketch).alias("codes"))
@@ -218,23 +222,23 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         F.min("place").alias("place"), *(F.min_by(c, "place").alias(c) for c in ("id", "text_key", "pos")), F.count(F.lit(1)).alias("rows")
     )
     # Numbers in the order of first places: a sort by ranges, then counting within them.
-    entries = settled(sets.orderBy("place", "key").drop("place").withColumn("number", F.monotonically_increasing_id()), "entries")
-    near = settled(_first_of_neighbours(_able(entries, percent)), "near")
+    entries = stored(sets.orderBy("place", "key").drop("place").withColumn("number", F.monotonically_increasing_id()), "entries")
+    near = stored(_first_of_neighbours(_able(entries, percent)), "near")
     # The words of one line of each set that has several, too: they all have to have these.
     places = _placed(near, entries).unionByName(entries.where("rows > 1").select("number", "id", "text_key", "pos"))
     spelled = _words(places, docs, id_col, text_col)
-    matched = settled(_verified(near, spelled, percent), "matched")
+    matched = stored(_verified(near, spelled, percent), "matched")
     marked = matched.select(F.col("x").alias("number"), F.lit(False).alias("open"))
     opened = entries.select("number", "n", "sig", "sig2", "prefix").join(marked, "number", "left")
-    opened = settled(opened.withColumn("open", F.coalesce("open", F.lit(True))), "opened")
+    opened = stored(opened.withColumn("open", F.coalesce("open", F.lit(True))), "opened")
     # Lists may be long, and a merge reads them in order.
-    met = [settled(_met_under_tokens(opened, percent, part), "met", by_hash="0") for part in range(PARTS)]
-    met = settled(functools.reduce(DataFrame.unionByName, met).distinct(), "met")
+    met = [settled(_met_under_tokens(opened, percent, part), "met") for part in range(PARTS)]
+    met = stored(functools.reduce(DataFrame.unionByName, met).distinct(), "met")
     spelled_again = _words(_placed(met, entries), docs, id_col, text_col)
     # One match is enough, so the nearest by signature is verified before all others.
-    more = settled(_verified(met.groupBy("x").agg(F.min_by("y", "apart").alias("y")), spelled_again, percent), "more")
+    more = stored(_verified(met.groupBy("x").agg(F.min_by("y", "apart").alias("y")), spelled_again, percent), "more")
     rest = met.join(more, "x", "left_anti").select("x", "y")
-    last = settled(_verified(rest, spelled_again, percent), "last")
+    last = stored(_verified(rest, spelled_again, percent), "last")
     gone = matched.unionByName(more).unionByName(last).select(F.col("x").alias("number"), F.lit(True).alias("goes"))
     judged = entries.select(*same, "number", "rows", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))
     spelled = spelled.select("number", F.array_join("words", " ").alias("words"))
@@ -260,7 +264,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     lines and of removed lines in columns of these names."""
     found = removed_lines(docs, percent, id_col, text_col).groupBy("id", "text_key").agg(F.collect_set(F.struct("pos", "words")).alias("gone"))
     own_id, own_key, places, cut = (free_name(docs, c) for c in ("own_id", "own_key", "gone", "cut"))
-    found = settled(found.select(F.col("id").alias(own_id), F.col("text_key").alias(own_key), F.col("gone").alias(places)), "gone")
+    found = stored(found.select(F.col("id").alias(own_id), F.col("text_key").alias(own_key), F.col("gone").alias(places)), "gone")
     joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_key)), "left")
     joined, lines = joined.withColumn(cut, F.split(text_col, "\n")), F.col(cut)
 
