@@ -143,9 +143,7 @@ def _first_of_neighbours(entries: DataFrame) -> DataFrame:
     runs = F.transform(F.slice("near", F.lit(1), F.greatest(F.size("near") - 2, F.lit(1))), lambda c, i: F.xxhash64(c, token(i + 1), token(i + 2)))
     keyed = entries.select("number", near.alias("near")).select("number", F.explode(runs).alias("run"))
     first = keyed.groupBy("run").agg(F.min("number").alias("y"), F.max("number").alias("last")).where("y < last").select("run", "y")
-    shared = keyed.join(first, "run").where("number > y").groupBy(F.col("number").alias("x"), "y").agg(F.count(F.lit(1)).alias("n"))
-    # Of several, the one that shares most.
-    return shared.groupBy("x").agg(F.max_by("y", "n").alias("y"))
+    return keyed.join(first, "run").where("number > y").select(F.col("number").alias("x"), "y").distinct()
 
 
 def _met_under_tokens(entries: DataFrame, percent: int, part: int) -> DataFrame:
