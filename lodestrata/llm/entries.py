@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodestrata.llm import ann, bpe_codec, exact_dedup, fim, html_text, line_dedup, packing, pii, quality, sharding, simhash_dedup
+from lodestrata.llm import ann, bpe_codec, collocations, exact_dedup, fim, html_text, line_dedup, packing, pii, quality, sharding, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_packing": packing.op10_packing,
         "op11_fim": fim.op11_fim,
+        "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op4_sharding": sharding.SQL, "op5_line_dedup": line_dedup.SQL, "op11_fim": fim.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op4_sharding": sharding.SQL, "op5_line_dedup": line_dedup.SQL, "op11_fim": fim.SQL, "op13_collocations": collocations.SQL}
