@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodestrata.llm import ann, bpe_codec, collocations, exact_dedup, fim, html_text, line_dedup, packing, pii, quality, sharding, simhash_dedup
+from lodestrata.llm import ann, bpe_codec, collocations, exact_dedup, fim, html_text, line_dedup, ngram_join, packing, pii, quality, sharding, simhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_packing": packing.op10_packing,
         "op11_fim": fim.op11_fim,
+        "op12_ngram_join": ngram_join.op12_ngram_join,
         "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
