@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from lodestrata.llm._shared import settled, table, text_or_empty
 
 #: Words of a shard, after which it is closed; and bytes of texts that are split at once.
-SHARD, CHUNK = 4 << 20, 4 << 20
+SHARD, CHUNK = 1 << 20, 1 << 20
 #: No byte of UTF-8: stands for the end of a piece.
 BREAK = b"\xff"
 #: Bytes that end a piece.
@@ -84,9 +84,11 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
         for batch in batches:
             waiting: dict[str, list[bytes]] = defaultdict(list)
             sizes: dict[str, int] = defaultdict(int)
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                waiting[lang].append(text.encode())
-                sizes[lang] += len(text)
+            # One text at a time leaves Arrow's memory, so that a batch is not held a second time.
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body = bytes(text.as_buffer())
+                waiting[lang].append(body)
+                sizes[lang] += len(body)
                 if sizes[lang] >= CHUNK:
                     open_.setdefault(lang, Shard()).add(waiting.pop(lang))
                     sizes[lang] = 0
