@@ -42,6 +42,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/lodestrata/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into scratch and read back, for results that several steps read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @functools.cache
 def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="lodestrata-")
