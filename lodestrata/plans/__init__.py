@@ -11,6 +11,7 @@ from lodestrata.plans import (  # noqa: F401
     markup,
     operations,
     quality,
+    question_batches,
     scalars,
     search,
     sources,

@@ -29,11 +29,11 @@ def index(spark, d):  # noqa: ANN001, ANN201
 
 
 def sections(spark, d):  # noqa: ANN001, ANN201
-    """Sections with the title (their first line's first 40 characters), kind and address."""
+    """Sections with the title (their page's first line), kind and address."""
     rows = page_sections(spark, d)
     return rows.withColumns(
         {
-            "title": F.substring("path", 1, 40),
+            "title": F.col("path"),
             "kind": F.when(F.contains("text", F.lit("|")), "table_row").otherwise("paragraph"),
             "url": F.concat_ws("/", F.lit("https:/"), "host", F.col("page").cast("string")),
         }
@@ -42,7 +42,7 @@ def sections(spark, d):  # noqa: ANN001, ANN201
 
 INDEX_SQL = f"""
 {SECTIONS_SQL},
-ix AS (SELECT *, substr(path, 1, 40) AS title, CASE WHEN contains(text, '|') THEN 'table_row' ELSE 'paragraph' END AS kind FROM sec),
+ix AS (SELECT *, path AS title, CASE WHEN contains(text, '|') THEN 'table_row' ELSE 'paragraph' END AS kind FROM sec),
 tk AS (SELECT unnest(['license', 'thanedble', 'anea']) AS t),
 df AS (SELECT t, (SELECT count(*) FROM ix WHERE contains(lower(text), t)) AS n FROM tk),
 wt AS (SELECT t, n, ln(((SELECT count(*) FROM ix) + 1) / greatest(n, 1)) * least(length(t) / 2, 2) AS w FROM df),
@@ -121,22 +121,6 @@ def truncation_report(spark, d):  # noqa: ANN001, ANN201
     return search.truncation(rows, [F.desc("o_totalprice"), F.col("o_orderkey")], 10).drop("o_totalprice")
 
 
-@query("typed_outcome")
-def typed_outcome(spark, d):  # noqa: ANN001, ANN201
-    """The outcome of a question of each kind."""
-    rows = index(spark, d)
-    asked = {"personal": (TOKENS, True), "empty": ([], False), "unknown": (["zzyzx"], False), "license": (["license", "apache"], False), "common": (["the"], False)}
-    made = [(name, (a := search.decide(rows, t, personal=p)).outcome, a.page_level, a.truncated) for name, (t, p) in asked.items()]
-    return spark.createDataFrame(made, "question string, outcome string, page_level boolean, truncated boolean")
-
-
-@query("search_cascade")
-def search_cascade(spark, d):  # noqa: ANN001, ANN201
-    options = search.Options(headquarters="src0", narrowed="src3", synonyms={"licence": ["license"]})
-    answer = search.cascade(index(spark, d), ["licence"], options)
-    return spark.createDataFrame([(answer.outcome, len(answer.pages), answer.page_level)], "outcome string, pages int, page_level boolean")
-
-
 @query(
     "batch_questions",
     f"""
