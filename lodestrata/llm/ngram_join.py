@@ -13,7 +13,7 @@ order, and a document whose start holds fewer shared tokens has no partner.  Tok
 chunk of documents once, so a token that a third of all documents hold is sent once a chunk.
 
 What is asked for is the component of each document.  So a group is first compared with the group it shares most tokens with
-among the firsts of its tokens, and from then on only pairs of different components are looked at: under each
+among the firsts of its tokens, then so is each component a few times, and from then on all pairs of different components are looked at: under each
 token the first few of each component, then more, until no token holds an untested pair of different components.  No pair that can join two components is left out.
 
 Defined results
@@ -47,7 +47,9 @@ MORE = 10
 #: Longs of the bitmap of a set.
 BITMAP = 8
 #: Members of a component compared under a token in the first round, and the growth of that number.
-FIRST, GROWTH = 2, 16
+FIRST, GROWTH = 2, 256
+#: Times that each component is compared with one other before pairs are.
+TURNS = 2
 
 
 def tokens(joined: bytes, words: int) -> np.ndarray:
@@ -223,76 +225,101 @@ class _Join:
         spark = entries.sparkSession
         least = F.expr(f"(n * {percent} + 99) div 100")
         head = F.slice("shared", F.lit(1), F.size("shared") - least + 1)
-        named = entries.select("node", "n", F.size("shared").alias("s"), head.alias("head"), "bitmap").withColumn("same", F.sha2(F.array_join("head", ","), 256))
+        named = entries.select("node", "n", F.size("shared").alias("s"), head.alias("head")).withColumn("same", F.sha2(F.array_join("head", ","), 256))
         groups = named.groupBy("n", "s", "same").agg(F.min("node").alias("gid"))
         self.members = settled(named.select("node", "n", "s", "same").join(groups, ["n", "s", "same"]).select("node", "gid"), "members")
         firsts = named.join(groups.select(F.col("gid").alias("node")), "node", "left_semi")
-        listed = firsts.select(F.col("node").alias("gid"), "n", "s", "bitmap", "head", F.posexplode("head").alias("i", "token"))
+        listed = firsts.select(F.col("node").alias("gid"), "n", "s", "head", F.posexplode("head").alias("i", "token"))
         listed = listed.withColumn("prev", F.get("head", F.col("i") - 1)).drop("head")
-        # A token of one group brings nobody together; nor does one before which all its groups share the same token.
-        wide = listed.groupBy("token").agg(F.min("gid").alias("first"), F.max("gid").alias("last")).where("first < last")
-        self.lists = settled(listed.join(wide.select("token", "first"), "token"), "lists")
+        # A token of one group brings nobody together.
+        wide = listed.groupBy("token").agg(F.min("gid").alias("a"), F.max("gid").alias("b")).where("a < b").select("token")
+        self.lists = settled(listed.join(wide, "token", "left_semi"), "lists")
         self.links = spark.createDataFrame([], "u long, v long")
 
     def link(self, pairs: DataFrame) -> None:
         """Verify ``pairs`` (u, v) and add those that reach the similarity."""
-        left = self.entries.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("a"))
-        right = self.entries.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("shared").alias("b"))
-        both = pairs.distinct().join(left, "u").join(right, "v")
-        found = both.where(F.size(F.array_intersect("a", "b")) * (100 + self.percent) >= self.percent * (F.col("nu") + F.col("nv")))
+        left, right = (self.entries.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"t{x}"), F.col("bitmap").alias(f"b{x}")) for x in ("u", "v"))
+        sizes = self.entries.select("node", "n", F.size("shared").alias("s"), "bitmap")
+        # Sizes and bitmaps first: they are narrow, and their bound lets few pairs through that fail.
+        narrow = pairs.distinct()
+        for x in ("u", "v"):
+            narrow = narrow.join(sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"), F.col("bitmap").alias(f"b{x}")), x)
+        need = F.expr(f"((nu + nv) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
+        apart = sum((F.bit_count(F.col("bu")[k].bitwiseXOR(F.col("bv")[k])) for k in range(BITMAP)), F.lit(0))
+        able = narrow.where((F.least("su", "sv") >= need) & (apart <= F.col("su") + F.col("sv") - 2 * need)).select("u", "v")
+        both = settled(able, "able").join(left.drop("bu"), "u").join(right.drop("bv"), "v")
+        found = both.where(F.size(F.array_intersect("tu", "tv")) * (100 + self.percent) >= self.percent * (F.col("nu") + F.col("nv")))
         self.links = settled(self.links.unionByName(found.select("u", "v")), "ngram_links")
 
+    def spread(self) -> None:
+        """Give every member its component as the links now make it, and keep the lists that hold several."""
+        roots = settled(components(self.links), "roots")
+        # The stars span what the links did.
+        self.links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        self.comps = settled(self.members.join(roots, "node", "left").select("node", "gid", F.coalesce("root", "node").alias("comp")), "comps")
+        self.subs = settled(self.comps.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("size")), "subs")
+        at = self.lists.select("token", "gid").join(self.subs.select("gid", "comp"), "gid")
+        several = at.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
+        self.lists = settled(self.lists.join(several, "token", "left_semi"), "lists")
+
     def nearest(self) -> DataFrame:
         """Members with the first of their group, and each group with the one it shares most tokens with among the firsts of its tokens."""
         own = self.members.where("node <> gid").select(F.col("gid").alias("u"), F.col("node").alias("v"))
-        met = self.lists.where("gid <> first").groupBy("gid", "first").agg(F.count(F.lit(1)).alias("c"))
-        best = met.groupBy("gid").agg(F.max(F.struct("c", (-F.col("first")).alias("f"))).alias("x"))
-        return own.unionByName(best.select((-F.col("x.f")).alias("u"), F.col("gid").alias("v")))
+        return own.unionByName(self._best(self.lists.select("token", "gid", F.col("gid").alias("comp")), 0))
+
+    def closer(self, turn: int) -> DataFrame:
+        """The same for components: each with one of those that come first under its tokens, in another order each turn."""
+        return self._best(self.lists.join(self.subs.select("gid", "comp"), "gid").select("token", "gid", "comp"), turn)
+
+    def _best(self, rows: DataFrame, turn: int) -> DataFrame:
+        first = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "comp", "gid")).alias("f"))
+        met = rows.join(first, "token").where("comp <> f.comp").groupBy("comp", F.col("f.comp").alias("to")).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("f.gid", F.col("gid").alias("own"))).alias("p"))
+        best = met.groupBy("comp").agg(F.max_by("p", F.struct("c", (-F.col("to")).alias("t"))).alias("p"))
+        return best.select(F.col("p.gid").alias("u"), F.col("p.own").alias("v"))
 
-    def round(self, most: int) -> int:
+    def compare(self, most: int) -> int:
         """Compare, under each token and in each group, up to ``most`` of each component with those of others.
 
         Returns how many of one component stand under a token that holds several.
         """
-        roots = components(self.links)
-        members = self.members.join(roots, "node", "left").select("node", "gid", F.coalesce("root", "node").alias("comp"))
-        members = settled(members, "comps")
-        subs = members.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("size"))
-        lists = self.lists.join(subs, "gid")
-        several = lists.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-        lists = settled(lists.join(several, "token", "left_semi").drop("first"), "open_lists")
-        under = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-        inside = subs.groupBy("gid").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("size").alias("size"))
-        # Members of a group are compared by the same numbers as groups under a token.
-        within = inside.where("a < b").agg(F.max("size")).first()[0] or 0
-        if not under and not within:
+        inside = self.subs.groupBy("gid").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("size").alias("size")).where("a < b")
+        lists = settled(self.lists.join(self.subs, "gid"), "open_lists")
+        under = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("size")).agg(F.max(F.greatest("c", "size"))).first()[0] or 0
+        bound = max(under, inside.agg(F.max("size")).first()[0] or 0)
+        if not bound:
             return 0
         order = Window.partitionBy("token", "comp").orderBy("gid")
         few = lists.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-        x = few.select("token", *(F.col(c).alias(f"{c}_x") for c in ("gid", "comp", "n", "s", "i", "prev", "bitmap", "size")))
-        y = few.select("token", *(F.col(c).alias(f"{c}_y") for c in ("gid", "comp", "n", "s", "i", "prev", "bitmap", "size")))
+        x, y = (few.select("token", *(F.col(c).alias(f"{c}_{end}") for c in ("gid", "comp", "n", "s", "i", "prev"))) for end in "xy")
         need = F.expr(f"((n_x + n_y) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
-        apart = sum((F.bit_count(F.col("bitmap_x")[k].bitwiseXOR(F.col("bitmap_y")[k])) for k in range(BITMAP)), F.lit(0))
         fits = (
             (F.col("comp_x") < F.col("comp_y")) & (F.col("gid_x") != F.col("gid_y"))
             # Pairs that share the token before this one meet there.
             & (F.col("prev_x").isNull() | F.col("prev_y").isNull() | (F.col("prev_x") != F.col("prev_y")))
             & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * self.percent)
             & (F.least(F.col("s_x") - F.col("i_x"), F.col("s_y") - F.col("i_y")) >= need)
-            & (apart <= F.col("s_x") + F.col("s_y") - 2 * need)
         )
-        met = x.hint("merge").join(y.hint("merge"), "token").where(fits)
-        sides = ("gid_x", "comp_x", "gid_y", "comp_y")
-        pairs = met.select(*sides).distinct()
-        own = subs.join(inside.where("a < b").select("gid"), "gid", "left_semi")
+        pairs = x.hint("merge").join(y.hint("merge"), "token").where(fits).select("gid_x", "comp_x", "gid_y", "comp_y").distinct()
+        own = self.subs.join(inside.select("gid"), "gid", "left_semi")
         same = own.select("gid", F.col("comp").alias("comp_x")).join(own.select("gid", F.col("comp").alias("comp_y")), "gid").where("comp_x < comp_y")
         pairs = pairs.unionByName(same.select(F.col("gid").alias("gid_x"), "comp_x", F.col("gid").alias("gid_y"), "comp_y"))
-        ranked = members.withColumn("place", F.row_number().over(Window.partitionBy("gid", "comp").orderBy("node"))).where(F.col("place") <= most)
+        ranked = self.comps.withColumn("place", F.row_number().over(Window.partitionBy("gid", "comp").orderBy("node"))).where(F.col("place") <= most)
         side = lambda end, name: ranked.select(F.col("gid").alias(f"gid_{end}"), F.col("comp").alias(f"comp_{end}"), F.col("node").alias(name))
         self.link(pairs.join(side("x", "u"), ["gid_x", "comp_x"]).join(side("y", "v"), ["gid_y", "comp_y"]).select("u", "v"))
-        # Ranks are of components as they were; the largest number of one component bounds what is left.
-        size = lists.agg(F.max("size")).first()[0] or 0
-        return max(under, within, size)
+        return bound
+
+    def run(self) -> DataFrame:
+        """node and root of the nodes that are not the least of their component."""
+        self.link(self.nearest())
+        self.spread()
+        for turn in range(1, TURNS + 1):
+            self.link(self.closer(turn))
+            self.spread()
+        most = FIRST
+        while self.compare(most) > most:
+            self.spread()
+            most *= GROWTH
+        return components(self.links)
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,12 +338,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     whole = settled(_chunks(again, words, lambda n: n), "whole")
     found = _shared(whole, lambda n: _share(n, percent), True).dropDuplicates(["digest"])
     entries = settled(found.join(stands.select("digest", F.col("id").alias("rep")), "digest").withColumn("node", F.monotonically_increasing_id()), "entries")
-    join = _Join(entries, percent)
-    join.link(join.nearest())
-    most = FIRST
-    while join.round(most) > most:
-        most *= GROWTH
-    roots = components(join.links)
+    roots = _Join(entries, percent).run()
     led = entries.select("node", "digest", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = led.groupBy("root").agg(F.min("rep").alias("least"))
     moved = led.join(least, "root").select("digest", "least")
