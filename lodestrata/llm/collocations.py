@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from lodestrata.llm._shared import settled, table, text_or_empty
 
 #: Words of a shard, after which it is closed; and bytes of texts that are split at once.
 SHARD, CHUNK = 1 << 20, 1 << 20
+#: Rows of shards' counts that are merged at once.
+MERGED_ROWS = 1 << 18
 #: No byte of UTF-8: stands for the end of a piece.
 BREAK = b"\xff"
 #: Bytes that end a piece.
@@ -123,12 +126,24 @@ def _read(row: pa.Table | pa.RecordBatch, at: int = 0) -> tuple[np.ndarray, np.n
     return np.frombuffer(row["ids"][at].as_py(), "<i4"), np.frombuffer(row["nodes"][at].as_py(), "<i8")
 
 
+def _packed(shard: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
+    """Each shard with its part of the columns, one after another."""
+    order = np.argsort(shard, kind="stable")
+    by, held = shard[order], np.stack(columns)[:, order].astype("<i8")
+    starts = np.nonzero(np.concatenate(([True], by[1:] != by[:-1])))[0].tolist() if len(by) else []
+    return [(int(by[a]), held[:, a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(by)], strict=False)]
+
+
+def _unpacked(told: pa.Table, columns: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b, "<i8").reshape(columns, -1) for b in told["told"].to_pylist()], axis=1)
+
+
 def _with_words(shard: pa.Table, told: pa.Table) -> pa.Table:
     """The state of a shard after depth one; ``told`` (place, node): its words in the trie."""
     if not told.num_rows or not shard.num_rows:
         return _state(0, np.zeros(0, np.int32), np.zeros(0, np.int64)).slice(0, 0)
     ids = np.frombuffer(shard["ids"][0].as_py(), "<i4")
-    place, node = told["place"].to_numpy(), told["node"].to_numpy()
+    place, node = _unpacked(told, 2)
     order = np.argsort(node)
     now = np.full(int(max(ids.max(initial=-1), place.max())) + 2, -1, np.int32)  # the last stays -1, for the ends
     now[place[order]] = np.arange(len(order))
@@ -154,52 +169,58 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=["p", "s", "c", "shard"])
 
 
-MERGED = "p long, s long, a long, node long, shard long"
-
-
-def _merge(least: int, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds up the counts of equal nodes, which come one after another; gives those that reach ``least``
-    once with no shard, and once for each shard that has them."""
+def _merge(least: int, depth: int, key: tuple[str, str], more: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds up the counts c of rows of equal ``key``, which come one after another.  Those that reach ``least`` are given as
+    nodes, and each shard that has some is told so: the columns ``more`` (without them the key) and the node, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = (depth << DEPTH_BITS) + (TaskContext.get().partitionId() << TASK_BITS)
-        held = [np.zeros(0, np.int64)] * 4
+        node, held = (depth << DEPTH_BITS) + (TaskContext.get().partitionId() << TASK_BITS), None
 
-        def closed(p: np.ndarray, s: np.ndarray, c: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+        def closed(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal node
-            starts = np.nonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1]))))[0]
-            total = np.add.reduceat(c, starts)
-            own = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(p)]))))
+            total = np.add.reduceat(rows["c"].to_numpy(), starts)
+            own = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [rows.num_rows]))))
             frequent = total >= least
             number = node + np.cumsum(frequent)
             node += int(frequent.sum())
-            rows, heads = np.nonzero(frequent[own])[0], np.nonzero(frequent)[0]
-            columns = [(p[starts[heads]], p[rows]), (s[starts[heads]], s[rows]), (total[heads], total[own[rows]]), (number[heads], number[own[rows]])]
-            arrays = [pa.array(np.concatenate(c), pa.int64()) for c in columns]
-            arrays.append(pa.array(np.concatenate((np.zeros(len(heads), np.int64), shard[rows])), pa.int64(), mask=np.arange(len(heads) + len(rows)) < len(heads)))
-            return pa.RecordBatch.from_arrays(arrays, names=["p", "s", "a", "node", "shard"])
+            heads, told = np.nonzero(frequent)[0], np.nonzero(frequent[own])[0]
+            at = rows.take(pa.array(starts[heads]))
+            packed = _packed(rows["shard"].to_numpy()[told], *(rows[c].to_numpy()[told] for c in more or key), number[own[told]])
+            n, m = len(heads), len(packed)
+            columns = [pa.concat_arrays([at[k].combine_chunks(), pa.nulls(m, at[k].type)]) for k in key]
+            columns += [pa.concat_arrays([pa.array(x[heads], pa.int64()), pa.nulls(m, pa.int64())]) for x in (total, number)]
+            columns += [pa.concat_arrays([pa.nulls(n, kind), pa.array([x[i] for x in packed], kind)]) for i, kind in enumerate((pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*key, "a", "node", "shard", "told"])
 
         for batch in batches:
-            now = [np.concatenate((h, batch.column(i).to_numpy())) for i, h in enumerate(held)]
-            if not len(now[0]):
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            # Enough rows at once that a shard is told of many nodes in one row.
+            if held.num_rows < MERGED_ROWS:
                 continue
-            last = int(np.nonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[0][-1]) + 1 if ((now[0] != now[0][-1]) | (now[1] != now[1][-1])).any() else 0
-            if last:
-                yield closed(*(x[:last] for x in now))
-            held = [x[last:] for x in now]
-        if len(held[0]):
-            yield closed(*held)
+            starts = _starts(held, key)
+            if starts[-1]:
+                yield from closed(held.slice(0, int(starts[-1])), starts[:-1])
+                held = held.slice(int(starts[-1])).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from closed(held, _starts(held, key))
 
     return run
 
 
+def _starts(rows: pa.Table, key: tuple[str, str]) -> np.ndarray:
+    """Where another key begins."""
+    columns = [rows[k].combine_chunks() for k in key]
+    other = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in columns]
+    return np.nonzero(np.concatenate(([True], other[0] | other[1])))[0]
+
+
 def _deeper(shard: pa.Table, told: pa.Table) -> pa.Table:
     """The state of a shard one deeper; ``told`` (p, s, node): its nodes of that depth in the trie."""
     if not told.num_rows or not shard.num_rows:
         return _state(0, np.zeros(0, np.int32), np.zeros(0, np.int64)).slice(0, 0)
     ids, nodes = _read(shard)
-    place = lambda name: np.searchsorted(nodes, told[name].to_numpy())
-    known, node = place("p") * len(nodes) + place("s"), told["node"].to_numpy()
+    p, s, node = _unpacked(told, 3)
+    known = np.searchsorted(nodes, p) * len(nodes) + np.searchsorted(nodes, s)
     order = np.argsort(known)
     known, node = known[order], node[order]
     at, key = _pairs(ids, len(nodes))
@@ -218,18 +239,19 @@ def phrase_trie(docs: DataFrame, least: int, longest: int, text_col: str = "text
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = settled(shards(docs, text_col, lang_col), "shards")
-    words = cut.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("shard", "lang", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
+    words = cut.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
+    words = words.select("lang", F.col("x.words").alias("word"), F.col("x.counts").alias("c"), "shard", F.col("place").cast("long").alias("place"))
     totals = cut.select("lang", F.explode("counts").alias("c")).groupBy("lang").agg(F.sum("c").alias("n"))
-    frequent = words.groupBy("lang", "word").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
-    first = settled(frequent.withColumn("node", F.monotonically_increasing_id()), "depth")
-    told = words.join(first.select("lang", "word", "node"), ["lang", "word"]).select(F.col("shard").alias("own"), "place", "node")
+    ordered = words.repartitionByRange(parts, "lang", "word").sortWithinPartitions("lang", "word")
+    merged = settled(ordered.mapInArrow(_merge(least, 1, ("lang", "word"), ("place",)), "lang string, word string, a long, node long, shard long, told binary"), "merged")
+    first, told = merged.where("shard is null"), merged.where("shard is not null").select(F.col("shard").alias("own"), "told")
     state = settled(cut.select("shard", "ids").groupBy("shard").cogroup(told.groupBy("own")).applyInArrow(_with_words, STATE), "state")
     no = F.lit(None).cast("long")
     trie = first.select("node", no.alias("parent"), no.alias("link"), "lang", F.lit(1).alias("depth"), F.array("word").alias("words"), "a", F.array("a").alias("lefts"), F.array("a").alias("rights"))
     depths = [trie]
     for depth in range(2, longest + 1):
         counts = state.mapInArrow(_counted, COUNTS).repartitionByRange(parts, "p", "s").sortWithinPartitions("p", "s")
-        merged = settled(counts.mapInArrow(_merge(least, depth), MERGED), "merged")
+        merged = settled(counts.mapInArrow(_merge(least, depth, ("p", "s"), ()), "p long, s long, a long, node long, shard long, told binary"), "merged")
         new = merged.where("shard is null").select("node", F.col("p").alias("parent"), F.col("s").alias("link"), "a")
         above = depths[-1]
         left = above.select(F.col("node").alias("parent"), "lang", F.col("words").alias("start"), F.col("lefts").alias("over"))
@@ -240,7 +262,7 @@ def phrase_trie(docs: DataFrame, least: int, longest: int, text_col: str = "text
         )
         depths.append(settled(trie, "depth"))
         if depth < longest:
-            told = merged.where("shard is not null").select(F.col("shard").alias("own"), "p", "s", "node")
+            told = merged.where("shard is not null").select(F.col("shard").alias("own"), "told")
             state = settled(state.groupBy("shard").cogroup(told.groupBy("own")).applyInArrow(_deeper, STATE), "state")
     whole = depths[0]
     for more in depths[1:]:

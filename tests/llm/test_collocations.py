@@ -64,6 +64,7 @@ def test_many_shards_give_the_same(spark, monkeypatch):  # noqa: ANN001, ANN201
     rows = texts(60)
     monkeypatch.setattr(collocations, "CHUNK", 200)
     monkeypatch.setattr(collocations, "SHARD", 100)
+    monkeypatch.setattr(collocations, "MERGED_ROWS", 7)
     made = collocations.Shard()
     made.add([b"A b. c", b"", b"a\tB"])
     assert list(made.number)[1:] == [b"a", b"b", b"c"]
