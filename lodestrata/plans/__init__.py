@@ -10,6 +10,7 @@ from lodestrata.plans import (  # noqa: F401
     history,
     markup,
     operations,
+    page_nodes,
     quality,
     question_batches,
     scalars,
