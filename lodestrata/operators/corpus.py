@@ -48,6 +48,11 @@ def boilerplate(found: DataFrame, share: float = SHARE, least_pages: int = LEAST
     the threshold.  Profiles of fewer pages abstain."""
     totals = found.groupBy("profile").agg(F.count_distinct("page").alias("total"))
     counts = found.groupBy("profile", "digest").agg(F.count(F.lit(1)).alias("pages"), F.min("text").alias("text"))
+    return judge(counts, totals, share, least_pages)
+
+
+def judge(counts: DataFrame, totals: DataFrame, share: float, least_pages: int) -> DataFrame:
+    """The same from ``counts`` (profile, digest, pages, text) and ``totals`` (profile, total)."""
     need = F.greatest(F.lit(least_pages), F.floor(F.col("total") * share).cast("int"))
     kind = F.when(F.col("pages") >= need, "boilerplate").when(F.col("pages") >= need * BORDERLINE, "borderline")
     judged = counts.join(totals, "profile").where(F.col("total") >= least_pages)

@@ -20,6 +20,7 @@ from lodestrata.plans import (  # noqa: F401
     streams,
     topics,
 )
+from lodestrata.plans import builds  # noqa: F401, E402, I001  it takes an oracle of the modules above
 from lodestrata.plans._registry import ORACLES, QUERIES, Query
 
 
