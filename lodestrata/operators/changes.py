@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import stored
+
 
 def change_log(rows: DataFrame, key: str, stamp: str, value: str, tie: str) -> DataFrame:
     """Rows whose value differs from the one before under the same key, the first included."""
@@ -38,13 +40,34 @@ def cyclic_gap(times: DataFrame, key: str, minute: str, period: int = 1440) -> D
 
 def index_percentile(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles by index: the value at place int(n * share) of the sorted values."""
-    w = Window.partitionBy(*keys).orderBy(value) if keys else Window.partitionBy(F.lit(1)).orderBy(value)
-    n = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    if not keys:
+        return _percentile_of_all(rows, value, shares)
+    w, n = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
     placed = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(n))
     picks = [F.max(F.when(F.col("_i") == F.least((F.col("_n") * share).cast("int"), F.col("_n") - 1), F.col(value))).alias(name) for name, share in shares.items()]
     return placed.groupBy(*keys).agg(*picks, F.count(F.lit(1)).alias("n"))
 
 
+def _percentile_of_all(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """Different values with their counts in ranges; the sums of the ranges say in which one a place lies, and only that is looked through."""
+    spark = rows.sparkSession
+    counted = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    ranges = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = stored(counted.repartitionByRange(ranges, F.col(value).asc_nulls_first()).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = sorted(map(tuple, placed.groupBy("_part").agg(F.sum("_c")).collect()))  # a row a range
+    n, picked = sum(c for _, c in sums), {}
+    for name, share in shares.items():
+        left = min(int(n * share), n - 1)
+        for part, count in sums:
+            if left < count:
+                running = F.sum("_c").over(Window.orderBy(F.col(value).asc_nulls_first()))
+                picked[name] = placed.where(F.col("_part") == part).withColumn("_to", running).where(F.col("_to") > left).agg(F.min_by(F.struct(value), "_to")[value]).first()[0]
+                break
+            left -= count
+    kind = dict(rows.dtypes)[value]
+    return spark.createDataFrame([(*(picked.get(name) for name in shares), n)], ", ".join(f"{name} {kind}" for name in shares) + ", n long")
+
+
 def round_robin(rows: DataFrame, group: str, order: list[Column], first_seen: str) -> DataFrame:
     """Rows with their turn: the first of every group, then the second of every group..."""
     w = Window.partitionBy(group).orderBy(*order)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import stored
+
 VERIFIED = "verified"
 #: What every fact row carries.
 PROVENANCE = ("source_id", "source_url", "observed_at", "valid_from", "valid_to", "confidence", "extraction_method", "status", "tier")
@@ -121,6 +123,29 @@ def climb(nodes: DataFrame, key: str, parent: str, limit: int = 8) -> DataFrame:
     return now
 
 
+def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """node, ancestor and steps for all ancestors of each node.
+
+    By doubling: what lies within so many steps, and from those at exactly that distance as far again.
+    """
+    reach = stored(nodes.where(F.col(parent).isNotNull()).select(F.col(key).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps")), "ancestors")
+    done = 1
+    while not (edge := reach.where(F.col("steps") == done)).isEmpty():
+        on = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("steps").alias("_more"))
+        further = edge.join(on, "ancestor").select("node", F.col("_next").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps"))
+        reach = stored(reach.unionByName(further), "ancestors")
+        done *= 2
+    return reach
+
+
+def ancestor_overlap(hits: DataFrame, above: DataFrame) -> DataFrame:
+    """``hits`` (question, node): per question its hits, those with an ancestor among the hits, and how many such ancestors there are."""
+    both = hits.join(above, "node").join(hits.select("question", F.col("node").alias("ancestor")), ["question", "ancestor"])
+    met = both.groupBy("question").agg(F.count_distinct("node").alias("covered"), F.count_distinct("ancestor").alias("covering"))
+    total = hits.groupBy("question").agg(F.count(F.lit(1)).alias("hits"))
+    return total.join(met, "question", "left").fillna(0, ["covered", "covering"])
+
+
 def siblings(nodes: DataFrame, keys: list[str], key: str) -> DataFrame:
     """Pairs of different nodes under one parent."""
     other = nodes.select(*keys, F.col(key).alias("sibling"))

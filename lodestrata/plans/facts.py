@@ -204,6 +204,22 @@ def parent_climb(spark, d):  # noqa: ANN001, ANN201
     return ops.climb(rooted, "node", "parent", 8).select("node", "top", F.col("steps").cast("int").alias("steps"))
 
 
+@query(
+    "ancestor_overlap",
+    """
+    WITH RECURSIVE n AS (SELECT c_custkey AS k, CASE WHEN c_custkey >= 2 THEN c_custkey // 2 END AS p, c_nationkey AS question FROM customer),
+    c AS (SELECT k, p AS a FROM n WHERE p IN (SELECT k FROM n) UNION ALL SELECT c.k, n.p FROM c JOIN n ON n.k = c.a WHERE n.p IN (SELECT k FROM n)),
+    h AS (SELECT question, k FROM n), b AS (SELECT h.question, c.k, c.a FROM h JOIN c ON c.k = h.k JOIN h g ON g.question = h.question AND g.k = c.a)
+    SELECT h.question, count(DISTINCT h.k) AS hits, count(DISTINCT b.k) AS covered, count(DISTINCT b.a) AS covering FROM h LEFT JOIN b ON b.question = h.question GROUP BY 1
+    """,
+)
+def ancestor_overlap(spark, d):  # noqa: ANN001, ANN201
+    """Of each nation's customers those below another of the nation, in the tree of halved numbers."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") >= 2, F.floor(F.col("c_custkey") / 2)).alias("parent"), F.col("c_nationkey").alias("question"))
+    known = rows.join(rows.select(F.col("node").alias("parent")), "parent", "left_semi")
+    return ops.ancestor_overlap(rows.select("question", "node"), ops.ancestors(known, "node", "parent"))
+
+
 @query("sibling_join", "SELECT a.n_nationkey, b.n_nationkey AS sibling FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
 def sibling_join(spark, d):  # noqa: ANN001, ANN201
     return ops.siblings(table(spark, d, "nation"), ["n_regionkey"], "n_nationkey").select("n_nationkey", "sibling")

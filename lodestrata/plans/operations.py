@@ -105,6 +105,14 @@ def percentile_cadence(spark, d):  # noqa: ANN001, ANN201
     return found.select("user_id", F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"), "n")
 
 
+@query(
+    "percentiles_of_all",
+    "WITH x AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem) SELECT max(CASE WHEN i = least(floor(n * 0.5), n - 1) THEN v END) AS p50, max(CASE WHEN i = least(floor(n * 0.9), n - 1) THEN v END) AS p90, max(CASE WHEN i = n - 1 THEN v END) AS most, max(n) AS n FROM x",
+)
+def percentiles_of_all(spark, d):  # noqa: ANN001, ANN201
+    return changes.index_percentile(table(spark, d, "lineitem"), [], "l_extendedprice", {"p50": 0.5, "p90": 0.9, "most": 1.0})
+
+
 @query("age_buckets", "SELECT CASE WHEN a <= 365 THEN '1y' WHEN a <= 730 THEN '2y' WHEN a <= 1460 THEN '4y' ELSE 'older' END AS bucket, count(*) AS n, round(sum(o_totalprice), 0) AS total FROM (SELECT DATE '2001-12-31' - o_orderdate::DATE AS a, o_totalprice FROM orders) GROUP BY 1")
 def age_buckets(spark, d):  # noqa: ANN001, ANN201
     a = F.datediff(F.lit("2001-12-31").cast("date"), F.to_date("o_orderdate"))
