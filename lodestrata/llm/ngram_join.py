@@ -13,7 +13,7 @@ order, and a document whose start holds fewer shared tokens has no partner.  Tok
 chunk of documents once, so a token that a third of all documents hold is sent once a chunk.
 
 What is asked for is the component of each document.  So a group is first compared with the group it shares most tokens with
-among the firsts of its tokens, then so is each component a few times, and from then on all pairs of different components are looked at: under each
+among the firsts of its tokens, and from then on all pairs of different components are looked at: under each
 token the first few of each component, then more, until no token holds an untested pair of different components.  No pair that can join two components is left out.
 
 Defined results
@@ -44,12 +44,12 @@ SEED = 42
 CHUNK, BUCKET = 1 << 20, 1 << 20
 #: Of the first step, the share of a set by which its start is longer than needed to share one token, in per cent.
 MORE = 10
-#: Longs of the bitmap of a set.
-BITMAP = 8
+#: Bytes kept of a token in the first step, where a chance equality only lets a document through, and in the second.
+NARROW, WIDE = 6, 8
+#: Longs of the bitmap of a set, and of what is folded of it for the lists.
+BITMAP, FOLDED = 8, 2
 #: Members of a component compared under a token in the first round, and the growth of that number.
-FIRST, GROWTH = 2, 256
-#: Times that each component is compared with one other before pairs are.
-TURNS = 2
+FIRST, GROWTH = 2, 1024
 
 
 def tokens(joined: bytes, words: int) -> np.ndarray:
@@ -65,6 +65,17 @@ def tokens(joined: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64))
 
 
+def _pack(tokens: np.ndarray, width: int) -> bytes:
+    """The upper ``width`` bytes of each token."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
+
+
+def _unpack(blob: bytes, width: int) -> np.ndarray:
+    rows = np.zeros((len(blob) // width, 8), np.uint8)
+    rows[:, 8 - width :] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return rows.view("<u8").reshape(-1)
+
+
 def _share(n: int, percent: int) -> int:
     """The least whole number of at least ``percent`` per cent of n."""
     return -(-percent * n // 100)
@@ -83,7 +94,7 @@ def start_needs(n: int, percent: int) -> int:
 CHUNKS = "chunk long, ids array<long>, keys array<long>, digests array<binary>, ns array<long>, tokens binary, sizes binary, total long"
 
 
-def _chunks(docs: DataFrame, words: int, size: Callable[[int], int]) -> DataFrame:
+def _chunks(docs: DataFrame, words: int, size: Callable[[int], int], width: int) -> DataFrame:
     """``docs`` (id, key, text) in chunks: ids, keys, digests and set sizes of the documents, and the first
     ``size(n)`` tokens of each, of texts of equal words in one task once."""
 
@@ -96,7 +107,7 @@ def _chunks(docs: DataFrame, words: int, size: Callable[[int], int]) -> DataFram
             nonlocal given, held
             given += 1
             lists = [pa.array([x], kind) for x, kind in ((ids, pa.list_(pa.int64())), (keys, pa.list_(pa.int64())), (digests, pa.list_(pa.binary())), (ns, pa.list_(pa.int64())))]
-            flat = np.concatenate(parts).astype("<u8").tobytes()
+            flat = _pack(np.concatenate(parts), width)
             sizes = np.array(list(map(len, parts)), "<i4").tobytes()
             arrays = [pa.array([(task << 32) + given], pa.int64()), *lists, pa.array([flat], pa.binary()), pa.array([sizes], pa.binary()), pa.array([held], pa.int64())]
             for x in (ids, keys, digests, ns, parts):
@@ -127,59 +138,64 @@ def _chunks(docs: DataFrame, words: int, size: Callable[[int], int]) -> DataFram
     return docs.mapInArrow(run, CHUNKS)
 
 
-def _postings(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _postings(buckets: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch["chunk"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
-                found, count = np.unique(np.frombuffer(blob, "<u8"), return_counts=True)
+                found, count = np.unique(_unpack(blob, width), return_counts=True)
                 bucket = ((found >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 starts = np.nonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[0] if len(found) else np.zeros(0, int)
                 ends = [*starts[1:].tolist(), len(found)]
                 spans = list(zip(starts.tolist(), ends, strict=False))
                 arrays = [
                     pa.array(bucket[starts].astype(np.int64)), pa.array(np.full(len(starts), chunk), pa.int64()),
-                    pa.array([found[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([count[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+                    pa.array([_pack(found[a:b], width) for a, b in spans], pa.binary()), pa.array([count[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "own", "found", "counts"])
 
     return run
 
 
-def _totals(group: pa.Table) -> pa.Table:
+def _totals(width: int) -> Callable[[pa.Table], pa.Table]:
     """Of the postings of a bucket, for each chunk its tokens that more than one document holds, with their number."""
-    blobs = group["found"].to_pylist()
-    sizes = [len(b) // 8 for b in blobs]
-    found = np.concatenate([np.frombuffer(b, "<u8") for b in blobs])
-    counts = np.concatenate([np.frombuffer(b, "<u4") for b in group["counts"].to_pylist()])
-    order = np.argsort(found, kind="stable")
-    ordered = found[order]
-    starts = np.nonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[0]
-    sums = np.add.reduceat(counts[order].astype(np.int64), starts)
-    total = np.empty(len(found), np.int64)
-    total[order] = np.repeat(sums, np.diff(np.concatenate((starts, [len(found)]))))
-    ends = np.cumsum(sizes)
-    more, out = total > 1, []
-    for own, a, b in zip(group["own"].to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-        if (here := more[a:b]).any():
-            out.append((own, found[a:b][here].tobytes(), np.minimum(total[a:b][here], 0xFFFFFFFF).astype("<u4").tobytes()))
-    own, found_, totals = zip(*out, strict=True) if out else ((), (), ())
-    return pa.table({"own": pa.array(own, pa.int64()), "found": pa.array(found_, pa.binary()), "totals": pa.array(totals, pa.binary())})
+
+    def run(group: pa.Table) -> pa.Table:
+        blobs = group["found"].to_pylist()
+        sizes = [len(b) // width for b in blobs]
+        found = _unpack(b"".join(blobs), width)
+        counts = np.concatenate([np.frombuffer(b, "<u4") for b in group["counts"].to_pylist()])
+        order = np.argsort(found, kind="stable")
+        ordered = found[order]
+        starts = np.nonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[0]
+        sums = np.add.reduceat(counts[order].astype(np.int64), starts)
+        total = np.empty(len(found), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.concatenate((starts, [len(found)]))))
+        ends = np.cumsum(sizes)
+        more, out = total > 1, []
+        for own, a, b in zip(group["own"].to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+            if (here := more[a:b]).any():
+                out.append((own, _pack(found[a:b][here], width), np.minimum(total[a:b][here], 0xFFFFFFFF).astype("<u4").tobytes()))
+        own, found_, totals = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"own": pa.array(own, pa.int64()), "found": pa.array(found_, pa.binary()), "totals": pa.array(totals, pa.binary())})
+
+    return run
 
 
 PICKED = "digest binary, n long, shared array<long>, bitmap array<long>"
 
 
-def _picked(needs: Callable[[int], int], whole: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The documents of a chunk that hold as many shared tokens as they need, with these in order (if ``whole``)."""
+def _picked(needs: Callable[[int], int], width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The documents of a chunk that hold as many shared tokens as they need, with these in order if they are whole."""
+    whole = width == WIDE
 
     def run(chunk: pa.Table, told: pa.Table) -> pa.Table:
         digests, ns, lists, maps = [], [], [], []
         if chunk.num_rows and told.num_rows:
-            known = np.concatenate([np.frombuffer(b, "<u8") for b in told["found"].to_pylist()])
+            known = _unpack(b"".join(told["found"].to_pylist()), width)
             total = np.concatenate([np.frombuffer(b, "<u4") for b in told["totals"].to_pylist()])
             by = np.argsort(known)
             known, total = known[by], total[by]
-            mine, sizes = np.frombuffer(chunk["tokens"][0].as_py(), "<u8"), np.frombuffer(chunk["sizes"][0].as_py(), "<i4")
+            mine, sizes = _unpack(chunk["tokens"][0].as_py(), width), np.frombuffer(chunk["sizes"][0].as_py(), "<i4")
             own = np.repeat(np.arange(len(sizes)), sizes)
             at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
             hit = known[at] == mine
@@ -207,14 +223,14 @@ def _picked(needs: Callable[[int], int], whole: bool) -> Callable[[pa.Table, pa.
     return run
 
 
-def _shared(chunks: DataFrame, needs: Callable[[int], int], whole: bool) -> DataFrame:
+def _shared(chunks: DataFrame, needs: Callable[[int], int], width: int) -> DataFrame:
     """digest, n, and the tokens that other documents hold too, rarest first, of the documents that have enough of them."""
     spark = chunks.sparkSession
     total = chunks.agg(F.sum("total")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1)
-    postings = chunks.select("chunk", "tokens").mapInArrow(_postings(buckets), "bucket long, own long, found binary, counts binary")
-    told = postings.groupBy("bucket").applyInArrow(_totals, "own long, found binary, totals binary")
-    return chunks.select("chunk", "digests", "ns", "tokens", "sizes").groupBy("chunk").cogroup(told.groupBy("own")).applyInArrow(_picked(needs, whole), PICKED)
+    postings = chunks.select("chunk", "tokens").mapInArrow(_postings(buckets, width), "bucket long, own long, found binary, counts binary")
+    told = postings.groupBy("bucket").applyInArrow(_totals(width), "own long, found binary, totals binary")
+    return chunks.select("chunk", "digests", "ns", "tokens", "sizes").groupBy("chunk").cogroup(told.groupBy("own")).applyInArrow(_picked(needs, width), PICKED)
 
 
 class _Join:
@@ -225,11 +241,12 @@ class _Join:
         spark = entries.sparkSession
         least = F.expr(f"(n * {percent} + 99) div 100")
         head = F.slice("shared", F.lit(1), F.size("shared") - least + 1)
-        named = entries.select("node", "n", F.size("shared").alias("s"), head.alias("head")).withColumn("same", F.sha2(F.array_join("head", ","), 256))
+        named = entries.select("node", "n", F.size("shared").alias("s"), head.alias("head"), "bitmap").withColumn("same", F.sha2(F.array_join("head", ","), 256))
         groups = named.groupBy("n", "s", "same").agg(F.min("node").alias("gid"))
         self.members = settled(named.select("node", "n", "s", "same").join(groups, ["n", "s", "same"]).select("node", "gid"), "members")
         firsts = named.join(groups.select(F.col("gid").alias("node")), "node", "left_semi")
-        listed = firsts.select(F.col("node").alias("gid"), "n", "s", "head", F.posexplode("head").alias("i", "token"))
+        fold = [F.aggregate(F.slice("bitmap", 1 + k * (BITMAP // FOLDED), BITMAP // FOLDED), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)).alias(f"f{k}") for k in range(FOLDED)]
+        listed = firsts.select(F.col("node").alias("gid"), "n", "s", "head", *fold, F.posexplode("head").alias("i", "token"))
         listed = listed.withColumn("prev", F.get("head", F.col("i") - 1)).drop("head")
         # A token of one group brings nobody together.
         wide = listed.groupBy("token").agg(F.min("gid").alias("a"), F.max("gid").alias("b")).where("a < b").select("token")
@@ -247,7 +264,7 @@ class _Join:
         need = F.expr(f"((nu + nv) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
         apart = sum((F.bit_count(F.col("bu")[k].bitwiseXOR(F.col("bv")[k])) for k in range(BITMAP)), F.lit(0))
         able = narrow.where((F.least("su", "sv") >= need) & (apart <= F.col("su") + F.col("sv") - 2 * need)).select("u", "v")
-        both = settled(able, "able").join(left.drop("bu"), "u").join(right.drop("bv"), "v")
+        both = able.join(left.drop("bu"), "u").join(right.drop("bv"), "v")
         found = both.where(F.size(F.array_intersect("tu", "tv")) * (100 + self.percent) >= self.percent * (F.col("nu") + F.col("nv")))
         self.links = settled(self.links.unionByName(found.select("u", "v")), "ngram_links")
 
@@ -265,14 +282,10 @@ class _Join:
     def nearest(self) -> DataFrame:
         """Members with the first of their group, and each group with the one it shares most tokens with among the firsts of its tokens."""
         own = self.members.where("node <> gid").select(F.col("gid").alias("u"), F.col("node").alias("v"))
-        return own.unionByName(self._best(self.lists.select("token", "gid", F.col("gid").alias("comp")), 0))
+        return own.unionByName(self._best(self.lists.select("token", "gid", F.col("gid").alias("comp"))))
 
-    def closer(self, turn: int) -> DataFrame:
-        """The same for components: each with one of those that come first under its tokens, in another order each turn."""
-        return self._best(self.lists.join(self.subs.select("gid", "comp"), "gid").select("token", "gid", "comp"), turn)
-
-    def _best(self, rows: DataFrame, turn: int) -> DataFrame:
-        first = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "comp", "gid")).alias("f"))
+    def _best(self, rows: DataFrame) -> DataFrame:
+        first = rows.groupBy("token").agg(F.min(F.struct("comp", "gid")).alias("f"))
         met = rows.join(first, "token").where("comp <> f.comp").groupBy("comp", F.col("f.comp").alias("to")).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("f.gid", F.col("gid").alias("own"))).alias("p"))
         best = met.groupBy("comp").agg(F.max_by("p", F.struct("c", (-F.col("to")).alias("t"))).alias("p"))
         return best.select(F.col("p.gid").alias("u"), F.col("p.own").alias("v"))
@@ -290,7 +303,8 @@ class _Join:
             return 0
         order = Window.partitionBy("token", "comp").orderBy("gid")
         few = lists.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-        x, y = (few.select("token", *(F.col(c).alias(f"{c}_{end}") for c in ("gid", "comp", "n", "s", "i", "prev"))) for end in "xy")
+        x, y = (few.select("token", *(F.col(c).alias(f"{c}_{end}") for c in ("gid", "comp", "n", "s", "i", "prev", *(f"f{k}" for k in range(FOLDED))))) for end in "xy")
+        apart = sum((F.bit_count(F.col(f"f{k}_x").bitwiseXOR(F.col(f"f{k}_y"))) for k in range(FOLDED)), F.lit(0))
         need = F.expr(f"((n_x + n_y) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
         fits = (
             (F.col("comp_x") < F.col("comp_y")) & (F.col("gid_x") != F.col("gid_y"))
@@ -298,6 +312,7 @@ class _Join:
             & (F.col("prev_x").isNull() | F.col("prev_y").isNull() | (F.col("prev_x") != F.col("prev_y")))
             & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * self.percent)
             & (F.least(F.col("s_x") - F.col("i_x"), F.col("s_y") - F.col("i_y")) >= need)
+            & (apart <= F.col("s_x") + F.col("s_y") - 2 * need)
         )
         pairs = x.hint("merge").join(y.hint("merge"), "token").where(fits).select("gid_x", "comp_x", "gid_y", "comp_y").distinct()
         own = self.subs.join(inside.select("gid"), "gid", "left_semi")
@@ -312,9 +327,6 @@ class _Join:
         """node and root of the nodes that are not the least of their component."""
         self.link(self.nearest())
         self.spread()
-        for turn in range(1, TURNS + 1):
-            self.link(self.closer(turn))
-            self.spread()
         most = FIRST
         while self.compare(most) > most:
             self.spread()
@@ -329,14 +341,14 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     text = text_or_empty(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    chunks = settled(_chunks(source, words, lambda n: start_of(n, percent)), "chunks")
+    chunks = settled(_chunks(source, words, lambda n: start_of(n, percent), NARROW), "chunks")
     rows = chunks.select(F.inline(F.arrays_zip("ids", "keys", "digests", "ns"))).select(F.col("ids").alias("id"), F.col("keys").alias("key"), F.col("digests").alias("digest"), F.col("ns").alias("n"))
-    able = settled(_shared(chunks, lambda n: start_needs(n, percent), False).select("digest").distinct(), "able")
+    able = settled(_shared(chunks, lambda n: start_needs(n, percent), NARROW).select("digest").distinct(), "able")
     stands = rows.where("id is not null").join(able, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "key")).alias("x"))
     stands = settled(stands.select("digest", "x.id", "x.key"), "stands")
     again = source.join(stands.select("id", "key"), ["id", "key"], "left_semi").select("id", "key", "text")
-    whole = settled(_chunks(again, words, lambda n: n), "whole")
-    found = _shared(whole, lambda n: _share(n, percent), True).dropDuplicates(["digest"])
+    whole = settled(_chunks(again, words, lambda n: n, WIDE), "whole")
+    found = _shared(whole, lambda n: _share(n, percent), WIDE).dropDuplicates(["digest"])
     entries = settled(found.join(stands.select("digest", F.col("id").alias("rep")), "digest").withColumn("node", F.monotonically_increasing_id()), "entries")
     roots = _Join(entries, percent).run()
     led = entries.select("node", "digest", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
