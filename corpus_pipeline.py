@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import free_name, settled, table
+from lodestrata.llm._shared import settled, table
 from lodestrata.llm.line_dedup import dedup_lines
+from lodestrata.llm.near_dedup import one_of_each
 from lodestrata.llm.packing import pack
 from lodestrata.llm.pii import redact
 from lodestrata.llm.quality import keep_good
-from lodestrata.llm.shingle_dedup import shingle_groups
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -36,12 +36,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    groups = shingle_groups(docs, words=5, similarity=0.8)
-    stays = groups.where("id = component_id or id is null").select("id").distinct()
-    own = free_name(docs, "own_id")
-    stays = stays.withColumnRenamed("id", own)
-    return docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
+    """Of each group of documents that fingerprints or shared shingles link, the one with the smallest id stays."""
+    return one_of_each(docs, words=5, percent=80, reach=4)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
