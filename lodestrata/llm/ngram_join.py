@@ -351,7 +351,8 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     able = settled(_shared(chunks, lambda n: start_needs(n, percent), NARROW).select("digest").distinct(), "able")
     stands = rows.where("id is not null").join(able, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("id", "key")).alias("x"))
     stands = settled(stands.select("digest", "x.id", "x.key"), "stands")
-    again = source.join(stands.select("id", "key"), ["id", "key"], "left_semi").select("id", "key", "text")
+    # By merging at every size: what stands in grows with the corpus, and so a plan for small tables would not show what large ones cost.
+    again = source.join(stands.select("id", "key").hint("merge"), ["id", "key"], "left_semi").select("id", "key", "text")
     whole = settled(_chunks(again, words, lambda n: n, WIDE), "whole")
     found = _shared(whole, lambda n: _share(n, percent), WIDE).dropDuplicates(["digest"])
     entries = settled(found.join(stands.select("digest", F.col("id").alias("rep")), "digest").withColumn("node", F.monotonically_increasing_id()), "entries")
