@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import tokens as tokenise
@@ -16,16 +14,22 @@ from lodestrata.session import scratch, table
 TOKENS = ["license", "thanedble", "anea"]
 
 
-@functools.cache
-def _stored(spark, d, application):  # noqa: ANN001, ANN202
-    path = scratch(spark, "search-index")
-    build_index(sections(spark, d), path)
-    return path
+_built: dict[tuple, str] = {}
+
+
+def _stored(spark, d):  # noqa: ANN001, ANN202
+    """Where the index of a folder's documents is, built anew where their files are others than before."""
+    files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key = (spark.sparkContext.applicationId, d, frozenset(map(tuple, files)))
+    if key not in _built:
+        _built[key] = scratch(spark, "search-index")
+        build_index(sections(spark, d), _built[key])
+    return _built[key]
 
 
 def index(spark, d):  # noqa: ANN001, ANN201
     """The stored index of a folder's sections, built for its first question."""
-    return open_index(spark, _stored(spark, d, spark.sparkContext.applicationId))
+    return open_index(spark, _stored(spark, d))
 
 
 def sections(spark, d):  # noqa: ANN001, ANN201

@@ -63,7 +63,7 @@ def hours(cells: DataFrame, key: str = "page_id") -> DataFrame:
     """key, place, meal, weekday (0 Sunday, 7 holidays), open, close, closed: of rows that begin with a meal."""
     order = F.sort_array(F.collect_list(F.struct("col", "text")))
     rows = cells.where("first").groupBy(key, "place", "number", "row").agg(order.alias("cells"))
-    body = F.array_join(F.transform(F.slice("cells", 2, 1000), lambda c: c["text"]), " ")
+    body = F.array_join(F.transform(F.slice("cells", F.lit(2), F.size("cells")), lambda c: c["text"]), " ")
     rows = rows.select(key, "place", _meal(F.col("cells")[0]["text"]).alias("meal"), body.alias("body")).where("meal is not null")
     open_, close = (F.nullif(F.regexp_extract("body", TIMES, k), F.lit("")) for k in (1, 2))
     said = lambda word, days: F.when(F.contains("body", F.lit(word)), F.array(*map(F.lit, days))).otherwise(F.array().cast("array<int>"))

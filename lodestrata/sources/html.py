@@ -266,31 +266,6 @@ def week_menu(html: str) -> list[dict]:
     return out
 
 
-def hours(html: str) -> list[dict]:
-    """Opening hours: meal, weekdays, times, explicit closures as rows of their own."""
-    out = []
-    for table in parse(html).find("table"):
-        rows = grid(table)
-        for row in rows[1:] if rows else []:
-            for (head, _), (text, _) in list(zip(rows[0], row, strict=False))[1:]:
-                times = re.search(r"(\d{1,2}:\d{2})\s*[~-]\s*(\d{1,2}:\d{2})", text)
-                closed = bool(re.search("휴무|미운영|closed", text, re.I))
-                if times or closed:
-                    out.append({"meal": row[0][0], "days": head, "open": times[1] if times else "", "close": times[2] if times else "", "closed": closed})
-    return out
-
-
-def prices(html: str) -> list[dict]:
-    """Price tables: name and price text of each row that has both."""
-    out = []
-    for table in parse(html).find("table"):
-        for row in grid(table, None):
-            cells = list(dict.fromkeys(t for t, first in row if first and t))
-            if len(cells) >= 2 and re.search(r"\d{1,3}(?:,\d{3})+|\d{3,}", cells[-1]):
-                out.append({"name": cells[0], "price": cells[-1]})
-    return out
-
-
 def fragments(html: str, least: int = 6) -> list[dict]:
     """Texts of a page's blocks, each once."""
     kinds = ("p", "li", "td", "th", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "caption", "address")

@@ -219,12 +219,9 @@ def test_boards_and_calendars():  # noqa: ANN201
     assert html.calendar("<dl><dt>3.2<dt>3.3<dd>x</dl>")[0]["error"] == "unpaired"
 
 
-def test_menus_hours_prices():  # noqa: ANN201
+def test_week_menu():  # noqa: ANN201
     week = "<table><tr><th>meal<th>월 10<th>화 11</tr><tr><th>lunch<td>rice/soup<td></tr></table>"
     assert [(r["weekday"], r["status"], r["items"]) for r in html.week_menu(week)] == [("월", "operating", ["rice", "soup"]), ("화", "unknown", [])]
-    times = "<table><tr><th>m<th>weekday<th>sunday</tr><tr><td>lunch<td>11:00~14:00<td>휴무</tr></table>"
-    assert [(r["open"], r["closed"]) for r in html.hours(times)] == [("11:00", False), ("", True)]
-    assert html.prices("<table><tr><td>noodles<td>4,500</tr><tr><td>x<td>-</tr></table>") == [{"name": "noodles", "price": "4,500"}]
 
 
 def test_zipped_documents(spark, tmp_path):  # noqa: ANN001, ANN201
