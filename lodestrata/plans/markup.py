@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.plans._registry import query
 from lodestrata.session import table
-from lodestrata.sources import dining, html
+from lodestrata.sources import dining, html, week_table
 
 
 def _joined(rows: DataFrame, key: str, order: str, row, before: str = "<table>", after: str = "</table>") -> DataFrame:  # noqa: ANN001
@@ -103,3 +103,52 @@ def dining_menus(spark, d):  # noqa: ANN001, ANN201
 @query("dining_prices", "SELECT n_nationkey, 'prices' AS place, n_name AS name, '전체' AS audience, (n_nationkey + 1) || ',500원 부터' AS price_text, (n_nationkey + 1)::INT * 1000 + 500 AS price_min, NULL::INT AS price_max FROM nation")
 def dining_prices(spark, d):  # noqa: ANN001, ANN201
     return dining.prices(_dining(spark, d), "n_nationkey")
+
+
+def _week_pages(spark, d):  # noqa: ANN001, ANN202
+    """A week of meals per customer; some pages contradict themselves."""
+    k = F.col("c_custkey")
+    start = F.date_add(F.lit("2026-01-04").cast("date"), (k % 50 * 7).cast("int"))
+    header = [F.date_add(start, F.when(k % 13 == 0, i + 1).otherwise(i)) for i in range(7)]
+    heads = [F.concat(F.lit(f"<th>{day}요일\n ("), F.date_format(on, "dd"), F.lit(")</th>")) for day, on in zip(week_table.DAYS, header, strict=True)]
+    linked = lambda body, title: F.concat(F.lit("<td><a class='calendar_pop' title='"), title, F.lit("'>"), body, F.lit("</a></td>"))
+    name = F.col("c_name")
+    cells = [
+        linked(F.concat(F.lit("white\nrice<br>"), name), F.concat(F.lit("white rice, "), name)), linked(F.lit("[holiday]"), F.lit("")), linked(F.lit("식사없음"), F.lit("")), F.lit("<td></td>"),
+        linked(F.concat(F.lit("soup<br>"), name), F.lit("soup")), linked(name, name), F.when(k % 17 == 0, "").otherwise("<td>closed?</td>"),
+    ]
+    beside = lambda days, side: F.concat(F.lit('<a href="in.php?m=1&amp;date='), F.date_format(F.date_add(start, days), "yyyy-MM-dd"), F.lit(f'" class=w><img src="{side}_btn.gif"></a>'))
+    span = F.concat(F.date_format(F.when(k % 11 == 0, F.date_add(start, 7)).otherwise(start), "yyyy.MM.dd"), F.lit(" ~ "), F.date_format(F.date_add(start, 6), "yyyy.MM.dd"))
+    page = F.concat(
+        beside(-7, "left"), span, beside(7, "right"), F.lit("<table class='calendar_box wide'><thead><tr><th></th>"), *heads,
+        F.lit("</tr></thead><tbody><tr><th>아침</th>"), *cells, F.lit("</tr><tr><th>notes</th><td>x</td></tr></tbody></table>"),
+    )
+    return table(spark, d, "customer").select("c_custkey", page.alias("html"))
+
+
+WEEKS_SQL = """
+w AS (
+    SELECT c_custkey, c_name, DATE '2026-01-04' + (c_custkey % 50 * 7)::INT AS start,
+        CASE WHEN c_custkey % 11 = 0 THEN 'weeks_differ' WHEN c_custkey % 13 = 0 THEN 'column_shifted' WHEN c_custkey % 17 = 0 THEN 'ragged_row' END AS failure FROM customer
+)"""
+
+
+@query(
+    "week_meals",
+    f"""
+    WITH {WEEKS_SQL}
+    SELECT c_custkey, start + i::INT AS date, 'breakfast' AS meal, CASE WHEN i IN (3, 6) THEN 'unknown' WHEN i IN (1, 2) THEN 'closed_temporary' ELSE 'operating' END AS status,
+        CASE i WHEN 0 THEN 'white rice,' || c_name WHEN 4 THEN 'soup,' || c_name WHEN 5 THEN c_name ELSE '' END AS items,
+        CASE i WHEN 1 THEN '[holiday]' WHEN 2 THEN '식사없음' END AS note, CASE WHEN i = 4 THEN 'encodings_differ' END AS quarantine
+    FROM w, range(7) r(i) WHERE failure IS NULL
+    """,
+)
+def week_meals(spark, d):  # noqa: ANN001, ANN201
+    found, _ = week_table.meals(_week_pages(spark, d), "c_custkey")
+    return found.withColumn("items", F.array_join("items", ","))
+
+
+@query("week_failures", f"WITH {WEEKS_SQL} SELECT c_custkey, CASE WHEN failure IS NULL THEN start END AS start, failure FROM w")
+def week_failures(spark, d):  # noqa: ANN001, ANN201
+    pages = _week_pages(spark, d)
+    return week_table.weeks(pages, week_table.table_rows(pages, "c_custkey"), "c_custkey")

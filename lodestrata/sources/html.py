@@ -248,24 +248,6 @@ def calendar(html: str) -> list[dict]:
     return out
 
 
-def week_menu(html: str) -> list[dict]:
-    """A week table: meals in rows, days in columns; an empty cell is unknown, not closed."""
-    out = []
-    for table in parse(html).find("table"):
-        rows = grid(table)
-        if len(rows) < 2:
-            continue
-        days = [re.search(r"([일월화수목금토]|Sun|Mon|Tue|Wed|Thu|Fri|Sat)\D*(\d{1,2})?", t) for t, _ in rows[0]]
-        for row in rows[1:]:
-            for day, (text, _) in list(zip(days, row, strict=False))[1:]:
-                if day:
-                    closed = bool(re.search("휴무|미운영|closed", text, re.I))
-                    status = "closed" if closed else "operating" if text else "unknown"
-                    items = [] if closed else [x.strip() for line in text.split("\n") for x in line.split("/") if x.strip()]
-                    out.append({"meal": row[0][0], "weekday": day[1], "day": int(day[2] or 0), "status": status, "items": items})
-    return out
-
-
 def fragments(html: str, least: int = 6) -> list[dict]:
     """Texts of a page's blocks, each once."""
     kinds = ("p", "li", "td", "th", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "caption", "address")

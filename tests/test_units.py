@@ -219,11 +219,6 @@ def test_boards_and_calendars():  # noqa: ANN201
     assert html.calendar("<dl><dt>3.2<dt>3.3<dd>x</dl>")[0]["error"] == "unpaired"
 
 
-def test_week_menu():  # noqa: ANN201
-    week = "<table><tr><th>meal<th>월 10<th>화 11</tr><tr><th>lunch<td>rice/soup<td></tr></table>"
-    assert [(r["weekday"], r["status"], r["items"]) for r in html.week_menu(week)] == [("월", "operating", ["rice", "soup"]), ("화", "unknown", [])]
-
-
 def test_zipped_documents(spark, tmp_path):  # noqa: ANN001, ANN201
     made = io.BytesIO()
     with zipfile.ZipFile(made, "w") as z:
