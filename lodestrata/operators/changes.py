@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ranking import numbered
 from lodestrata.session import stored
 
 
@@ -69,10 +70,10 @@ def _percentile_of_all(rows: DataFrame, value: str, shares: dict[str, float]) ->
 
 
 def round_robin(rows: DataFrame, group: str, order: list[Column], first_seen: str) -> DataFrame:
-    """Rows with their turn: the first of every group, then the second of every group..."""
-    w = Window.partitionBy(group).orderBy(*order)
-    seen = rows.groupBy(group).agg(F.min(first_seen).alias("seen"))
-    return rows.withColumn("turn", F.row_number().over(w)).join(seen, group)
+    """Rows with their turn: the first of every group, then the second of every group...  A large group is numbered in many tasks."""
+    seen = rows.groupBy(F.col(group).alias("_group")).agg(F.min(first_seen).alias("seen"))
+    turns = numbered(rows, [group], order, "turn")
+    return turns.join(seen, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def article_groups(lines: DataFrame, doc: str, pos: str, is_header: Column) -> DataFrame:

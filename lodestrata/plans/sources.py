@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ranking import numbered
 from lodestrata.plans._registry import query
 from lodestrata.session import table
 from lodestrata.sources import files, html, links
@@ -55,6 +56,26 @@ def crawl_targets(spark, d):  # noqa: ANN001, ANN201
     return found.select("url", "host", F.col("turn").cast("long").alias("turn"), "seen")
 
 
+@query(
+    "menu_order",
+    """
+    WITH p AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1, 'i') AS l FROM pages),
+    h AS (SELECT host, page_id, unnest(l) AS href, unnest(range(len(l))) AS pos FROM p),
+    f AS (SELECT host, href, min({'p': page_id, 'k': pos}) AS first FROM h WHERE href <> '' AND host <> '' GROUP BY 1, 2)
+    SELECT host, href, row_number() OVER (PARTITION BY host ORDER BY first) AS place FROM f
+    """,
+)
+def menu_order(spark, d):  # noqa: ANN001, ANN201
+    return links.menu_order(table(spark, d, "pages"))
+
+
+@query("item_places", "SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey) AS place FROM lineitem")
+def item_places(spark, d):  # noqa: ANN001, ANN201
+    """Row numbers within three groups, of which one holds half of all rows."""
+    order = [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]
+    return numbered(table(spark, d, "lineitem"), ["l_returnflag"], order).select("l_returnflag", "l_orderkey", "l_linenumber", "place")
+
+
 @query("link_reach", "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS target FROM lineitem), r(url, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT l.target, r.depth + 1 FROM r JOIN l ON l.source = r.url WHERE r.depth < 3) SELECT url, min(depth)::INT AS depth FROM r GROUP BY 1")
 def link_reach(spark, d):  # noqa: ANN001, ANN201
     # An order leads to its parts, and a part's number to the order of that number.

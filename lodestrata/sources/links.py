@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ranking import numbered
+
 #: Classes of addresses, the first that fits; what is never followed.
 KINDS = (
     ("board_detail", r"(?i)(artclView|detailView)\.do"),
@@ -15,6 +17,7 @@ KINDS = (
 )
 SKIP_PATH = r"(?i)(logout|login|download|delete|update|write|checkPwd|actionView|link\.do|search\.do|print|excel)"
 SKIP_EXT = r"(?i)\.(pdf|hwpx?|docx?|xlsx?|pptx?|zip|jpe?g|png|gif|mp4|css|js)$"
+HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 SKIP_SCHEME = r"(?i)^\s*(javascript|mailto|tel|#|data):?"
 
 
@@ -51,7 +54,7 @@ def normalize(url: Column, base: Column, suffix: str) -> Column:
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Each page's different link targets as they are written."""
-    found = F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))))
+    found = F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1))))
     return pages.select(url, found.alias("href"))
 
 
@@ -61,8 +64,18 @@ def targets(pages: DataFrame, url: str, done: DataFrame | None = None) -> DataFr
     if done is not None:
         once = once.join(done.select(url), url, "left_anti")
     seen = once.groupBy("host").agg(F.min(url).alias("seen"))
-    w = Window.partitionBy("host").orderBy(url)
-    return once.withColumn("turn", F.row_number().over(w)).join(seen, "host")
+    return numbered(once, ["host"], [F.col(url)], "turn").join(seen, "host")
+
+
+def menu_order(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """host, href, place: the different links of each host's pages, numbered in the order in which they come first.
+
+    Pages come in the order of ``page``, links in that of the page; links without a target and pages without a host don't count.
+    """
+    targets = F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1))
+    found = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page"), F.posexplode(targets).alias("pos", "href"))
+    first = found.where("href <> '' and host <> ''").groupBy("host", "href").agg(F.min(F.struct("page", "pos")).alias("first"))
+    return numbered(first, ["host"], [F.col("first")], "place").drop("first")
 
 
 def reach(links: DataFrame, seeds: DataFrame, most_depth: int) -> DataFrame:
