@@ -18,6 +18,7 @@ from lodestrata.plans import (  # noqa: F401
     sources,
     state,
     streams,
+    texts,
     topics,
 )
 from lodestrata.plans import builds  # noqa: F401, E402, I001  it takes an oracle of the modules above

@@ -63,6 +63,6 @@ def variants(spark: SparkSession, year: int, back: int, ahead: int, semesters: l
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a byte order mark in front of the first column's name, as spreadsheets expect it."""
+    """CSV with a byte order mark in front of the first column's name and quotes doubled, as spreadsheets expect it."""
     first = rows.columns[0]
-    rows.withColumnRenamed(first, f"﻿{first}").write.mode("overwrite").option("header", "true").csv(path)
+    rows.withColumnRenamed(first, f"﻿{first}").write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
