@@ -83,9 +83,11 @@ def link_reach(spark, d):  # noqa: ANN001, ANN201
     return links.reach(edges, spark.range(7, 8).select(F.col("id").alias("url")), 3)
 
 
-@query("variant_fan_out", "SELECT y::INT AS ac_year, s AS ac_semester FROM range(2024, 2028) a(y), (SELECT unnest([1, 2]) AS s)")
+@query("variant_fan_out", "SELECT DISTINCT o_custkey, (year(o_orderdate) + y)::INT AS ac_year, s AS ac_semester FROM orders, range(-2, 2) r(y), (SELECT unnest([1, 2]) AS s)")
 def variant_fan_out(spark, d):  # noqa: ANN001, ANN201
-    return files.variants(spark, 2026, 2, 1, [1, 2])
+    """Of each customer the years around those of its orders, with both semesters."""
+    seen = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("year")).distinct()
+    return files.variants(seen, "year", 2, 1, [1, 2])
 
 
 @query("push_guard", "SELECT event_id, CASE WHEN ts > TIMESTAMP '2024-01-20 00:06:00' THEN 'future' WHEN ts < TIMESTAMP '2024-01-18' THEN 'too_old' END AS reason FROM events")

@@ -56,10 +56,11 @@ def accepted(payloads: DataFrame, now: Column, most_bytes: int = 5_000_000, olde
     return payloads.withColumns({"bytes": content, "reason": reason})
 
 
-def variants(spark: SparkSession, year: int, back: int, ahead: int, semesters: list[int]) -> DataFrame:
-    """All years around one, with all semesters."""
-    years = spark.range(year - back, year + ahead + 1).select(F.col("id").cast("int").alias("ac_year"))
-    return years.withColumn("ac_semester", F.explode(F.array(*map(F.lit, semesters))))
+def variants(sources: DataFrame, year: str, back: int, ahead: int, semesters: list[int]) -> DataFrame:
+    """What to fetch of each source: the years around its own, each with all semesters, each once; none without a year."""
+    around = F.sequence(F.col(year) - back, F.col(year) + ahead)
+    spread = sources.where(F.col(year).isNotNull()).withColumn("ac_year", F.explode(around)).withColumn("ac_semester", F.explode(F.array(*map(F.lit, semesters))))
+    return (spread if year == "ac_year" else spread.drop(year)).distinct()
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

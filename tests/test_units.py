@@ -219,6 +219,20 @@ def test_boards_and_calendars():  # noqa: ANN201
     assert html.calendar("<dl><dt>3.2<dt>3.3<dd>x</dl>")[0]["error"] == "unpaired"
 
 
+def test_variants(spark):  # noqa: ANN001, ANN201
+    sources = spark.createDataFrame([("a", 2025), ("a", 2026), ("b", None)], "k string, year int")
+    got = sorted(map(tuple, files.variants(sources, "year", 1, 0, [1, 2]).collect()))
+    assert got == [("a", y, s) for y in (2024, 2025, 2026) for s in (1, 2)]
+    assert files.variants(sources.withColumnRenamed("year", "ac_year"), "ac_year", 0, 0, [1]).columns == ["k", "ac_year", "ac_semester"]
+
+
+def test_sheets_keep_quotes(spark, tmp_path):  # noqa: ANN001, ANN201
+    rows = [("2026-3-1", 'a "quoted", text\nof two lines', "x"), ("2026-3-2", '"', None)]
+    files.write_csv(spark.createDataFrame(rows, "day string, title string, more string"), str(tmp_path / "sheet"))
+    got = sheets.read_sheet(spark, str(tmp_path / "sheet"), {"day": "day", "title": "title", "more": "more"}, ["day"])
+    assert sorted(map(tuple, got.collect())) == rows
+
+
 def test_zipped_documents(spark, tmp_path):  # noqa: ANN001, ANN201
     made = io.BytesIO()
     with zipfile.ZipFile(made, "w") as z:
