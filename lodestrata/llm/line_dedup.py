@@ -42,53 +42,80 @@ PERCENT = 80
 NEAR = 9
 #: The second step takes the tokens in so many parts, one after the other, which bounds its space on disk.
 PARTS = 2
+#: Bits of a line's place in its text within a number that holds both the text's id and the place.
+POS_BITS = 31
+
+
+# Cuts are exploded as outer, since Spark makes a filter on the size of what is exploded otherwise, and cuts twice.
 
 
 #: Most joins here have a side with each key once.
 stored = functools.partial(settled, by_hash="64m")
 
 
-def _cut(line: Column) -> Column:
-    """The words of a line, lower-cased, repeats included, and maybe empty ones."""
-    return F.split(F.lower(line), "[ \\t\\r\\x0b\\x0c]")
+def _plain(text: Column) -> Column:
+    """A text lower-cased, with spaces as the only white space within lines: what a cut at single spaces needs."""
+    return functools.reduce(lambda t, space: F.replace(t, F.lit(space), F.lit(" ")), "\t\r\x0b\x0c", F.lower(text))
 
 
 def words_of(line: Column) -> Column:
     """The words of a line, lower-cased, repeats included."""
-    return F.array_remove(_cut(line), "")
+    return F.array_remove(F.split(_plain(line), " "), "")
 
 
 def _sketch(docs: DataFrame, text_col: str) -> Column:
     """For each bucket of words a small number: how frequent they are, on a log scale."""
-    word = F.explode(F.split(F.lower(F.replace(F.col(text_col), F.lit("\n"), F.lit(" "))), " ")).alias("w")
+    word = F.explode_outer(F.split(F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
     ranks = [0] * BUCKETS
-    for bucket_no, count in docs.select(word).select(bucket).groupBy("bucket").count().collect():  # a row a bucket
+    for bucket_no, count in docs.where(F.col(text_col).isNotNull()).select(word).select(bucket).groupBy("bucket").count().collect():  # a row a bucket
         ranks[bucket_no] = min(126, int(4 * math.log2(count)))
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
 def _hashes(line: Column) -> Column:
-    """The token set as different hashes."""
-    return F.array_remove(F.array_distinct(F.transform(_cut(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """The token set of a line of a plain text as different hashes."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _codes(hashes: Column, sketch: Column) -> Column:
     """The token set as ascending numbers: rarity in the upper byte, a 56-bit hash below it."""
 
     def code(h: Column) -> Column:
-        rank = F.coalesce(F.get(sketch, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
+        rank = F.get(sketch, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.transform(hashes, code))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, pos and line of each line that has words."""
+    """id, text_key, pos and line, plain, of each line that has words."""
     rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.split(text_col, "\n").alias("lines")
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.split(_plain(F.col(text_col)), "\n").alias("lines")
     )
-    return rows.select("id", "text_key", F.posexplode("lines").alias("pos", "line")).where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "")
+    return rows.select("id", "text_key", F.posexplode_outer("lines").alias("pos", "line")).where(F.trim("line") != "")
+
+
+def _first_id(docs: DataFrame, id_col: str) -> int | None:
+    """The smallest id, if no id repeats and the ids lie so close that id and place fit one number; else none."""
+    of = F.col(id_col).cast("long")
+    met = docs.select(of.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    low, high, most = met.agg(F.min("id"), F.max("id"), F.max("rows")).first()
+    if most is None or most > 1:
+        return None
+    low, high = (0, 0) if low is None else (low, high)
+    return low if high - low < (1 << 62 - POS_BITS) else None
+
+
+def _number(first: int) -> Column:
+    """id and pos as one number in their order, a null id first."""
+    return F.shiftleft(F.coalesce(F.col("id") - F.lit(first) + 1, F.lit(0).cast("long")), POS_BITS).bitwiseOR(F.col("pos").cast("long"))
+
+
+def _unnumbered(first: int) -> dict[str, Column]:
+    """id and pos of a number made by ``_number``."""
+    above, pos = F.shiftright("number", POS_BITS), F.col("number").bitwiseAND(F.lit((1 << POS_BITS) - 1))
+    return {"id": F.when(above > 0, above - 1 + F.lit(first)), "pos": pos.cast("int")}
 
 
 def _place() -> Column:
@@ -104,12 +131,11 @@ def _apart(a: str, b: str) -> Column:
 
 
 def _passes(percent: int) -> Column:
-    """Length, positional and signature filters between postings a of a longer and b of a shorter entry."""
+    """Length, positional and signature filters between postings a and b."""
     n, m, i, j = (F.col(f"{s}.{c}") for c in ("n", "i") for s in ("a", "b"))
     most = F.least(n - i, m - j) + 1
     return (
-        ((m < n) | ((m == n) & (F.col("a.number") != F.col("b.number"))))
-        & (m * 100 >= n * percent)
+        (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
         & (most * (100 + percent) >= (n + m) * percent)
         & (_apart("a", "b") * (100 + percent) <= (n + m) * (100 - percent))
     )
@@ -122,7 +148,7 @@ def _able(entries: DataFrame, percent: int) -> DataFrame:
 
 def _posted(entries: DataFrame, length: Column) -> DataFrame:
     """token, and number, n, i (from 1), open and signatures of each entry posted under the first ``length`` of its prefix."""
-    rows = entries.select("number", "n", "sig", "sig2", "open", F.posexplode(F.slice("prefix", F.lit(1), length)).alias("i", "token"))
+    rows = entries.select("number", "n", "sig", "sig2", "open", F.posexplode_outer(F.slice("prefix", F.lit(1), length)).alias("i", "token"))
     return rows.withColumn("i", F.col("i") + 1)
 
 
@@ -141,51 +167,50 @@ def _first_of_neighbours(entries: DataFrame) -> DataFrame:
     near = F.slice("prefix", F.greatest(F.size("prefix") - (NEAR - 1), F.lit(1)), F.lit(NEAR))
     token = lambda i: F.get(F.col("near"), i)
     runs = F.transform(F.slice("near", F.lit(1), F.greatest(F.size("near") - 2, F.lit(1))), lambda c, i: F.xxhash64(c, token(i + 1), token(i + 2)))
-    keyed = entries.select("number", near.alias("near")).select("number", F.explode(runs).alias("run"))
+    keyed = entries.select("number", near.alias("near")).select("number", F.explode_outer(runs).alias("run"))
     first = keyed.groupBy("run").agg(F.min("number").alias("y"), F.max("number").alias("last")).where("y < last").select("run", "y")
     return keyed.join(first, "run").where("number > y").select(F.col("number").alias("x"), "y").distinct()
 
 
-def _met_under_tokens(entries: DataFrame, percent: int, part: int) -> DataFrame:
-    """(x, y, apart): y is earlier than x, x has no match so far, and the two pass the filters under a token of the part."""
-    n, able = F.col("n"), _able(entries, percent)
+def _met_under_tokens(entries: DataFrame, matched: DataFrame, percent: int, part: int) -> DataFrame:
+    """(x, y, apart): y is earlier than x, x is not among the x of ``matched``, and the two pass the filters under a token of the part."""
+    n, open_, able = F.col("n"), F.col("open"), _able(entries, percent)
     long, short = _prefix_length(n, percent), _short_length(n, percent)
-    unmatched, matched = F.col("open"), ~F.col("open")
-    later = F.col("a.number") > F.col("b.number")
-
-    def met(a: DataFrame, b: DataFrame, wanted: Column) -> DataFrame:
-        a, b = (side.where(F.pmod("token", F.lit(PARTS)) == part) for side in (a, b))
-        held = a.alias("a").join(b.alias("b"), F.col("a.token") == F.col("b.token")).where(_passes(percent) & wanted)
-        return held.select(F.greatest("a.number", "b.number").alias("x"), F.least("a.number", "b.number").alias("y"), _apart("a", "b").alias("apart"))
-
-    # Of each pair one entry at least is unmatched, so a large group that is matched is not held against itself.
-    found = met(_posted(able.where(unmatched), long), _posted(able, short), later | F.col("b.open"))
-    found = found.unionByName(met(_posted(able.where(matched), long), _posted(able.where(unmatched), short), ~later))
-    return found.distinct()
+    marked = matched.select(F.col("x").alias("number"), F.lit(False).alias("open"))
+    able = able.join(marked, "number", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    # Of each pair the later one is open, so a large group that is matched is not held against itself.
+    # Of two open ones the longer is a; a matched one is b, be it longer or shorter.
+    a, b = _posted(able.where(open_), long).drop("open"), _posted(able, F.when(open_, short).otherwise(long))
+    a, b = (side.where(F.pmod("token", F.lit(PARTS)) == part) for side in (a, b))
+    in_order = F.when(F.col("b.open"), F.col("a.n") >= F.col("b.n")).otherwise(F.col("a.number") > F.col("b.number"))
+    held = a.alias("a").join(b.alias("b"), F.col("a.token") == F.col("b.token"))
+    held = held.where(_passes(percent) & in_order & (F.col("a.number") != F.col("b.number")))
+    x, y = F.greatest("a.number", "b.number"), F.least("a.number", "b.number")
+    return held.select(x.alias("x"), y.alias("y"), _apart("a", "b").alias("apart")).distinct()
 
 
 def _words(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """number and different words of each of ``wanted`` (number, id, text_key, pos), read from the texts."""
-    placed = wanted.groupBy(F.col("id").alias("of"), "text_key").agg(F.collect_set(F.struct("pos", "number")).alias("places"))
+    """number and different words of each of ``wanted`` (number, id, pos, and text_key where ids may repeat), read from the texts."""
+    keyed = "text_key" in wanted.columns
+    placed = wanted.groupBy(F.col("id").alias("of"), *["text_key"] * keyed).agg(F.collect_set(F.struct("pos", "number")).alias("places"))
     placed = stored(placed, "places")
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("own_key"), F.col(text_col).alias("body")
     )
-    met = rows.join(placed, F.col("id").eqNullSafe(F.col("of")) & (F.col("own_key") == F.col("text_key")))
+    own = F.col("id").eqNullSafe(F.col("of"))
+    met = rows.join(placed, own & (F.col("own_key") == F.col("text_key")) if keyed else own)
     # The lines are bound to a name in the expression, so that they are cut once a text.
     picked = lambda lines: F.transform("places", lambda p: F.struct(p["number"].alias("number"), F.get(lines, p["pos"]).alias("line")))
-    met = met.select(F.inline(F.flatten(F.transform(F.array(F.split("body", "\n")), picked))))
+    met = met.select(F.inline_outer(F.flatten(F.transform(F.array(F.split("body", "\n")), picked))))
     met = stored(met.select("number", F.array_distinct(words_of(F.col("line"))).alias("words")), "words")
     # A number is there twice only if a row of the table is.
-    if met.groupBy("number").count().where("count > 1").isEmpty():
+    if not keyed or met.groupBy("number").count().where("count > 1").isEmpty():
         return met
     return stored(met.dropDuplicates(["number"]), "words")
 
 
-def _placed(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """number, id, text_key and pos of the entries in ``pairs``."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("number")).distinct()
-    return entries.select("number", "id", "text_key", "pos").join(wanted, "number", "left_semi")
+def _numbers(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("number")).distinct()
 
 
 def _verified(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
@@ -215,24 +240,30 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     )
     same = ["key", "sig", "sig2", "n"]
     # Grouping by what the key stands for keeps the aggregate's state in place.
-    sets = full.withColumn("place", _place()).groupBy(*same, "prefix")
-    sets = sets.agg(
-        F.min("place").alias("place"), *(F.min_by(c, "place").alias(c) for c in ("id", "text_key", "pos")), F.count(F.lit(1)).alias("rows")
-    )
-    # Numbers in the order of first places: a sort by ranges, then counting within them.
-    entries = stored(sets.orderBy("place", "key").drop("place").withColumn("number", F.monotonically_increasing_id()), "entries")
+    first_id, sets, rows = _first_id(docs, id_col), full.groupBy(*same, "prefix"), F.count(F.lit(1)).alias("rows")
+    if first_id is not None:
+        entries = stored(sets.agg(F.min(_number(first_id)).alias("number"), rows), "entries").withColumns(_unnumbered(first_id))
+    else:
+        sets = full.withColumn("place", _place()).groupBy(*same, "prefix")
+        sets = sets.agg(F.min("place").alias("place"), *(F.min_by(c, "place").alias(c) for c in ("id", "text_key", "pos")), rows)
+        # Numbers in the order of first places: a sort by ranges, then counting within them.
+        entries = stored(sets.orderBy("place", "key").drop("place").withColumn("number", F.monotonically_increasing_id()), "entries")
+
+    def placed(numbers: DataFrame) -> DataFrame:
+        """Where the first lines of the sets of these numbers stand."""
+        if first_id is not None:
+            return numbers.withColumns(_unnumbered(first_id))
+        return entries.select("number", "id", "text_key", "pos").join(numbers, "number", "left_semi")
+
     near = stored(_first_of_neighbours(_able(entries, percent)), "near")
     # The words of one line of each set that has several, too: they all have to have these.
-    places = _placed(near, entries).unionByName(entries.where("rows > 1").select("number", "id", "text_key", "pos"))
+    places = placed(_numbers(near).unionByName(entries.where("rows > 1").select("number")).distinct())
     spelled = _words(places, docs, id_col, text_col)
     matched = stored(_verified(near, spelled, percent), "matched")
-    marked = matched.select(F.col("x").alias("number"), F.lit(False).alias("open"))
-    opened = entries.select("number", "n", "sig", "sig2", "prefix").join(marked, "number", "left")
-    opened = stored(opened.withColumn("open", F.coalesce("open", F.lit(True))), "opened")
     # Lists may be long, and a merge reads them in order.
-    met = [settled(_met_under_tokens(opened, percent, part), "met") for part in range(PARTS)]
+    met = [settled(_met_under_tokens(entries, matched, percent, part), "met") for part in range(PARTS)]
     met = stored(functools.reduce(DataFrame.unionByName, met).distinct(), "met")
-    spelled_again = _words(_placed(met, entries), docs, id_col, text_col)
+    spelled_again = _words(placed(_numbers(met)), docs, id_col, text_col)
     # One match is enough, so the nearest by signature is verified before all others.
     more = stored(_verified(met.groupBy("x").agg(F.min_by("y", "apart").alias("y")), spelled_again, percent), "more")
     rest = met.join(more, "x", "left_anti").select("x", "y")

@@ -441,6 +441,34 @@ def test_lines_against_brute_force(spark):  # noqa: ANN001, ANN201
     assert got == plain_line_dedup(texts)
 
 
+@pytest.mark.parametrize("ids", [range(30), [i * (1 << 57) for i in range(-15, 15)]])
+def test_lines_by_ids_close_and_far(spark, ids):  # noqa: ANN001, ANN201
+    rng = random.Random(6)
+    base = [[f"W{rng.randint(0, 200)}" for _ in range(rng.randint(3, 40))] for _ in range(25)]
+    texts = [(i, "\n".join(rng.choice(" \t").join(rng.choice(base) + [f"x{i}"] * rng.randint(0, 1)) for _ in range(rng.randint(0, 6)))) for i in ids]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == plain_line_dedup(texts)
+    assert (line_dedup._first_id(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id") is None) == (len(range(min(ids), max(ids))) > 1 << 31)
+
+
+def test_lines_of_repeated_ids_have_no_numbers_of_their_own(spark):  # noqa: ANN001, ANN201
+    first = lambda ids: line_dedup._first_id(spark.createDataFrame([(i,) for i in ids], "doc_id long"), "doc_id")
+    assert first([3, 4, None]) == 3
+    assert first([None]) == 0
+    assert first([3, 3]) is None
+    assert first([None, None]) is None
+
+
+def test_lines_are_cut_once(spark, monkeypatch):  # noqa: ANN001, ANN201
+    plans = []
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    table = spark.createDataFrame([(1, "a b c d e f\ng h")], "doc_id long, text string")
+    line_dedup._words(spark.createDataFrame([(1, 1, 0)], "number long, id long, pos int"), table, "doc_id", "text")
+    lines = line_dedup._lines(table, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert lines.count("split(") == 1
+    assert not any("size(flatten" in plan for plan in plans)
+
+
 def test_lines_awkward(spark, awkward, empty):  # noqa: ANN001, ANN201
     table = spark.read.parquet(awkward)
     got = line_dedup.dedup_lines(table, counts=("n", "m")).collect()
