@@ -10,11 +10,11 @@ from lodestrata.session import table
 from lodestrata.sources import dining, html, week_table
 
 
-def _joined(rows: DataFrame, key: str, order: str, row, before: str = "<table>", after: str = "</table>") -> DataFrame:  # noqa: ANN001
+def _joined(rows: DataFrame, key: str | list[str], order: str, row, before: str = "<table>", after: str = "</table>") -> DataFrame:  # noqa: ANN001
     """A page (key, html) per key: the markup of its rows in order."""
     parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("row"))))
     page = F.concat(F.lit(before), F.array_join(F.transform(parts, lambda x: x["row"]), ""), F.lit(after))
-    return rows.groupBy(key).agg(page.alias("html"))
+    return rows.groupBy(*([key] if isinstance(key, str) else key)).agg(page.alias("html"))
 
 
 def _boards(spark, d):  # noqa: ANN001, ANN202

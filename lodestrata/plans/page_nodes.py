@@ -23,7 +23,8 @@ def _pages(spark, d):  # noqa: ANN001, ANN202
         .when(kind == "builder", F.concat(F.lit("<div class=obj>"), no, F.lit("<span class=hidden>fn=1</span></div>")))
         .otherwise(F.concat(F.lit("<p>"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("<b>"), no, F.lit("</b>"))).otherwise(no), F.lit(" was placed</p>")))
     )
-    made = _joined(orders, "o_custkey", "o_orderkey", row, "", "").join(orders.select("o_custkey", kind.alias("kind"), "c_mktsegment").distinct(), "o_custkey")
+    # The segment is a customer's, so it can be a key beside the customer's own.
+    made = _joined(orders.withColumn("kind", kind), ["o_custkey", "c_mktsegment", "kind"], "o_orderkey", row, "", "")
     before = F.when(F.col("kind") == "central", "<body><nav>menu</nav><div id=wrap><div class=inner>").when(F.col("kind") == "builder", "<body><div id=builder>").otherwise("<body><nav>menu</nav><div><a href=/>all orders</a></div><div id=text>")
     after = F.when(F.col("kind") == "central", "</div></div></body>").otherwise("</div></body>")
     return made.select(F.col("o_custkey").alias("page"), F.lower("c_mktsegment").alias("host"), F.concat(before, "html", after).alias("html"))
@@ -56,7 +57,8 @@ def page_blocks(spark, d):  # noqa: ANN001, ANN201
 def page_profiles(spark, d):  # noqa: ANN001, ANN201
     """How many pages there are of each profile; those without a container count by host."""
     pages = stored(_pages(spark, d), "pages")
-    found = pages.join(nodes.containers(nodes.nodes(pages, "page"), PROFILES).select("page", "profile"), "page", "left")
+    held = stored(nodes.nodes(pages, "page", holding=nodes.container_tokens(PROFILES)), "nodes")
+    found = pages.select("page", "host").join(nodes.containers(held, PROFILES).select("page", "profile"), "page", "left")
     return found.groupBy(F.coalesce("profile", F.concat_ws(":", F.lit("generic"), "host")).alias("profile")).agg(F.count(F.lit(1)).alias("pages"))
 
 
