@@ -82,4 +82,4 @@ def shape_census(spark, d):  # noqa: ANN001, ANN201
     """The pages table by the shape of its pages' bodies."""
     pages = table(spark, d, "pages")
     hosts = pages.select(F.col("page_id").alias("page"), links.host_of(F.col("url")).alias("host"))
-    return nodes.census(nodes.fingerprints(nodes.nodes(pages)), hosts)
+    return nodes.census(nodes.page_fingerprints(pages), hosts)
