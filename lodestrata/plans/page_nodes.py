@@ -74,7 +74,7 @@ def page_profiles(spark, d):  # noqa: ANN001, ANN201
 def page_shapes(spark, d):  # noqa: ANN001, ANN201
     """Pages by the shape of their body."""
     pages = stored(_pages(spark, d), "pages")
-    return nodes.census(nodes.fingerprints(nodes.nodes(pages, "page")), pages.select("page", "host")).select("pages", "hosts", "main_host")
+    return nodes.census(nodes.page_fingerprints(pages, "page"), pages.select("page", "host")).select("pages", "hosts", "main_host")
 
 
 @query("shape_census")
