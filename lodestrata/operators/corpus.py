@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import scratch
+from lodestrata.session import stored
 
 LEAST_PAGES, SHARE, BORDERLINE, HELD = 5, 0.25, 0.5, 0.8
+#: Titles of one run of characters that meet all others of it in one deal, and the least number of partitions for such meetings.
+MET, LEAST_PARTS = 256, 64
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -69,9 +72,9 @@ def prune(found: DataFrame, judged: DataFrame, held: float = HELD) -> DataFrame:
     return both.join(shares, ["profile", "page"]).withColumn("held", F.col("share") > held).where(~F.col("marked") | F.col("held"))
 
 
-def content_profile(texts: DataFrame, title: str, text: str, top: int = 40) -> DataFrame:
+def content_profile(texts: DataFrame, title: str, text: str, top: int = 40, pattern: str = r"[^\p{L}\p{N}]+") -> DataFrame:
     """Each title's most frequent words: sorted array ``words``; ties by the word."""
-    word = F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("word")
+    word = F.explode(F.split(F.lower(text), pattern)).alias("word")
     counts = texts.select(F.col(title).alias("title"), word).where(F.char_length("word") >= 2).groupBy("title", "word").count()
     w = Window.partitionBy("title").orderBy(F.desc("count"), "word")
     best = counts.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top)
@@ -115,37 +118,49 @@ def title_synonyms(
     from lodestrata.functions.text import longest_common, plain_name
 
     titled = sections.where(F.trim(F.coalesce("title", F.lit(""))) != "")
-    wide = titled.groupBy("title").agg(F.count_distinct("host").alias("n_sites")).where(F.col("n_sites") >= sites)
-    profiles = content_profile(titled.join(wide.select("title"), "title", "left_semi"), "title", "text")
-    pairs = overlapping_pairs(profiles, "title", "words", least)
-    hosts = titled.select("title", "host").distinct()
-    both = pairs.join(hosts.select(F.col("title").alias("a"), "host"), "a").join(hosts.select(F.col("title").alias("b"), "host"), ["b", "host"])
-    met = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both_sites"))
-    out = pairs.join(met, ["a", "b"], "left").join(wide.select(F.col("title").alias("a"), F.col("n_sites").alias("sites_a")), "a")
-    out = out.join(wide.select(F.col("title").alias("b"), F.col("n_sites").alias("sites_b")), "b")
-    share = F.coalesce("both_sites", F.lit(0)) / F.least("sites_a", "sites_b")
-    shared = longest_common(plain_name(F.col("a")), plain_name(F.col("b")))
-    out = out.withColumns({"host_overlap": F.round(share, 6), "common": shared})
-    return out.where((F.col("host_overlap") <= site_share) & (F.char_length("common") >= common)).select("a", "b", "common", "sites_a", "sites_b", "host_overlap", "overlap")
+    wide = titled.groupBy("title").agg(F.collect_set("host").alias("hosts")).where(F.size("hosts") >= sites)
+    wide = stored(wide, "titles")
+    profiles = stored(content_profile(titled.join(wide.select("title"), "title", "left_semi"), "title", "text", pattern=words), "profiles")
+    # Words become numbers; those of one title alone can't be shared.
+    each = profiles.select("title", F.explode("words").alias("word"))
+    shared = each.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = stored(shared.select("word", F.monotonically_increasing_id().alias("id")), "words")
+    ids = each.join(shared, "word").groupBy("title").agg(F.collect_list("id").alias("ids"))
+    plain = plain_name(F.col("title"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("plain") - max(common, 1) + 1), lambda i: F.substring(F.col("plain"), i, F.lit(max(common, 1)))))
+    known = wide.join(profiles.select("title", F.size("words").alias("n_words")), "title").join(ids, "title").withColumn("plain", plain)
+    known = known.where(F.char_length("plain") >= common).withColumn("grams", grams if common > 0 else F.array(F.lit("")))
+    rows = stored(known.select("title", "hosts", "grams", "ids", "n_words"), "titles").withColumn("gram", F.explode("grams"))
+    # Titles that share a run of characters meet under the least of these runs; one that many hold is dealt to several tasks.
+    held = rows.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / MET).cast("int").alias("deals")).where("gram is not null")
+    dealt = rows.join(held, "gram")
+    parts = max(LEAST_PARTS, int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    side = lambda frame, name, deal: frame.select("gram", deal.alias("deal"), *(F.col(c).alias(f"{name}_{c}") for c in ("title", "hosts", "grams", "ids", "n_words"))).repartition(parts, "gram", "deal")
+    left = side(dealt, "a", F.pmod(F.xxhash64("title"), F.col("deals")).cast("int"))
+    right = side(dealt, "b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    host_share = F.size(F.array_intersect("a_hosts", "b_hosts")) / F.least(F.size("a_hosts"), F.size("b_hosts"))
+    overlap = F.round(F.size(F.array_intersect("a_ids", "b_ids")) / F.least("a_n_words", "b_n_words"), 6)
+    met = left.join(right, ["gram", "deal"]).where(
+        (F.col("a_title") < F.col("b_title")) & (host_share <= site_share) & (F.array_min(F.array_intersect("a_grams", "b_grams")) == F.col("gram")) & (overlap >= least)
+    )
+    found = met.select(
+        F.col("a_title").alias("a"), F.col("b_title").alias("b"), F.size("a_hosts").cast("long").alias("sites_a"), F.size("b_hosts").cast("long").alias("sites_b"),
+        F.round(host_share, 6).alias("host_overlap"), overlap.alias("overlap"),
+    )
+    run = longest_common(plain_name(F.col("a")), plain_name(F.col("b")))
+    return found.withColumn("common", run).select("a", "b", "common", "sites_a", "sites_b", "host_overlap", "overlap")
 
 
 def connected(pairs: DataFrame) -> DataFrame:
     """Every name of the pairs (a, b) with the smallest name that it is connected to."""
-    spark = pairs.sparkSession
-
-    def stored(rows: DataFrame) -> DataFrame:
-        path = scratch(spark, "connected")
-        rows.write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path)
-
-    edges = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(edges.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.col("name")).alias("least")))
+    edges = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "connected")
+    labels = stored(edges.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.col("name")).alias("least")), "connected")
     while True:
         near = edges.join(labels.select(F.col("name").alias("b"), "least"), "b").groupBy(F.col("a").alias("name")).agg(F.min("least").alias("near"))
         # The label of the label, too, so that long paths halve.
         jump = labels.select(F.col("name").alias("least"), F.col("least").alias("further"))
         moved = labels.join(near, "name").join(jump, "least", "left")
-        moved = stored(moved.select("name", F.least("least", "near", "further").alias("least"), F.col("least").alias("before")))
+        moved = stored(moved.select("name", F.least("least", "near", "further").alias("least"), F.col("least").alias("before")), "connected")
         labels = moved.select("name", "least")
         if moved.where("least <> before").isEmpty():
             return labels
@@ -157,6 +172,7 @@ def cliques(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     Names are taken by ``weights`` (name, weight), the heaviest first, and join the first group that
     they fit, so what is connected is grouped by itself, one component a call.
     """
+    pairs = stored(pairs.select("a", "b"), "pairs")
     weighted = weights.select(F.col("name").alias("a"), "weight")
     rows = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     rows = rows.join(weighted, "a").join(connected(pairs).withColumnRenamed("name", "a"), "a")
@@ -165,12 +181,16 @@ def cliques(pairs: DataFrame, weights: DataFrame) -> DataFrame:
         near = found.groupby("a")["b"].agg(set)
         names = found.drop_duplicates("a").sort_values(["weight", "a"], ascending=[False, True])["a"]
         groups: list[list[str]] = []
+        place: dict[str, int] = {}
         for name in names:
-            home = next((g for g in groups if near[name].issuperset(g)), None)
-            if home is None:
-                groups.append([name])
-            else:
-                home.append(name)
+            # Only groups of neighbours can fit, and one fits if all its members are neighbours.
+            met = Counter(place[b] for b in near[name] if b in place)
+            at = min((g for g, n in met.items() if n == len(groups[g])), default=None)
+            if at is None:
+                at = len(groups)
+                groups.append([])
+            groups[at].append(name)
+            place[name] = at
         made = [(g[0], member) for g in groups if len(g) > 1 for member in g]
         return pd.DataFrame(made, columns=["label", "member"])
 

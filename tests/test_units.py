@@ -326,6 +326,26 @@ def test_title_synonyms_need_all_four_conditions(spark):  # noqa: ANN001, ANN201
     ]
 
 
+def test_title_synonyms_against_all_pairs(spark, monkeypatch):  # noqa: ANN001, ANN201
+    """Titles of which many share a run of characters, dealt to several tasks, none of them through the pairs that share words."""
+    import random
+
+    monkeypatch.setattr(corpus, "MET", 4)
+    monkeypatch.setattr(corpus, "overlapping_pairs", lambda *_: pytest.fail("pairs by words are met before the sites are looked at"))
+    rng = random.Random(3)
+    titles = {f"{rng.choice(['the', 'gran', 'x'])}{rng.choice('abcd')}{k}": ({f"h{j}" for j in rng.sample(range(12), rng.randint(2, 5))}, {f"w{j}" for j in rng.sample(range(12), 4)}) for k in range(80)}
+    rows = [(t, h, " ".join(sorted(words))) for t, (hosts, words) in titles.items() for h in sorted(hosts)] + [("  ", "h1", "w1"), (None, "h1", "w1"), ("the", None, "w1")]
+    runs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    want = {
+        (a, b, len(titles[a][0]), len(titles[b][0]), len(titles[a][1] & titles[b][1]) / 4)
+        for a in titles for b in titles
+        if a < b and min(len(titles[a][0]), len(titles[b][0])) >= 3 and runs(a) & runs(b) and not titles[a][0] & titles[b][0] and len(titles[a][1] & titles[b][1]) >= 1
+    }
+    found = corpus.title_synonyms(spark.createDataFrame(rows, "title string, host string, text string")).collect()
+    assert {(r["a"], r["b"], r["sites_a"], r["sites_b"], r["overlap"]) for r in found} == want
+    assert len(found) == len(want) > 10
+
+
 def test_overlapping_pairs_against_all_pairs(spark):  # noqa: ANN001, ANN201
     import random
 
