@@ -187,6 +187,30 @@ def test_cliques_need_every_pair(spark):  # noqa: ANN001, ANN201
     assert corpus.cliques(pairs.limit(0), weights).count() == 0
 
 
+def test_cliques_read_their_pairs_once(spark):  # noqa: ANN001, ANN201
+    """The first fit by weight, and the pairs, which may be dear to make, are made a single time."""
+    import random
+
+    rng, made = random.Random(5), spark.sparkContext.accumulator(0)
+    names = [f"n{k:02d}" for k in range(24)]
+    pairs = [(a, b) for a in names for b in names if a < b and rng.random() < 0.6]
+    weights = [(n, rng.randint(1, 5)) for n in names]
+
+    def counted(rows):  # noqa: ANN001, ANN202
+        for batch in rows:
+            made.add(len(batch))
+            yield batch
+
+    frame = spark.createDataFrame(pairs, "a string, b string").mapInPandas(counted, "a string, b string")
+    groups: list[list[str]] = []
+    for name, _ in sorted(weights, key=lambda x: (-x[1], x[0])):
+        home = next((g for g in groups if all((min(name, m), max(name, m)) in pairs for m in g)), None)
+        groups.append([name]) if home is None else home.append(name)
+    got = corpus.cliques(frame, spark.createDataFrame(weights, "name string, weight long")).collect()
+    assert sorted(map(tuple, got)) == sorted((g[0], m) for g in groups if len(g) > 1 for m in g)
+    assert made.value == len(pairs)
+
+
 def test_rare_tokens_draw_candidates():  # noqa: ANN201
     assert search.probes(1000, {"신청": 300, "복학": 5}) == ["복학"]
     assert search.probes(10, {"a": 5, "b": 6}) == ["a", "b"]
