@@ -211,6 +211,18 @@ def test_cliques_read_their_pairs_once(spark):  # noqa: ANN001, ANN201
     assert made.value == len(pairs)
 
 
+def test_sections_look_up_only_from_what_they_read(monkeypatch):  # noqa: ANN001, ANN201
+    """Cells and rows don't walk to the top of the page; what lies in skipped parts stays out."""
+    from lodestrata.sources import html
+
+    asked, inside = [], html.Node.inside
+    monkeypatch.setattr(html.Node, "inside", lambda node, *tags: asked.append(node.tag) or inside(node, *tags))
+    rows = "".join(f"<tr><td>{k}<td>a  b<br>c {k}</tr>" for k in range(100))
+    found = html.sections(f"<nav><table><tr><td>x<tr><td>y</table></nav><h2>T</h2><table><tr><th>no<th>what</tr>{rows}</table>")
+    assert [r["text"] for r in found if r["kind"] == "table_row"] == [f"T: no: {k} | what: a b\nc {k}" for k in range(100)]
+    assert len(asked) < 10
+
+
 def test_rare_tokens_draw_candidates():  # noqa: ANN201
     assert search.probes(1000, {"신청": 300, "복학": 5}) == ["복학"]
     assert search.probes(10, {"a": 5, "b": 6}) == ["a", "b"]
